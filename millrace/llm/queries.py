@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from . import op07_decontaminate as op07
+from . import op10_pack as op10
 
 
 def queries():
     return {
         "op7_decontaminate": op07.op7_decontaminate,
+        "op10_pack": op10.op10_pack,
     }
 
 
