@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import op01_quality as op01
 from . import op06_substrings as op06
 from . import op07_decontaminate as op07
+from . import op09_suffix_dedup as op09
 from . import op10_pack as op10
 
 
@@ -13,6 +14,7 @@ def queries():
         "op1_quality": op01.op1_quality,
         "op6_substrings": op06.op6_substrings,
         "op7_decontaminate": op07.op7_decontaminate,
+        "op9_suffix_dedup": op09.op9_suffix_dedup,
         "op10_pack": op10.op10_pack,
     }
 

@@ -231,7 +231,12 @@ def intervals(flags: np.ndarray, offset: np.ndarray, bucket: Bucket, window: int
     if it is less than the place's entry of ``above``.
     """
     count = np.diff(offset)
-    order = np.argsort(bucket.number, kind="stable")
+    if above is None:
+        some = np.maximum.reduceat(flags, offset[:-1])[bucket.number]
+    else:
+        some = np.minimum.reduceat(flags, offset[:-1])[bucket.number] < above
+    order = np.flatnonzero(some)
+    order = order[np.argsort(bucket.number[order], kind="stable")]
     sizes = np.cumsum(count[bucket.number[order]])
     at = 0
     while at < len(order):
