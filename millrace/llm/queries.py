@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import op01_quality as op01
 from . import op04_jaccard as op04
+from . import op05_secrets as op05
 from . import op06_substrings as op06
 from . import op07_decontaminate as op07
 from . import op09_suffix_dedup as op09
@@ -14,6 +15,7 @@ def queries():
     return {
         "op1_quality": op01.op1_quality,
         "op4_jaccard": op04.op4_jaccard,
+        "op5_secrets": op05.op5_secrets,
         "op6_substrings": op06.op6_substrings,
         "op7_decontaminate": op07.op7_decontaminate,
         "op9_suffix_dedup": op09.op9_suffix_dedup,
