@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import op01_quality as op01
 from . import op02_neighbours as op02
+from . import op03_licences as op03
 from . import op04_jaccard as op04
 from . import op05_secrets as op05
 from . import op06_substrings as op06
@@ -17,6 +18,7 @@ def queries():
     return {
         "op1_quality": op01.op1_quality,
         "op2_neighbours": op02.op2_neighbours,
+        "op3_licences": op03.op3_licences,
         "op4_jaccard": op04.op4_jaccard,
         "op5_secrets": op05.op5_secrets,
         "op6_substrings": op06.op6_substrings,
@@ -28,4 +30,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op3_licences": op03.oracle()}
