@@ -9,7 +9,7 @@ distance on the original vectors. Each task keeps the ten best of a query, so
 what is shuffled follows queries and tasks, and equal vectors or a full cell
 meet in no single task.
 
-The centroids are fitted on at most ``SAMPLE`` rows (smallest hash of vec_id);
+The centroids are fitted on at most ``SAMPLE`` rows (low hashes of vec_id);
 all rows are indexed. K follows the number of rows up to ``MOST``, so the
 table of cell sizes has a fixed bound.
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import at_most, small_batches, stored
 
 SAMPLE, ROUNDS, LEAST_K, MOST = 20_000, 8, 8, 256
 SHARE, LEAST, TOP, EVERY = 0.5, 1000, 10, 100
@@ -174,8 +174,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = EVERY, top: in
     width, n = widths[0]["w"], widths[0]["count"]
     rows = rows.where(F.size("embedding") == width)
     k = int(np.clip(2 ** np.ceil(np.log2(np.sqrt(n / 4))), LEAST_K, MOST))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()
-    x = np.array(sample["embedding"].tolist(), dtype=float)
+    sample = at_most(rows, SAMPLE, n, "vec_id").select("vec_id", "embedding").toPandas()
+    x = np.array(sample.sort_values("vec_id")["embedding"].tolist(), dtype=float)
     half = width // 2
     first, second = k_means(x[:, :half], k), k_means(x[:, half:], k)
     sizes = np.zeros(k * k, np.int64)
