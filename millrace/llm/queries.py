@@ -12,6 +12,7 @@ from . import op07_decontaminate as op07
 from . import op08_html as op08
 from . import op09_suffix_dedup as op09
 from . import op10_pack as op10
+from . import sql
 
 
 def queries():
@@ -30,4 +31,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_licences": op03.oracle()}
+    return {"op3_licences": op03.oracle(), "op4_jaccard": sql.OP4, "op6_substrings": sql.OP6, "op7_decontaminate": sql.OP7}
