@@ -62,6 +62,20 @@ def interleave(counts: Sequence[int]) -> list[int]:
     return out
 
 
+def weighted_random(counts: Sequence[int], seed: int) -> list[int]:
+    """Components of a chunk's slots, each drawn by the weights of the
+    components that still have samples."""
+    import random
+
+    draw, left, out = random.Random(seed), list(counts), []
+    while any(left):
+        live = [k for k, n in enumerate(left) if n]
+        k = draw.choices(live, [counts[i] for i in live])[0]
+        left[k] -= 1
+        out.append(k)
+    return out
+
+
 def token_draws(weights: Sequence[float], costs: Sequence[float], draws: int, deficit: list[float] | None = None) -> tuple[list[int], list[float]]:
     """Components of ``draws`` slots so that tokens follow the weights."""
     debt = list(deficit) if deficit is not None else [0.0] * len(weights)

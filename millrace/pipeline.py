@@ -51,6 +51,8 @@ class WorkSource:
     stop_after_passes: int | None = 1
     max_chunks: int | None = None
     lane_assignment: str = "permute"
+    read_mode: str = "round_robin"
+    shuffle_components: bool = False
     token_costs: Mapping[str, float] | None = None
 
     def names(self) -> list[str]:
@@ -81,7 +83,7 @@ class WorkSource:
             elif block == "global":
                 block = max(1, rows.count())
             ranks.append(mixture.ranked(rows, seed=self.seed, shuffle_shards=self.shuffle_shards, shuffle_within_shard=self.shuffle_within_shard, block=block, passes=turns.get(k, 0) + 1, reshuffle=self.reshuffle_on_repeat))
-        return mixture.plan(spark, ranks, chunks, canonical_replicas=replicas, lane_assignment=self.lane_assignment, seed=self.seed)
+        return mixture.plan(spark, ranks, chunks, canonical_replicas=replicas, lane_assignment=self.lane_assignment, read_mode=self.read_mode, shuffle_components=self.shuffle_components, seed=self.seed)
 
 
 @dataclass(frozen=True)

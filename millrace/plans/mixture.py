@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.kernels import interleave, token_draws
+from ..operators.kernels import interleave, token_draws, weighted_random
 from ..schema import stable_hash
 from ..sources.readers import shard_index
 
@@ -212,23 +212,30 @@ def ranked(rows: DataFrame, *, seed: int = 0, shuffle_shards: bool = True, shuff
     return out.drop("first", "_shard")
 
 
-def _slots(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Chunk offsets of each component's samples by smooth round robin."""
+READ_MODES = ("round_robin", "weighted_random")
+
+
+def _slots(pdf: pd.DataFrame, mode: str = "round_robin", seed: int = 0) -> pd.DataFrame:
+    """Chunk offsets of each component's samples."""
     pdf = pdf.sort_values("component_id")
-    names, counts = pdf["component_id"].tolist(), pdf["n"].tolist()
-    order = interleave(counts)
+    names, counts, g = pdf["component_id"].tolist(), pdf["n"].tolist(), int(pdf["g"].iloc[0])
+    order = interleave(counts) if mode == "round_robin" else weighted_random(counts, (seed << 32) + g)
     nth = [0] * len(names)
     rows = []
     for offset, k in enumerate(order):
-        rows.append((pdf["g"].iloc[0], names[k], nth[k], offset))
+        rows.append((g, names[k], nth[k], offset))
         nth[k] += 1
     return pd.DataFrame(rows, columns=["g", "component_id", "nth", "chunk_offset"])
 
 
-def plan(spark: SparkSession, ranks: Sequence[DataFrame], chunks: Sequence[Chunk], *, canonical_replicas: int = 1, lane_assignment: str = "permute", seed: int = 0) -> DataFrame:
+def plan(spark: SparkSession, ranks: Sequence[DataFrame], chunks: Sequence[Chunk], *, canonical_replicas: int = 1, lane_assignment: str = "permute", read_mode: str = "round_robin", shuffle_components: bool = False, seed: int = 0) -> DataFrame:
     """The plan: a row for each sample drawn, with its lane and place.
 
-    ``ranks``: for each component its rows (shard_id, local_id, pass, rank)."""
+    ``ranks``: for each component its rows (shard_id, local_id, pass, rank).
+    ``read_mode`` interleaves the components of a chunk; with
+    ``shuffle_components`` a component's samples come in hash order within it."""
+    if read_mode not in READ_MODES:
+        raise ValueError(f"read mode is one of {READ_MODES}, not {read_mode!r}")
     schema = "g long, component_id int, pass int, first long, n long, before long"
     rows = []
     for c in chunks:
@@ -237,8 +244,11 @@ def plan(spark: SparkSession, ranks: Sequence[DataFrame], chunks: Sequence[Chunk
             rows.append((c.number, k, turn, first, n, seen.get(k, 0)))
             seen[k] = seen.get(k, 0) + n
     pieces = spark.createDataFrame(rows, schema)
-    offsets = pieces.groupBy("g", "component_id").agg(F.sum("n").alias("n")).groupBy("g").applyInPandas(_slots, "g long, component_id int, nth long, chunk_offset long")
+    offsets = pieces.groupBy("g", "component_id").agg(F.sum("n").alias("n")).groupBy("g").applyInPandas(lambda pdf: _slots(pdf, read_mode, seed), "g long, component_id int, nth long, chunk_offset long")
     drawn = pieces.select("g", "component_id", "pass", F.posexplode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("i", "rank"), "before").select("g", "component_id", "pass", "rank", (F.col("before") + F.col("i")).alias("nth"))
+    if shuffle_components:
+        mark = stable_hash(seed, F.col("g"), F.col("component_id"), F.col("pass"), F.col("rank"))
+        drawn = drawn.withColumn("nth", (F.row_number().over(W.partitionBy("g", "component_id").orderBy(mark, "nth")) - 1).cast("long"))
     order = None
     for k, r in enumerate(ranks):
         one = r.select(F.lit(k).alias("component_id"), F.lit(k).alias("dataset_id"), "shard_id", "local_id", F.col("pass").cast("int").alias("pass"), "rank")
