@@ -438,7 +438,7 @@ SELECT i - 1 AS chunk_offset, k::INT AS component_id FROM s WHERE i > 0"""
 def chunk_swrr(spark, sf_dir):
     """One chunk of all documents, components by smooth round robin."""
     counts = corpus(spark, sf_dir).groupBy("component_id").count().withColumn("g", F.lit(0).cast("long")).withColumnRenamed("count", "n")
-    out = counts.select("g", "component_id", "n").groupBy("g").applyInPandas(mixture._slots, "g long, component_id int, nth long, chunk_offset long")
+    out = counts.select("g", "component_id", "n").groupBy("g").applyInPandas(lambda pdf: mixture._slots(pdf), "g long, component_id int, nth long, chunk_offset long")
     return out.select("chunk_offset", "component_id")
 
 
