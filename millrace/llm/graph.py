@@ -16,11 +16,10 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     labels = stored(spark, both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        lower = stored(spark, labels.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old")))
+        lower = labels.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
         up = lower.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
         jumped = stored(spark, lower.join(up, "comp").select("node", F.least("comp", "top").alias("comp"), "old"))
         moved = jumped.where("comp <> old").limit(1).count()
-        discard(spark, lower)
         discard(spark, labels)
         labels = jumped.select("node", "comp")
         if not moved:

@@ -4,7 +4,9 @@ Every text becomes the set of its 4-word shingles (64-bit hashes). Equal sets
 are one node. Two sets link when 100 * intersection >= 85 * union.
 
 1. Nodes that agree in a band of minima are compared with one pivot of the
-   band, which finds most links of near copies without any pair list.
+   band, its member of the most frequent shingles on average: among near copies
+   that is the one the others come from, so this finds most links of a group
+   without any pair list.
 2. Shingles are ordered from rare to frequent, by counts over all documents
    that a sketch of fixed size holds. Sets of n shingles that link differ in
    at most t = 15n/100 shingles of either. A prefix is long enough when every
@@ -48,6 +50,8 @@ _BINS, _BANDS = 16, 8
 #: Members of a group that one task compares with the pivot.
 SALT = 64
 _FILTER_BITS = 24
+#: Bits of a set's parity map.
+_PARITY = 512
 
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -103,7 +107,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for found in sets:
                 size.append(len(found))
                 if len(found):
-                    node.append(int(_signed(mix(np.atleast_1d(np.bitwise_xor.reduce(mix(found)) + np.add.reduce(mix(found ^ np.uint64(0x5851F42D4C957F2D))) * np.uint64(3))))[0]))
+                    both = np.array([np.bitwise_xor.reduce(mix(found)), np.add.reduce(mix(found ^ np.uint64(0x5851F42D4C957F2D)))])
+                    node.append(int(_signed(mix(both[:1] + both[1:] * np.uint64(3)))[0]))
                     bands.append(None if links_only_equals(len(found)) else _signed(_bands(found)))
                 else:
                     node.append(None)
@@ -141,22 +146,28 @@ def frequency_classes(sets: DataFrame) -> np.ndarray:
     return np.where(counts > mean + 8 * np.sqrt(mean) + 64, level + 128, level).astype(np.uint8)
 
 
-def signatures(found: np.ndarray, classes: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """Keys of a set; linked sets that differ share one."""
+def signatures(found: np.ndarray, classes: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set, and for each how many shingles may be shared beside it.
+
+    Linked sets that differ share a key that neither's count rules out: the
+    first signature in the common order. Before it, common shingles lie in
+    distinct groups; after it, at most what follows its last shingle is common.
+    """
     n = len(found)
     lack = slack(n, least)
     if links_only_equals(n, least):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     kind = classes[(found >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64)]
     order = np.argsort(kind, kind="stable")
     tokens, often = found[order], kind[order] >= 128
-    keys = []
+    keys, beside = [], []
     for level in {n.bit_length(), (100 * n // least).bit_length()}:
         mark = np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64))
         if not often[: lack + 1].any():
             keys.append(mix(tokens[: lack + 1] ^ mark))
+            beside.append(n - 1 - np.arange(lack + 1))
             continue
-        groups = max(1, slack(1 << (level - 1), least))
+        groups = max(1, slack(1 << (level - 1), least) // 8)
         reach = min(n, lack + 1 + groups)
         group = (mix(tokens[:reach]) % np.uint64(groups)).astype(np.int64)
         adds = np.ones(reach, np.int64)
@@ -164,7 +175,9 @@ def signatures(found: np.ndarray, classes: np.ndarray, least: int = LEAST) -> np
         _, opening = np.unique(group[frequent], return_index=True)
         adds[frequent[opening]] = 0
         length = int(np.searchsorted(np.cumsum(adds), lack + 1)) + 1
-        keys.append(mix(tokens[:length][~often[:length]] ^ mark))
+        rare = np.flatnonzero(~often[:length])
+        keys.append(mix(tokens[rare] ^ mark))
+        beside.append(n - 1 - rare)
         frequent = frequent[frequent < length]
         frequent = frequent[np.lexsort((tokens[frequent], group[frequent]))]
         apart = 1
@@ -173,8 +186,9 @@ def signatures(found: np.ndarray, classes: np.ndarray, least: int = LEAST) -> np
             if not len(pair):
                 break
             keys.append(mix(mix(tokens[frequent[pair]] ^ mark) + tokens[frequent[pair + apart]] * np.uint64(0xD1342543DE82EF95)))
+            beside.append(groups + n - 1 - np.maximum(frequent[pair], frequent[pair + apart]))
             apart += 1
-    return np.concatenate(keys)
+    return np.concatenate(keys), np.concatenate(beside)
 
 
 def _index(classes: np.ndarray):
@@ -183,10 +197,19 @@ def _index(classes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
         for batch in batches:
-            keys = [_signed(signatures(s, levels)) for _, data, ends in slices(batch.column("_text")) for s in shingle_sets(data, ends)]
-            offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+            keys, beside, central, parity = [], [], [], []
+            for _, data, ends in slices(batch.column("_text")):
+                for found in shingle_sets(data, ends):
+                    one, rest = signatures(found, levels)
+                    keys.append(_signed(one))
+                    beside.append(rest)
+                    parity.append(np.packbits(np.bincount((found >> np.uint64(55)).astype(np.int64), minlength=_PARITY) & 1 == 1).tobytes())
+                    central.append(float(levels[(found >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64)].mean()) if len(found) else 0.0)
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("_key"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["_doc", "_key", "keys"])
+            rest = np.concatenate(beside).astype(np.int32) if beside else np.zeros(0, np.int32)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(rest))]
+            yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("_key"), pa.array(central, pa.float64()), pa.array(parity, pa.binary()), *lists], names=["_doc", "_key", "central", "parity", "keys", "beside"])
 
     return run
 
@@ -213,107 +236,135 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The links among ``pairs`` (a, b), compared on whole texts."""
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
-    wide = stored(spark, sizes)
+    wide = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
     members = pairs.join(wide, "a").select(F.col("a").alias("g"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("node"), F.lit(0).alias("is_pivot"))
     pivots = wide.select(F.col("a").alias("g"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("node"), F.lit(1).alias("is_pivot"))
-    needed = stored(spark, members.unionByName(pivots).join(nodes.select("node", "_doc", "_key"), "node"))
+    needed = members.unionByName(pivots).join(nodes.select("node", "_doc", "_key"), "node")
+    # A node of very many groups is dealt out, so that no list of uses grows with them.
     per = stored(spark, needed.groupBy("_doc", "_key", "node", F.pmod(F.xxhash64("g", "salt"), F.lit(64)).alias("deal")).agg(F.collect_list(F.struct("g", "salt", "is_pivot")).alias("uses")).drop("deal"))
-    discard(spark, needed)
-    texts = keyed(docs).join(per, ["_doc", "_key"])
+    wanted = keyed(docs).mapInArrow(_picked(_filter(per.select(F.col("_key").alias("key")))), "_doc long, _key long, _text string")
+    texts = wanted.join(per, ["_doc", "_key"])
     shared = texts.select("node", "_text", F.explode("uses").alias("use")).select("use.g", "use.salt", "use.is_pivot", "node", "_text")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     dealt = shared.repartition(n, "g", "salt").sortWithinPartitions("g", "salt", F.desc("is_pivot"))
     return stored(spark, dealt.mapInArrow(_compare, "a long, b long").distinct())
 
 
+def _pairs(key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, beside: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs of different components with a key in common, unless
+    sizes, what may be shared beside the key, or parity rule them out: where
+    two parity maps differ, the sets differ in a shingle at least."""
+    order = np.lexsort((n, key))
+    key, node, comp, n, beside, parity = key[order], node[order], comp[order], n[order], beside[order], parity[order]
+    group = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
+    reach = np.searchsorted((group << 32) + n, (group << 32) + 100 * n // LEAST, side="right")
+    size = reach - np.arange(len(n)) - 1
+    total = np.cumsum(size)
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 18))))
+        left = np.repeat(np.arange(at, to), size[at:to])
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(size[at:to]) - size[at:to], size[at:to])
+        at = to
+        both = n[left] + n[right]
+        most = 1 + np.minimum(beside[left], beside[right])
+        stay = np.flatnonzero((comp[left] != comp[right]) & (100 * most >= LEAST * (both - most)))
+        left, right, both = left[stay], right[stay], both[stay]
+        a, b = np.minimum(node[left], node[right]), np.maximum(node[left], node[right])
+        _, one = np.unique(mix(a.view(np.uint64) * np.uint64(3)) + b.view(np.uint64), return_index=True)
+        found = []
+        for k in range(0, len(one), 1 << 15):
+            i = one[k : k + (1 << 15)]
+            apart = np.bitwise_count(parity[left[i]] ^ parity[right[i]]).sum(axis=1, dtype=np.int64)
+            found.append(i[100 * (both[i] - apart) >= LEAST * (both[i] + apart)])
+        if found:
+            one = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one])], names=["a", "b"])
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs across components of each key; rows in order of key."""
-    schema = ["a", "b"]
-    seen: np.ndarray = np.zeros(0, np.int64)
-
-    def pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.argsort(n, kind="stable")
-        node, comp, n = node[order], comp[order], n[order]
-        high = np.searchsorted(n, 100 * n // LEAST, side="right")
-        for at in range(0, len(n), 1024):
-            i = np.arange(at, min(at + 1024, len(n)))
-            size = np.maximum(high[i] - i - 1, 0)
-            step = max(1, int((1 << 20) // max(1, size.max())))
-            for k in range(0, len(i), step):
-                s = size[k : k + step]
-                left = np.repeat(i[k : k + step], s)
-                right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(s) - s, s)
-                cross = comp[left] != comp[right]
-                yield np.minimum(node[left[cross]], node[right[cross]]), np.maximum(node[left[cross]], node[right[cross]])
-
-    def emit(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        nonlocal seen
-        node, comp, n = (np.concatenate([h[k] for h in held]) for k in range(3))
-        if len(node) < 2:
-            return
-        for a, b in pairs(node, comp, n):
-            if not len(a):
-                continue
-            code = _signed(mix(a.view(np.uint64) * np.uint64(3)) + b.view(np.uint64))
-            code, one = np.unique(code, return_index=True)
-            fresh = ~np.isin(code, seen, assume_unique=True) if len(seen) else np.ones(len(code), bool)
-            seen = code if len(seen) > 200_000 else np.union1d(seen, code)
-            if fresh.any():
-                yield pa.RecordBatch.from_arrays([pa.array(a[one[fresh]]), pa.array(b[one[fresh]])], names=schema)
-
-    now, held = None, []
+    held: list[tuple[np.ndarray, ...]] = []
+    waiting = 0
     for batch in batches:
-        key = batch.column("key").to_numpy()
-        columns = [batch.column(c).to_numpy() for c in ("node", "comp", "n")]
-        edges = np.flatnonzero(np.diff(key)) + 1
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
-            if a == b:
-                continue
-            if held and key[a] != now:
-                yield from emit(held)
-                held = []
-            now = key[a]
-            held.append(tuple(c[a:b] for c in columns))
+        maps = np.frombuffer(b"".join(batch.column("parity").to_pylist()), np.uint64).reshape(-1, _PARITY // 64)
+        held.append((*(batch.column(c).to_numpy() for c in ("key", "node", "comp", "n", "beside")), maps))
+        waiting += batch.num_rows
+        if waiting < 50_000:
+            continue
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        whole = int(np.argmax(columns[0] == columns[0][-1]))
+        if whole:  # the last key may go on
+            yield from _pairs(*(c[:whole] for c in columns))
+        held = [tuple(c[whole:] for c in columns)]
+        waiting = 0
     if held:
-        yield from emit(held)
+        yield from _pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
-def _spread(bits: dict[int, int]):
+def _filter(keys: DataFrame) -> bytes:
+    """A packed bit table of fixed size in which each key of ``keys`` (one
+    hashed column, ``key``) sets two bits: what it rules out is not among them."""
+    mask = F.lit((1 << _FILTER_BITS) - 1)
+    place = F.explode(F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", _FILTER_BITS).bitwiseAND(mask)))
+    words_ = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect()
     table = np.zeros(1 << (_FILTER_BITS - 6), np.uint64)
-    if bits:
-        table[list(bits)] = np.array(list(bits.values()), dtype=np.int64).view(np.uint64)
-    packed = zstandard.ZstdCompressor(level=1).compress(table.tobytes())
+    if words_:
+        table[[r.word for r in words_]] = np.array([r.bits for r in words_], dtype=np.int64).view(np.uint64)
+    return zstandard.ZstdCompressor(level=1).compress(table.tobytes())
+
+
+def _may_have(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    keys = keys.view(np.uint64)
+    mask = np.uint64((1 << _FILTER_BITS) - 1)
+    found = np.ones(len(keys), bool)
+    for p in (keys & mask, (keys >> np.uint64(_FILTER_BITS)) & mask):
+        found &= (table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return found
+
+
+def _table(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint64)
+
+
+def _picked(packed: bytes):
+    """Rows whose _key may be wanted, so that few other texts are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(packed)
+        for batch in batches:
+            yield batch.filter(pa.array(_may_have(table, batch.column("_key").to_numpy())))
+
+    return run
+
+
+def _spread(packed: bytes):
+    """A row for each signature that may be shared across components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint64)
+        table = _table(packed)
         for batch in batches:
             lists = batch.column("keys")
             flat = lists.flatten().to_numpy()
-            at = flat.view(np.uint64) & np.uint64((1 << _FILTER_BITS) - 1)
-            keep = np.flatnonzero((have[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
-            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[keep]
-            take = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), *(batch.column(c).take(take) for c in ("node", "comp", "n"))], names=["key", "node", "comp", "n"])
+            keep = np.flatnonzero(_may_have(table, flat))
+            take = pa.array(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[keep], pa.int64())
+            beside = batch.column("beside").flatten().to_numpy()[keep].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), *(batch.column(c).take(take) for c in ("node", "comp", "n", "parity")), pa.array(beside)], names=["key", "node", "comp", "n", "parity", "beside"])
 
     return run
 
 
-def _links_across(spark: SparkSession, docs: DataFrame, nodes: DataFrame, comps: DataFrame, classes: np.ndarray) -> DataFrame:
+def _links_across(spark: SparkSession, docs: DataFrame, nodes: DataFrame, index: DataFrame, comps: DataFrame) -> DataFrame:
     """All links between nodes of different components."""
-    indexed = keyed(docs).mapInArrow(_index(classes), "_doc long, _key long, keys array<long>")
-    mine = nodes.where("bands is not null").join(comps, "node", "left").select("_doc", "_key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    table = stored(spark, indexed.where("size(keys) > 0").join(stored(spark, mine), ["_doc", "_key"]).dropDuplicates(["_doc", "_key"]).select("node", "comp", "n", "keys"))
-    shared = table.select("comp", F.explode("keys").alias("key")).groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    tagged = stored(spark, index.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "n", "parity", "keys", "beside"))
+    discard(spark, index)
+    shared = tagged.select("comp", F.explode("keys").alias("key")).groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     shared = stored(spark, shared.select("key"))
-    place = F.col("key").bitwiseAND(F.lit((1 << _FILTER_BITS) - 1))
-    bits = shared.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(key & 63 as int))")).alias("bits"))
-    filter_ = {r.word: r.bits for r in bits.collect()}  # a table of fixed size
-    rows = table.mapInArrow(_spread(filter_), "key long, node long, comp long, n long").join(shared, "key")
+    rows = tagged.mapInArrow(_spread(_filter(shared)), "key long, node long, comp long, n long, parity binary, beside long").join(shared, "key")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     found = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long").distinct()
     pairs = stored(spark, found)
-    discard(spark, table)
+    discard(spark, tagged)
     discard(spark, shared)
     return verified(spark, docs, nodes, pairs)
 
@@ -325,16 +376,18 @@ def grouped(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = sets.where("_doc is not null").select("_doc", "_key", "n", "node", "bands")
     low = rows.where("n > 0").groupBy("node", "n").agg(F.min(F.struct("_doc", "_key", "bands")).alias("low"))
     nodes = stored(spark, low.select("node", "n", "low.*"))
-    bands = stored(spark, nodes.where("bands is not null").select(F.explode("bands").alias("band"), "node", "n"))
-    pivots = stored(spark, bands.groupBy("band").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", F.col("p.node").alias("a"), F.col("p.n").alias("m")))
+    indexed = keyed(docs).mapInArrow(_index(frequency_classes(sets)), "_doc long, _key long, central double, parity binary, keys array<long>, beside array<int>").where("size(keys) > 0")
+    index = stored(spark, indexed.join(nodes.select("_doc", "_key", "node", "n"), ["_doc", "_key"]).dropDuplicates(["_doc", "_key"]).select("node", "n", "central", "parity", "keys", "beside"))
+    bands = stored(spark, nodes.select("node", "n", F.explode("bands").alias("band")).join(index.select("node", "central"), "node"))
+    pivots = stored(spark, bands.groupBy("band").agg(F.min(F.struct(-F.col("central"), "node", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", F.col("p.node").alias("a"), F.col("p.n").alias("m")))
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * LEAST
     star = stored(spark, bands.join(pivots, "band").where((F.col("a") != F.col("node")) & fits).select("a", F.col("node").alias("b")).distinct())
     near = verified(spark, docs, nodes, star)
     comps = components(spark, near)
-    links = near.unionByName(_links_across(spark, docs, nodes, comps, frequency_classes(sets)))
+    links = near.unionByName(_links_across(spark, docs, nodes, index, comps))
     final = components(spark, links)
     heads = final.join(nodes, "node").groupBy("comp").agg(F.min("_doc").alias("component"))
-    named = stored(spark, final.join(stored(spark, heads), "comp").select("node", "component"))
+    named = final.join(stored(spark, heads), "comp").select("node", "component")
     own = nodes.join(named, "node", "left").select("node", F.coalesce("component", "_doc").alias("component"))
     return rows.select("_doc", "_key", "n", "node").join(stored(spark, own), "node", "left").select("_doc", "_key", "n", F.coalesce("component", "_doc").alias("component"))
 
