@@ -127,25 +127,26 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[
     source = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + ", " + _SPANS
     rows = benchmark.select("item_id", "text").where("text is not null").toLocalIterator()
-    groups = list(_groups(rows, MAX_PATTERN_BYTES)) or [{}]
-    passes = [source.mapInArrow(_scan(g, keep), schema) for g in groups]
-    if len(passes) == 1:
-        return passes[0]
-    # Equal kept columns and texts have equal results, so the passes are merged by row content.
+    groups = _groups(rows, MAX_PATTERN_BYTES)
+    group, following = next(groups, {}), next(groups, None)
+    if following is None:
+        return source.mapInArrow(_scan(group, keep), schema)
+    # Equal kept columns and texts have equal results, so the passes are merged
+    # by row content. One group of patterns is in the driver at a time (and the next).
     marked = source.withColumn("_key", F.sha2("_text", 256))
     keyed = schema.removesuffix(_SPANS) + "_key string, " + _SPANS
-    parts = None
-    for g in groups:
-        one = marked.mapInArrow(_scan(g, [*keep, "_key"]), keyed)
+    parts, times = None, 0
+    while group is not None:
+        one = stored(spark, marked.mapInArrow(_scan(group, [*keep, "_key"]), keyed))
         parts = one if parts is None else parts.unionByName(one)
+        group, following, times = following, next(groups, None), times + 1
     return (
-        stored(spark, parts)
-        .groupBy(*keep, "_key")
+        parts.groupBy(*keep, "_key")
         .agg(
             F.max("n_words").alias("n_words"),
             F.flatten(F.collect_set("spans")).alias("spans"),
             F.flatten(F.collect_set("items")).alias("items"),
-            (F.count(F.lit(1)) / len(groups)).cast("int").alias("_times"),
+            (F.count(F.lit(1)) / times).cast("int").alias("_times"),
         )
         .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times"))))
         .drop("_key", "_times", "_i")
