@@ -2,8 +2,8 @@
 
 Statistics of every whole text are counted in one vectorised pass and stored
 (a few dozen numbers a document). The trees are fitted in the driver on at most
-``TRAIN_ROWS`` labelled rows, those of the smallest hash of doc_id among the
-rows that are not held out; this bound is the only sample taken. All trees are
+``TRAIN_ROWS`` labelled rows, those of low hashes of doc_id among the rows that
+are not held out; this bound is the only sample taken. All trees are
 complete, so they flatten into three arrays that numpy walks level by level
 for a whole batch.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, stored
+from .common import at_most, documents, small_batches, stored
 from .textvec import BLANK, ranges, slices, sums, words
 
 TRAIN_ROWS = 20_000
@@ -203,14 +203,10 @@ def held_out():
 def train(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     """Fit on at most ``rows`` labelled documents outside the held-out fifth."""
     marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = (
-        stats.where(~held_out())
-        .join(marked, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "stats")
-        .limit(rows)
-        .select("stats", (F.col("quality") >= 1).cast("double").alias("y"))
-        .toPandas()
-    )
+    labelled = stats.where(~held_out()).join(marked, "doc_id").select("doc_id", "stats", (F.col("quality") >= 1).cast("double").alias("y"))
+    sample = at_most(labelled, rows, labelled.count(), "doc_id").toPandas()
+    # The fit depends on the rows alone, not on the order in which they arrive.
+    sample = sample.iloc[np.lexsort((sample["stats"].map(sum), sample["doc_id"]))] if len(sample) else sample
     x = np.stack(sample["stats"].to_numpy()) if len(sample) else np.zeros((0, len(NAMES)))
     return fit(x, sample["y"].to_numpy(dtype=float))
 
