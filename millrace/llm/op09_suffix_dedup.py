@@ -72,18 +72,32 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, stop: np.ndarray, anch
     value = bytes_.view(">u8").ravel().astype(np.uint64)
     by_value = np.lexsort((size, value))
     step = (np.diff(value[by_value]) != 0) | (np.diff(size[by_value]) != 0)
-    symbol = np.empty(len(at) + 1, np.int64)
+    symbol = np.empty(len(at), np.int64)
     symbol[by_value] = np.concatenate(([0], np.cumsum(step))) + 2
-    symbol[:-1][size == 0] = 1
-    symbol[-1] = 0
-    order = suffix_order(symbol)
-    order = order[1:]
-    order = order[size[order] > 0]
-    shared = _common(order[:-1], order[1:], value, size, length)
-    offset = at - start[owner]
     total = np.cumsum(stop - start - length + 1)
     first = total - (stop - start - length + 1)
     out = np.zeros(total[-1], bool)
+    # A window holds so many whole blocks. With a block that occurs once it can't
+    # occur again, so only long runs of other blocks are sorted, each with the
+    # block after it, which ends what its suffixes share.
+    least = (length - BLOCK + 1) // BLOCK
+    again = (size == BLOCK) & (np.bincount(symbol)[symbol] > 1)
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], again.view(np.int8), [0]))))  # the empty block at each end parts strings
+    runs = edge.reshape(-1, 2)
+    runs = runs[runs[:, 1] - runs[:, 0] >= least]
+    if not len(runs):
+        return out
+    amount = runs[:, 1] - runs[:, 0] + 2  # and the block after, and a separator
+    block = np.repeat(runs[:, 0] - (np.cumsum(amount) - amount), amount) + np.arange(amount.sum())
+    parting = np.cumsum(amount) - 1
+    text = symbol[np.minimum(block, len(symbol) - 1)]
+    text[size[np.minimum(block, len(symbol) - 1)] == 0] = 1
+    text[parting] = 1
+    order = suffix_order(np.append(text, 0))[1:]
+    order = order[text[order] > 1]
+    order = block[order]
+    shared = _common(order[:-1], order[1:], value, size, length)
+    offset = at - start[owner]
     before = np.zeros(len(order), np.uint64)
     for t in range(BLOCK):
         if t:
