@@ -103,11 +103,13 @@ def to_training(
     ignore_index: int = IGNORE,
     pad_to_length: int | None = None,
     pad_token_id: int = 0,
+    extra_fields: tuple[str, ...] = (),
     rename: dict[str, str] | None = None,
     exclude: tuple[str, ...] = (),
 ) -> DataFrame:
     """Token rows as training rows. Masks apply in a fixed order: padding,
-    supervision, segment starts, ends of sequences."""
+    supervision, segment starts, ends of sequences. ``extra_fields`` are
+    columns aligned with the tokens: padded with 0 and cut like the inputs."""
     out = df.withColumn("_real", (F.col(real) if real else F.size(tokens)).cast("int"))
     ids = F.col(tokens)
     if pad_to_length is not None:
@@ -119,6 +121,8 @@ def to_training(
             out = out.withColumn(position_column, F.concat(F.col(position_column).cast("array<int>"), more))
         if supervision:
             out = out.withColumn(supervision, F.concat(supervision, F.array_repeat(F.lit(0).cast("tinyint"), F.col("_tail"))))
+        for f in extra_fields:
+            out = out.withColumn(f, F.concat(f, F.array_repeat(F.lit(0).cast(df.schema[f].dataType.elementType), F.col("_tail"))))
         out = out.withColumn(tokens, F.concat(ids, F.array_repeat(F.lit(pad_token_id).cast("bigint"), F.col("_tail")))).drop("_tail")
     ids = F.col(tokens)
     place = F.col(position_column) if position_column else sequence_positions(ids)
@@ -134,7 +138,7 @@ def to_training(
         out = out.withColumn("labels", target).withColumn("loss_mask", loss_mask(F.col("labels"), ignore_index)).withColumn("num_valid_tokens", valid(F.col("labels"), ignore_index))
         # A row of padding alone loses one place like any other.
         out = out.withColumn("_real", F.least(F.col("_real"), F.greatest(F.size(tokens) - 1, F.lit(0))))
-        out = out.withColumn(tokens, inputs(F.col(tokens))).withColumn("_pos", inputs(F.col("_pos")))
+        out = out.withColumns({f: inputs(F.col(f)) for f in extra_fields}).withColumn(tokens, inputs(F.col(tokens))).withColumn("_pos", inputs(F.col("_pos")))
     out = out.withColumn("padding_mask", padding_mask(F.col(tokens), F.col("_real"))).withColumn("document_ids", document_ids(F.col("_pos"), F.col("_real")))
     out = out.withColumn("cu_seqlens", cu_seqlens(F.col("_pos"))).withColumn("max_seqlen", max_seqlen(F.col("cu_seqlens"))).withColumn("position_ids", F.col("_pos")).drop("_pos", "_real")
     return renamed(out, rename or {}, exclude)

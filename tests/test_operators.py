@@ -88,6 +88,8 @@ def test_training_columns(spark):
     assert r.document_ids == [1, 1, 1, 2, 2] and r.cu_seqlens == [0, 3, 5] and r.max_seqlen == 3 and r.padding_mask == [False] * 5
     p = training.to_training(df.drop("mask"), real="total", position_column="positions", return_labels=False, pad_to_length=8).first()
     assert p.input_ids == [5, 6, 2, 7, 8, 0, 0, 0] and p.document_ids == [1, 1, 1, 2, 2, 0, 0, 0] and p.padding_mask[4:] == [False, True, True, True]
+    extra = training.to_training(df.select("input_ids", F.transform("input_ids", lambda x: x * 10).alias("w")), pad_to_length=7, extra_fields=("w",)).first()
+    assert extra.w == [50, 60, 20, 70, 80, 0] and len(extra.input_ids) == 6
     empty = training.to_training(spark.createDataFrame([([0, 0, 0], 0)], "input_ids array<bigint>, n int"), real="n").first()
     assert empty.labels == [-100, -100] and empty.padding_mask == [True, True]
     with pytest.raises(Exception, match="pad_to_length"):
@@ -234,6 +236,15 @@ def test_state_and_checks(spark):
     assert all(r.actual == 1.0 for r in drift)
 
 
+def test_metrics(spark):
+    from millrace.observability import Metrics
+
+    metrics = Metrics()
+    df = metrics.observe("in", lane_rows(spark, 10), tokens="input_ids", lanes=F.max("lane_id"))
+    metrics.observe("kept", df.where("local_id < 4")).collect()
+    assert metrics.snapshot() == {"in": {"rows": 10, "tokens": 30, "lanes": 1}, "kept": {"rows": 4}}
+
+
 def test_streams(spark, tmp_path):
     from millrace.streaming.runner import over_chunks, running_counts
 
