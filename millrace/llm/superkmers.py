@@ -1,8 +1,12 @@
 """Super-k-mers: consecutive windows that share a minimiser, packed as one string.
 
 A window of fixed length (words or bytes) belongs to the smallest gram hash in
-it, the leftmost of equal ones. The choice depends on the window's content
-alone, so equal windows meet in one bucket. Consecutive windows with the same
+it, the leftmost of equal ones. Grams of a fixed share of the hash space come
+first, and among them those that are not frequent in the corpus (by counts over
+all rows in a table of fixed size): a window that a common passage fills only in
+part then goes to the bucket of a gram of its own, not to the passage's. The
+choice depends on the window's content and that table alone, so equal windows
+meet in one bucket. Consecutive windows with the same
 minimiser overlap and travel as one string; equal strings of one task travel
 once with all their places. What a task sends to a bucket is one compressed
 block, so a bucket is read back block by block.
@@ -19,12 +23,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sketch
 from .textvec import BLANK, mix, ranges, runs, slices, sums, words
 
 LAST = (1 << 63) - 1
 #: Text bytes that a task gathers before it sends, and packed bytes meant for one bucket.
 GATHER, BUCKET = 12 << 20, 20 << 20
 _LOW = np.uint64(0xFFFFFFFF)
+#: One gram hash in so many is counted and preferred, for words and for bytes.
+SHARE_WORDS, SHARE_BYTES = 4, 16
 
 
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -53,9 +60,16 @@ class Cut:
     hash: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
 
-def _runs(grams: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _cells(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - sketch.BITS)).astype(np.int64)
+
+
+def _runs(grams: np.ndarray, first: np.ndarray, window: int, gram: int, share: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, first window, last window, minimiser) of each run of windows."""
-    keys = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
+    rank = np.full(len(grams), 2, np.uint64)
+    counted = np.flatnonzero(grams & np.uint64(share - 1) == 0)
+    rank[counted] = hot[_cells(grams[counted])]
+    keys = (rank << np.uint64(62)) | ((grams >> np.uint64(34)) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
     best = (sliding_min(keys, window - gram + 1) & _LOW).astype(np.int64)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(best)]
     at = np.flatnonzero(np.arange(len(best)) + window <= first[1:][row])
@@ -69,7 +83,21 @@ def _runs(grams: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple
     return row[at[begin]], at[begin], at[end], best[at[begin]]
 
 
-def cut_words(data: np.ndarray, ends: np.ndarray, window: int, gram: int) -> Cut:
+def word_grams(data: np.ndarray, ends: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of the word grams of a slice, without those across rows."""
+    starts, stops, first = words(data, ends)
+    grams = runs(ranges(sums(data), starts, stops), gram)
+    last = np.repeat(first[1:], np.diff(first))[: len(grams)]
+    return grams[np.arange(len(grams)) + gram <= last]
+
+
+def byte_grams(data: np.ndarray, ends: np.ndarray, gram: int) -> np.ndarray:
+    at = np.arange(max(len(data) - gram + 1, 0))
+    last = np.repeat(ends[1:], np.diff(ends))[: len(at)]
+    return ranges(sums(data), at, at + gram)[at + gram <= last]
+
+
+def cut_words(data: np.ndarray, ends: np.ndarray, window: int, gram: int, hot: np.ndarray) -> Cut:
     """Runs of word windows; strings are words joined by one space."""
     apart = BLANK[data]
     starts, stops, first = words(data, ends)
@@ -81,17 +109,17 @@ def cut_words(data: np.ndarray, ends: np.ndarray, window: int, gram: int) -> Cut
     starts, stops = moved[starts], moved[starts] + (stops - starts)
     prefix = sums(joined)
     grams = runs(ranges(prefix, starts, stops), gram)
-    row, a, b, best = _runs(grams, first, window, gram)
+    row, a, b, best = _runs(grams, first, window, gram, SHARE_WORDS, hot)
     low, high = starts[a], stops[b + window - 1] if len(b) else b
     return Cut(joined, row, a - first[row], low, high, starts[best] - low if len(a) else a, grams[best], ranges(prefix, low, high))
 
 
-def cut_bytes(data: np.ndarray, ends: np.ndarray, window: int, gram: int) -> Cut:
+def cut_bytes(data: np.ndarray, ends: np.ndarray, window: int, gram: int, hot: np.ndarray) -> Cut:
     prefix = sums(data)
     n = len(data) - gram + 1
     at = np.arange(max(n, 0))
     grams = ranges(prefix, at, at + gram)
-    row, a, b, best = _runs(grams, ends, window, gram)
+    row, a, b, best = _runs(grams, ends, window, gram, SHARE_BYTES, hot)
     return Cut(data, row, a - ends[row], a, b + window, best - a, grams[best], ranges(prefix, a, b + window))
 
 
@@ -172,16 +200,26 @@ def _send(cuts: list[tuple[Cut, np.ndarray, np.ndarray]], buckets: int) -> Itera
         yield int(goal[by_goal[lo]]), _block(texts, anchor[strings], [rank[number[mine]] - lo, doc[mine], key[mine], place[mine]])
 
 
-def _pack(cut: Callable, window: int, gram: int, buckets: int):
+def _sample(grams_of: Callable, gram: int, share: int):
+    def cells(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, data, ends in slices(batch.column("_text")):
+            grams = grams_of(data, ends, gram)
+            yield _cells(grams[grams & np.uint64(share - 1) == 0])
+
+    return cells
+
+
+def _pack(cut: Callable, window: int, gram: int, buckets: int, packed: bytes):
     def batch_of(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)).astype(np.uint64)
         cuts, held = [], 0
         for batch in batches:
             doc, key = batch.column("_doc").to_numpy(), batch.column("_key").to_numpy()
             for first, data, ends in slices(batch.column("_text")):
-                found = cut(data, ends, window, gram)
+                found = cut(data, ends, window, gram, hot)
                 cuts.append((found, doc[first : first + len(ends) - 1], key[first : first + len(ends) - 1]))
                 held += len(data)
                 if held >= GATHER:
@@ -219,7 +257,10 @@ def spans(docs: DataFrame, cut: Callable, window: int, gram: int, judge: Callabl
     source = keyed(docs)
     size = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-3 * size // BUCKET))
-    packed = source.mapInArrow(_pack(cut, window, gram, buckets), "bucket long, block binary")
+    of_words = cut is cut_words
+    counts = sketch.counted(source.select("_text"), _sample(word_grams if of_words else byte_grams, gram, SHARE_WORDS if of_words else SHARE_BYTES))
+    hot = zstandard.ZstdCompressor().compress(np.packbits(sketch.frequent(counts)).tobytes())
+    packed = source.mapInArrow(_pack(cut, window, gram, buckets, hot), "bucket long, block binary")
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_unpack(judge), "_doc long, _key long, first long, stop long")
 
 
