@@ -110,7 +110,7 @@ def test_files(spark, tmp_path):
     assert got == [(0, 0, "p"), (0, 1, "q"), (0, 2, "r"), (1, 0, "x"), (1, 1, "y")]
     assert detect_format(["z/a.parquet"]) == "parquet" and detect_format(["a.jsonl.gz", "b.parquet"]) == "jsonl"
     with pytest.raises(ValueError):
-        detect_format(["a.bin"])
+        detect_format(["a.unknown"])
     spark.range(10).repartition(3).write.parquet(str(tmp_path / "p"))
     rows = Dataset.from_path("p", str(tmp_path / "p")).load(spark)
     assert shard_index(rows).agg(F.sum("num_rows")).first()[0] == 10
