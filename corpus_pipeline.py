@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import common, op01_quality, op04_jaccard, op05_secrets, op07_decontaminate, op10_pack
 
+#: Words of a shingle and hundredths of similarity from which documents are near copies.
+NEAR_WORDS, NEAR_LEAST = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -19,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
-    return op04_jaccard.one_of_each(spark, docs)
+    return op04_jaccard.one_of_each(spark, docs, NEAR_WORDS, NEAR_LEAST)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

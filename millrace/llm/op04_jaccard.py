@@ -1,7 +1,8 @@
 """Exact Jaccard join over word shingles with token-combination prefixes.
 
-Every text becomes the set of its 4-word shingles (64-bit hashes). Equal sets
-are one node. Two sets link when 100 * intersection >= 85 * union.
+Every text becomes the set of its shingles of ``size`` words (64-bit hashes).
+Equal sets are one node. Two sets link when 100 * intersection >= ``least`` *
+union; the query op4_jaccard takes ``SHINGLE`` and ``LEAST``.
 
 1. Nodes that agree in a band of minima are compared with one pivot of the
    band, its member of the most frequent shingles on average: among near copies
@@ -9,7 +10,7 @@ are one node. Two sets link when 100 * intersection >= 85 * union.
    without any pair list.
 2. Shingles are ordered from rare to frequent, by counts over all documents
    that a sketch of fixed size holds. Sets of n shingles that link differ in
-   at most t = 15n/100 shingles of either. A prefix is long enough when every
+   at most t = (100 - least)n/100 shingles of either. A prefix is long enough when every
    choice of t lost shingles leaves a signature: rare shingles are signatures
    alone; frequent ones are dealt into groups and each two of a group in the
    prefix form one, so the prefix is extended by the groups it touches. Then
@@ -21,7 +22,7 @@ are one node. Two sets link when 100 * intersection >= 85 * union.
 
 Links are never collected. Pivots and hot signatures are dealt out in salted
 parts. Defined results: null, empty and wordless texts are linked with nothing
-and keep their own doc_id; a text of one to three words is one shingle;
+and keep their own doc_id; a text of fewer words than a shingle is one shingle;
 repeated rows and repeated doc_ids are rows of their own; null doc_ids count as
 the largest and stay null unless a group has another id.
 """
@@ -95,33 +96,37 @@ def _bands(found: np.ndarray) -> np.ndarray:
 _SETS = "_doc long, _key long, n long, node long, bands array<long>, part int, counts binary"
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and this task's shingle counts in parts."""
-    names = ["_doc", "_key", "n", "node", "bands", "part", "counts"]
-    counts = np.zeros(1 << _SKETCH_BITS, np.int64)
-    for batch in batches:
-        size, node, bands = [], [], []
-        for _, data, ends in slices(batch.column("_text")):
-            sets = list(shingle_sets(data, ends))
-            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-            for found in sets:
-                size.append(len(found))
-                if len(found):
-                    both = np.array([np.bitwise_xor.reduce(mix(found)), np.add.reduce(mix(found ^ np.uint64(0x5851F42D4C957F2D)))])
-                    node.append(int(_signed(mix(both[:1] + both[1:] * np.uint64(3)))[0]))
-                    bands.append(None if links_only_equals(len(found)) else _signed(_bands(found)))
-                else:
-                    node.append(None)
-                    bands.append(None)
-        k = len(size)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_doc"), batch.column("_key"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names
-        )
-    packer = zstandard.ZstdCompressor(level=1)
-    parts = [packer.compress(p.astype("<i8").tobytes()) if p.any() else None for p in np.split(counts, _PARTS)]
-    have = [i for i, p in enumerate(parts) if p]
-    none = pa.nulls(len(have), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(have), pa.list_(pa.int64())), pa.array(have, pa.int32()), pa.array([parts[i] for i in have], pa.binary())], names=names)
+def _describe(width: int, least: int):
+    """A row for each document, and each task's shingle counts in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_doc", "_key", "n", "node", "bands", "part", "counts"]
+        counts = np.zeros(1 << _SKETCH_BITS, np.int64)
+        for batch in batches:
+            size, node, bands = [], [], []
+            for _, data, ends in slices(batch.column("_text")):
+                sets = list(shingle_sets(data, ends, width))
+                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                for found in sets:
+                    size.append(len(found))
+                    if len(found):
+                        both = np.array([np.bitwise_xor.reduce(mix(found)), np.add.reduce(mix(found ^ np.uint64(0x5851F42D4C957F2D)))])
+                        node.append(int(_signed(mix(both[:1] + both[1:] * np.uint64(3)))[0]))
+                        bands.append(None if links_only_equals(len(found), least) else _signed(_bands(found)))
+                    else:
+                        node.append(None)
+                        bands.append(None)
+            k = len(size)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_doc"), batch.column("_key"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names
+            )
+        packer = zstandard.ZstdCompressor(level=1)
+        parts = [packer.compress(p.astype("<i8").tobytes()) if p.any() else None for p in np.split(counts, _PARTS)]
+        have = [i for i, p in enumerate(parts) if p]
+        none = pa.nulls(len(have), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(have), pa.list_(pa.int64())), pa.array(have, pa.int32()), pa.array([parts[i] for i in have], pa.binary())], names=names)
+
+    return run
 
 
 def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +196,7 @@ def signatures(found: np.ndarray, classes: np.ndarray, least: int = LEAST) -> tu
     return np.concatenate(keys), np.concatenate(beside)
 
 
-def _index(classes: np.ndarray):
+def _index(classes: np.ndarray, size: int, least: int):
     packed = zstandard.ZstdCompressor().compress(classes.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +204,8 @@ def _index(classes: np.ndarray):
         for batch in batches:
             keys, beside, central, parity = [], [], [], []
             for _, data, ends in slices(batch.column("_text")):
-                for found in shingle_sets(data, ends):
-                    one, rest = signatures(found, levels)
+                for found in shingle_sets(data, ends, size):
+                    one, rest = signatures(found, levels, least)
                     keys.append(_signed(one))
                     beside.append(rest)
                     parity.append(np.packbits(np.bincount((found >> np.uint64(55)).astype(np.int64), minlength=_PARITY) & 1 == 1).tobytes())
@@ -214,27 +219,31 @@ def _index(classes: np.ndarray):
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(size: int, least: int):
     """Rows in order of (group, salt), the pivot first in each."""
-    at, pivot, own = None, np.zeros(0, np.uint64), None
-    for batch in batches:
-        group, salt, node, first = (batch.column(c).to_pylist() for c in ("g", "salt", "node", "is_pivot"))
-        a, b = [], []
-        row = 0
-        for _, data, ends in slices(batch.column("_text")):
-            for found in shingle_sets(data, ends):
-                if first[row]:
-                    at, pivot, own = (group[row], salt[row]), found, node[row]
-                elif at == (group[row], salt[row]):
-                    same = len(np.intersect1d(pivot, found, assume_unique=True))
-                    if 100 * same >= LEAST * (len(pivot) + len(found) - same):
-                        a.append(own)
-                        b.append(node[row])
-                row += 1
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pivot, own = None, np.zeros(0, np.uint64), None
+        for batch in batches:
+            group, salt, node, first = (batch.column(c).to_pylist() for c in ("g", "salt", "node", "is_pivot"))
+            a, b = [], []
+            row = 0
+            for _, data, ends in slices(batch.column("_text")):
+                for found in shingle_sets(data, ends, size):
+                    if first[row]:
+                        at, pivot, own = (group[row], salt[row]), found, node[row]
+                    elif at == (group[row], salt[row]):
+                        same = len(np.intersect1d(pivot, found, assume_unique=True))
+                        if 100 * same >= least * (len(pivot) + len(found) - same):
+                            a.append(own)
+                            b.append(node[row])
+                    row += 1
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """The links among ``pairs`` (a, b), compared on whole texts."""
     wide = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
     members = pairs.join(wide, "a").select(F.col("a").alias("g"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("node"), F.lit(0).alias("is_pivot"))
@@ -247,17 +256,17 @@ def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: Data
     shared = texts.select("node", "_text", F.explode("uses").alias("use")).select("use.g", "use.salt", "use.is_pivot", "node", "_text")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     dealt = shared.repartition(n, "g", "salt").sortWithinPartitions("g", "salt", F.desc("is_pivot"))
-    return stored(spark, dealt.mapInArrow(_compare, "a long, b long").distinct())
+    return stored(spark, dealt.mapInArrow(_compare(size, least), "a long, b long").distinct())
 
 
-def _pairs(key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, beside: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _pairs(key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, beside: np.ndarray, parity: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
     """Distinct pairs of different components with a key in common, unless
     sizes, what may be shared beside the key, or parity rule them out: where
     two parity maps differ, the sets differ in a shingle at least."""
     order = np.lexsort((n, key))
     key, node, comp, n, beside, parity = key[order], node[order], comp[order], n[order], beside[order], parity[order]
     group = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
-    reach = np.searchsorted((group << 32) + n, (group << 32) + 100 * n // LEAST, side="right")
+    reach = np.searchsorted((group << 32) + n, (group << 32) + 100 * n // least, side="right")
     size = reach - np.arange(len(n)) - 1
     total = np.cumsum(size)
     at = 0
@@ -268,7 +277,7 @@ def _pairs(key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, b
         at = to
         both = n[left] + n[right]
         most = 1 + np.minimum(beside[left], beside[right])
-        stay = np.flatnonzero((comp[left] != comp[right]) & (100 * most >= LEAST * (both - most)))
+        stay = np.flatnonzero((comp[left] != comp[right]) & (100 * most >= least * (both - most)))
         left, right, both = left[stay], right[stay], both[stay]
         a, b = np.minimum(node[left], node[right]), np.maximum(node[left], node[right])
         _, one = np.unique(mix(a.view(np.uint64) * np.uint64(3)) + b.view(np.uint64), return_index=True)
@@ -276,30 +285,34 @@ def _pairs(key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, b
         for k in range(0, len(one), 1 << 15):
             i = one[k : k + (1 << 15)]
             apart = np.bitwise_count(parity[left[i]] ^ parity[right[i]]).sum(axis=1, dtype=np.int64)
-            found.append(i[100 * (both[i] - apart) >= LEAST * (both[i] + apart)])
+            found.append(i[100 * (both[i] - apart) >= least * (both[i] + apart)])
         if found:
             one = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one])], names=["a", "b"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(least: int):
     """Pairs across components of each key; rows in order of key."""
-    held: list[tuple[np.ndarray, ...]] = []
-    waiting = 0
-    for batch in batches:
-        maps = np.frombuffer(b"".join(batch.column("parity").to_pylist()), np.uint64).reshape(-1, _PARITY // 64)
-        held.append((*(batch.column(c).to_numpy() for c in ("key", "node", "comp", "n", "beside")), maps))
-        waiting += batch.num_rows
-        if waiting < 50_000:
-            continue
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        whole = int(np.argmax(columns[0] == columns[0][-1]))
-        if whole:  # the last key may go on
-            yield from _pairs(*(c[:whole] for c in columns))
-        held = [tuple(c[whole:] for c in columns)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         waiting = 0
-    if held:
-        yield from _pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        for batch in batches:
+            maps = np.frombuffer(b"".join(batch.column("parity").to_pylist()), np.uint64).reshape(-1, _PARITY // 64)
+            held.append((*(batch.column(c).to_numpy() for c in ("key", "node", "comp", "n", "beside")), maps))
+            waiting += batch.num_rows
+            if waiting < 50_000:
+                continue
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            whole = int(np.argmax(columns[0] == columns[0][-1]))
+            if whole:  # the last key may go on
+                yield from _pairs(*(c[:whole] for c in columns), least)
+            held = [tuple(c[whole:] for c in columns)]
+            waiting = 0
+        if held:
+            yield from _pairs(*(np.concatenate(c) for c in zip(*held, strict=True)), least)
+
+    return run
 
 
 def _filter(keys: DataFrame) -> bytes:
@@ -354,7 +367,7 @@ def _spread(packed: bytes):
     return run
 
 
-def _links_across(spark: SparkSession, docs: DataFrame, nodes: DataFrame, index: DataFrame, comps: DataFrame) -> DataFrame:
+def _links_across(spark: SparkSession, docs: DataFrame, nodes: DataFrame, index: DataFrame, comps: DataFrame, size: int, least: int) -> DataFrame:
     """All links between nodes of different components."""
     tagged = stored(spark, index.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "n", "parity", "keys", "beside"))
     discard(spark, index)
@@ -362,29 +375,29 @@ def _links_across(spark: SparkSession, docs: DataFrame, nodes: DataFrame, index:
     shared = stored(spark, shared.select("key"))
     rows = tagged.mapInArrow(_spread(_filter(shared)), "key long, node long, comp long, n long, parity binary, beside long").join(shared, "key")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    found = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long").distinct()
+    found = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_across(least), "a long, b long").distinct()
     pairs = stored(spark, found)
     discard(spark, tagged)
     discard(spark, shared)
-    return verified(spark, docs, nodes, pairs)
+    return verified(spark, docs, nodes, pairs, size, least)
 
 
-def grouped(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def grouped(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """(_doc, _key, n, component): component is the smallest _doc of the group."""
     small_batches(spark)
-    sets = stored(spark, keyed(docs).mapInArrow(_describe, _SETS))
+    sets = stored(spark, keyed(docs).mapInArrow(_describe(size, least), _SETS))
     rows = sets.where("_doc is not null").select("_doc", "_key", "n", "node", "bands")
     low = rows.where("n > 0").groupBy("node", "n").agg(F.min(F.struct("_doc", "_key", "bands")).alias("low"))
     nodes = stored(spark, low.select("node", "n", "low.*"))
-    indexed = keyed(docs).mapInArrow(_index(frequency_classes(sets)), "_doc long, _key long, central double, parity binary, keys array<long>, beside array<int>").where("size(keys) > 0")
+    indexed = keyed(docs).mapInArrow(_index(frequency_classes(sets), size, least), "_doc long, _key long, central double, parity binary, keys array<long>, beside array<int>").where("size(keys) > 0")
     index = stored(spark, indexed.join(nodes.select("_doc", "_key", "node", "n"), ["_doc", "_key"]).dropDuplicates(["_doc", "_key"]).select("node", "n", "central", "parity", "keys", "beside"))
     bands = stored(spark, nodes.select("node", "n", F.explode("bands").alias("band")).join(index.select("node", "central"), "node"))
     pivots = stored(spark, bands.groupBy("band").agg(F.min(F.struct(-F.col("central"), "node", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", F.col("p.node").alias("a"), F.col("p.n").alias("m")))
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * LEAST
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * least
     star = stored(spark, bands.join(pivots, "band").where((F.col("a") != F.col("node")) & fits).select("a", F.col("node").alias("b")).distinct())
-    near = verified(spark, docs, nodes, star)
+    near = verified(spark, docs, nodes, star, size, least)
     comps = components(spark, near)
-    links = near.unionByName(_links_across(spark, docs, nodes, index, comps))
+    links = near.unionByName(_links_across(spark, docs, nodes, index, comps, size, least))
     final = components(spark, links)
     heads = final.join(nodes, "node").groupBy("comp").agg(F.min("_doc").alias("component"))
     named = final.join(stored(spark, heads), "comp").select("node", "component")
@@ -397,10 +410,10 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(spark, documents(spark, sf_dir)).select(known("_doc").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def one_of_each(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """Pipeline stage: of each group the row of the smallest doc_id stays;
     documents without words all stay."""
-    rows = stored(spark, grouped(spark, docs))
+    rows = stored(spark, grouped(spark, docs, size, least))
     first = rows.where("n > 0").groupBy("component").agg(F.min(F.struct("_doc", "_key")).alias("f")).select("f.*", F.lit(1).alias("_stays"))
     names = docs.columns
     key = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_key": F.xxhash64("text")})

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-OP4 = f"""
+
+def near_copies(size: int, least: int) -> str:
+    return f"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-sh AS (SELECT DISTINCT rid, array_to_string(w[i + 1 : i + 4], ' ') AS s FROM d, unnest(range(greatest(1, len(w) - 3))) AS u(i) WHERE len(w) > 0),
+sh AS (SELECT DISTINCT rid, array_to_string(w[i + 1 : i + {size}], ' ') AS s FROM d, unnest(range(greatest(1, len(w) - {size - 1}))) AS u(i) WHERE len(w) > 0),
 n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
 shared AS (SELECT a.rid AS a, b.rid AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL),
-link AS (SELECT a, b FROM shared JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+link AS (SELECT a, b FROM shared JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * k >= {least} * (x.n + y.n - k)),
 pair AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach AS (SELECT rid AS a, rid AS b FROM d UNION SELECT reach.a, pair.b FROM reach JOIN pair ON reach.b = pair.a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
 FROM d LEFT JOIN n USING (rid) JOIN reach ON reach.a = d.rid JOIN d o ON o.rid = reach.b GROUP BY d.rid, d.doc_id, n.n
 """
 
+
+OP4 = near_copies(4, 85)
+
 OP6 = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 win AS (SELECT rid, doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS h FROM d, unnest(range(len(w) - 49)) AS u(i)),

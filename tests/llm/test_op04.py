@@ -82,3 +82,45 @@ def test_against_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert op.grouped(spark, df).count() == 0 and op.one_of_each(spark, df).count() == 0
+
+
+def _marked(words, marks):
+    return " ".join("changed%d" % i if i in marks else w for i, w in enumerate(words))
+
+
+def test_other_sizes_against_sql(spark):
+    """The pipeline's shingle size and similarity, against the same SQL."""
+    import duckdb
+
+    import corpus_pipeline
+    from millrace.llm import sql
+
+    rng = random.Random(21)
+    texts = [t for _ in range(10) for t in family(rng, rng.randrange(2, 8))]
+    cut = ["c%d" % i for i in range(500)]
+    spaced = ["s%d" % i for i in range(940)]
+    docs = list(enumerate(texts)) + [(800, " ".join(cut)), (801, " ".join(cut[:415])), (810, " ".join(spaced)), (811, _marked(spaced, range(20, 940, 47))), (820, "one two three four"), (821, "one two three")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    size, least = corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_LEAST
+    assert (size, least) == (5, 80)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    got = sorted(tuple(r) for r in op.grouped(spark, df, size, least).select("_doc", "n", "component").collect())
+    assert got == sorted(con.execute(sql.near_copies(size, least)).fetchall())
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    assert {800, 810, 820, 821} <= kept and not {801, 811} & kept
+    assert {801, 811} <= {r.doc_id for r in op.one_of_each(spark, df).collect()}
+
+
+def test_signatures_at_the_pipeline_similarity():
+    rng = np.random.default_rng(5)
+    for k in range(300):
+        classes = rng.integers(0, 256, 1 << 20).astype(np.uint8) if k % 2 else np.zeros(1 << 20, np.uint8)
+        x = np.unique(rng.integers(0, 1 << 63, int(rng.choice([4, 5, 9, 20, 127, 500, 1100])), dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.88], rng.integers(0, 1 << 63, int(rng.integers(0, len(x) // 12 + 1)), dtype=np.uint64)]))
+        same = len(np.intersect1d(x, y))
+        if len(y) and not np.array_equal(x, y) and 100 * same >= 80 * (len(x) + len(y) - same):
+            (a, left), (b, right) = op.signatures(x, classes, 80), op.signatures(y, classes, 80)
+            _, i, j = np.intersect1d(a, b, return_indices=True)
+            assert (1 + np.minimum(left[i], right[j]) >= same).any()
