@@ -1,12 +1,14 @@
 """Secret scan: fixed patterns, and a battery of randomness tests.
 
 DataFrame functions only. The base patterns give spans of known shapes. The
-method adds spans of kind ``random``: long runs of coding characters that mix
-letters and digits and hold no base span. For each such run an alphabet is
-inferred (hexadecimal, base 32, base 36 or base 64) and three tests of
-uniform randomness are made: chi-squared over the alphabet, the number of runs
-above and below its middle, and the serial correlation of neighbours. Fisher's
-method joins the three p-values.
+method adds spans of kind ``random``: long runs of coding characters. Base spans
+are cut out of a run, and what is left of it is a run if it is long enough. For
+every run an alphabet is inferred (digits, hexadecimal, letters of one or both
+cases, base 32, base 36 or base 64) and three tests of uniform randomness are
+made: chi-squared over the alphabet, the number of runs
+above and below its middle, and the serial correlation of neighbours. Letters
+alone have a fourth, against words: whether the letters that are frequent in
+European languages prevail. Fisher's method joins the p-values.
 
 A short run has little power to look unlike random text, so rejections are
 controlled within each alphabet and length class: the Benjamini-Hochberg
@@ -34,13 +36,23 @@ HEX = r"[0-9a-f]{32,}"
 CODED = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 
-#: (name, pattern of the run, letters in order)
+LONG = 20
+
+# Letters of English, German, French and Spanish text from frequent to rare.
+FREQUENT = "enairstoldcumphgbvfwkzyqxj"
+
+#: (name, pattern of the run, letters in order); the first that fits counts, and
+#: one without capitals takes both cases as equal.
 ALPHABETS = (
+    ("decimal", "^[0-9]+$", "0123456789"),
     ("hex", "^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
+    ("letters", "^([a-z]+|[A-Z]+)$", FREQUENT),
+    ("mixed", "^[A-Za-z]+$", FREQUENT + FREQUENT.upper()),
     ("base32", "^[A-Z2-7]+=*$", "abcdefghijklmnopqrstuvwxyz234567"),
     ("base36", "^([0-9a-z]+|[0-9A-Z]+)$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
+WORDLIKE = ("letters", "mixed")
 RATE = 0.01
 _STEPS = 80
 
@@ -72,8 +84,9 @@ def _tail(z: Column) -> Column:
     return F.greatest(F.lit(1e-30), F.when(z >= 0, half).otherwise(1 - half))
 
 
-def battery(token: Column, letters: Column, caseless: Column) -> Column:
-    """Joint p-value of a run under uniform draws from ``letters``."""
+def battery(token: Column, letters: Column, caseless: Column, wordlike: Column) -> Column:
+    """Joint p-value of a run under uniform draws from ``letters``, which stand
+    from frequent to rare if ``wordlike``."""
     plain = F.rtrim(F.translate(token, "-_", "+/"), F.lit("="))
     plain = F.when(caseless, F.lower(plain)).otherwise(plain)
     values = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.greatest(F.lit(0), F.instr(letters, c) - 1).cast("double"))
@@ -97,7 +110,10 @@ def battery(token: Column, letters: Column, caseless: Column) -> Column:
         together = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
         p_serial = F.when(spread > 0, 2 * _tail(F.abs((together / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n)))).otherwise(F.lit(1e-6))
         half = -(F.log(p_chi) + F.log(F.least(p_runs, F.lit(1.0))) + F.log(F.least(p_serial, F.lit(1.0))))
-        return once(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
+        frequent = -F.log(_tail(((k - 1) / 2 - mean) / F.sqrt((k * k - 1) / 12 / n)))
+        three = lambda h: F.exp(-h) * (1 + h + h * h / 2)
+        four = lambda h: F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6)
+        return F.when(wordlike, once(half + frequent, four)).otherwise(once(half, three))
 
     # A run of padding alone counts as two equal letters.
     whole = F.when(F.size(values) > 1, values).otherwise(F.array(F.lit(0.0), F.lit(0.0)))
@@ -106,19 +122,36 @@ def battery(token: Column, letters: Column, caseless: Column) -> Column:
     return once(bound, judged)
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<start, stop, class, step>>: coded runs with their class
-    (alphabet and length) and the step of their p-value."""
-    coded = F.filter(found(text, CODED), lambda s: s["what"].rlike("[0-9].*[0-9]") & s["what"].rlike("[A-Za-z]"))
+def rests(run: Column, base: Column) -> Column:
+    """What ``base``, in order of start, leaves of a run: pieces of ``LONG``."""
+
+    def upto(acc, end):
+        start, size = acc["at"], end - acc["at"]
+        what = F.substring(run["what"], (start - run["start"] + 1).cast("int"), F.greatest(size, F.lit(0)).cast("int"))
+        piece = F.struct(start.alias("start"), end.alias("stop"), what.alias("what"))
+        return F.when(size >= LONG, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
+
+    none = F.array().cast("array<struct<start:bigint,stop:bigint,what:string>>")
+    meets = F.filter(base, lambda b: (b["start"] < run["stop"]) & (run["start"] < b["stop"]))
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["stop"]).alias("at"), upto(acc, b["start"]).alias("out"))
+    return F.aggregate(meets, F.struct(run["start"].alias("at"), none.alias("out")), step, lambda acc: upto(acc, run["stop"]))
+
+
+def candidates(text: Column, base: Column) -> Column:
+    """array<struct<start, stop, class, step>>: coded runs outside the spans in
+    ``base`` with their class (alphabet and length) and the step of their p-value."""
+    coded = F.flatten(F.transform(found(text, CODED), lambda s: rests(s, base)))
 
     def judged(s):
-        token, size = s["what"], F.least(F.floor(F.log2((s["stop"] - s["start"]) / 10.0) * 2), F.lit(15)).cast("int")
+        # A separator between a run and a span that was cut off says nothing of the alphabet.
+        bare = F.regexp_replace(s["what"], "^[+/_=-]+|[+/_-]+$", "")
+        token, size = F.when(bare.rlike("^[A-Za-z0-9]+=*$"), bare).otherwise(s["what"]), F.least(F.floor(F.log2((s["stop"] - s["start"]) / 10.0) * 2), F.lit(15)).cast("int")
         last = len(ALPHABETS) - 1
         kind, letters = F.lit(last), F.lit(ALPHABETS[last][2])
         for i in reversed(range(last)):
             kind = F.when(token.rlike(ALPHABETS[i][1]), F.lit(i)).otherwise(kind)
             letters = F.when(token.rlike(ALPHABETS[i][1]), F.lit(ALPHABETS[i][2])).otherwise(letters)
-        p = battery(token, letters, kind < last)
+        p = battery(token, letters, letters == F.lower(letters), kind.isin([i for i, a in enumerate(ALPHABETS) if a[0] in WORDLIKE]))
         step = F.least(F.floor(-4 * F.log10(F.greatest(p, F.lit(1e-30)))), F.lit(_STEPS - 1)).cast("int")
         return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), (kind * 16 + size).alias("class"), F.greatest(step, F.lit(0)).alias("step"))
 
@@ -173,9 +206,10 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns in ``keep``, base spans, their numbers and candidate runs."""
     text = F.coalesce(F.col("_text"), F.lit(""))
     rows = docs.select(*keep, F.col("text").alias("_text"))
-    rows = rows.select(*keep, *[s.alias(f"_{k}") for k, s in zip(KINDS, base_spans(text), strict=False)], candidates(text).alias("runs"))
+    rows = rows.select(*keep, "_text", *[s.alias(f"_{k}") for k, s in zip(KINDS, base_spans(text), strict=False)])
     counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]]
-    return rows.select(*keep, *counts, _ordered([F.col(f"_{k}") for k in KINDS[:3]]).alias("base"), "runs")
+    rows = rows.select(*keep, "_text", *counts, _ordered([F.col(f"_{k}") for k in KINDS[:3]]).alias("base"))
+    return rows.select(*keep, *[f"n_{k}" for k in KINDS[:3]], "base", candidates(text, F.col("base")).alias("runs"))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,10 +220,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redacted(spark: SparkSession, docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """Pipeline stage: every span of a text is replaced by ``mark``."""
-    rejected = limits(docs.select(candidates(F.coalesce(F.col("text"), F.lit(""))).alias("runs")))
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = _ordered(base_spans(text))
-    spans = docs.withColumn("_base", base).withColumn("_spans", F.array_sort(F.concat("_base", random_spans(candidates(text), F.col("_base"), rejected))))
+    based = docs.withColumn("_base", _ordered(base_spans(text)))
+    runs = candidates(text, F.col("_base"))
+    rejected = limits(based.select(runs.alias("runs")))
+    spans = based.withColumn("_spans", F.array_sort(F.concat("_base", random_spans(runs, F.col("_base"), rejected))))
 
     def step(acc, s):
         fresh = s["start"] >= acc["at"]

@@ -57,3 +57,28 @@ def test_stage_redacts(spark):
     rows = {r.doc_id: r.text for r in op.redacted(spark, docs).collect()}
     assert rows == {1: "a [SECRET] é [SECRET] z", 2: None, 3: "clean"}
     assert op.redacted(spark, docs.where("false")).count() == 0
+
+
+def test_every_coded_run_is_judged(spark):
+    """Keys with fewer than two digits and of letters or digits alone; long words go."""
+    rng = random.Random(4)
+    letters, coded = "abcdefghijklmnopqrstuvwxyz", op.ALPHABETS[-1][2]
+    few = [k for k in ("".join(rng.choice(coded) for _ in range(20)) for _ in range(600)) if sum(c.isdigit() for c in k) < 2]
+    keys = [few[:60], *[["".join(rng.choice(of) for _ in range(30)) for _ in range(60)] for of in (letters, letters + letters.upper(), "0123456789")]]
+    words = [w + v for w in ("internationalization", "counterrevolutionaries", "Donaudampfschifffahrtsgesellschaft", "electroencephalographically") for v in ("andthenthewordsgoonandon", "verbesserungsmassnahmen", "nevertheless")]
+    docs = [(1000 * g + i, "see " + k + " here") for g, group in enumerate([*keys, words]) for i, k in enumerate(group)]
+    got = run(spark, docs)
+    caught = [sum(f"random:4:{4 + len(k)}" in got[1000 * g + i].spans for i, k in enumerate(group)) for g, group in enumerate([*keys, words])]
+    assert len(few) >= 60 and min(caught[:4]) >= 57 and caught[4] <= 1, caught
+
+
+def test_base_spans_are_cut_out_of_runs(spark):
+    rng = random.Random(6)
+    made = lambda of, n: "".join(rng.choice(of) for _ in range(n))
+    key, code, other = made(op.ALPHABETS[-1][2], 40), made("0123456789abcdef", 28), made(op.ALPHABETS[-1][2].replace("/", "x"), 30)
+    docs = [(1, f"{key}/token=abcdefgh"), (2, f"{code}/token=abcdefgh"), (3, f"{other}AKIA{'Q' * 16}"), (4, f"{other[:19]}/token=abcdefgh"[1:]), (5, "a" * 30 + "/token=abcdefgh")]
+    got = run(spark, docs)
+    assert got[1].spans == "random:0:41,assign:41:55" and got[2].spans == "random:0:29,assign:29:43" and got[3].spans == "random:0:30,access:30:50"
+    assert got[4].spans == got[4].b and got[5].spans == got[5].b
+    df = spark.createDataFrame([(d, t, "s") for d, t in docs], "doc_id long, text string, source string")
+    assert {r.doc_id: r.text for r in op.redacted(spark, df).collect()}[1] == "[SECRET][SECRET]"
