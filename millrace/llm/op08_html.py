@@ -4,17 +4,18 @@ A page is a stream of tags and text slots. Squares (a piece repeated at once)
 fold into repeated groups, which leaves few different streams a host. The
 streams of one host are aligned one after the other: a piece that one side
 repeats and the other has once becomes the repeated group, a piece that one
-side lacks becomes optional, and texts are slots. The result is the host's
-wrapper. It names the element that holds the main text: the one marked as
-article or main if the wrapper has any, else the element whose own slots repeat
-most outside of menus, notices and the like. Extraction then walks the whole
-page, keeps the slots inside that element and leaves out boilerplate in it.
+side lacks becomes optional, texts are slots, and so are ids and classes that
+vary in aligned labels. The result is the host's wrapper. It names the elements
+that hold the main text: those marked as article, for pages without these those
+marked as main, else elements named like them, else the element whose own slots
+repeat most outside of menus, notices and the like. Extraction then walks the
+whole page, keeps the slots inside the elements and leaves out boilerplate.
 
 Streams are made distinct by host before they are aligned, and aligned as they
 come, so a host with many pages holds one wrapper in memory and no page list.
 
-Defined results: null and empty html give empty text; a page without the
-host's main element gives the text outside boilerplate; rows are judged each;
+Defined results: null and empty html give empty text; a page without any of the
+host's main elements gives the text outside boilerplate; rows are judged each;
 a null url counts as a host of its own.
 """
 
@@ -46,6 +47,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title)\b(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>(?P<body>.*?)(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+#: Numbers of one page in an id or class.
+_NUMBERED = re.compile(r"(?<!\S)(post|postid|article|entry|story|node|item|news|content|id)([-_]?)\d+(?!\S)", re.I)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -72,9 +75,41 @@ def attributes(raw: str) -> dict[str, str]:
 def label(name: str, raw: str) -> str:
     """A tag with what names the element: the token that wrappers align."""
     found = attributes(raw)
+    return _label(name, {k: v if k == "role" else _NUMBERED.sub(r"\1\2*", v) for k, v in found.items()})
+
+
+def _label(name: str, found: dict[str, str]) -> str:
     return "<" + " ".join([name, *(f"{k}={found[k].strip()}" for k in ("class", "id", "role") if found.get(k))]) + ">"
 
 
+def common_label(one: str, other: str) -> str:
+    """The label of two that differ in an id or class that varies from page to
+    page, which becomes a slot (*); empty if they are different elements."""
+    (name, raw), (second, rest) = _parts(one), _parts(other)
+    if name != second or name in INLINE or is_boilerplate(name, raw, True) or is_boilerplate(name, rest, True):
+        return ""
+    a, b = attributes(raw), attributes(rest)
+    differ = [k for k in ("class", "id") if a.get(k, "") != b.get(k, "")]
+    if a.get("role") != b.get("role"):
+        return ""
+    if name not in ("article", "main"):
+        kept = [k for k in ("class", "id") if k not in differ and a.get(k)]
+        if not kept or not all(a.get(k) and b.get(k) for k in differ):
+            return ""
+    return _label(name, a | b | dict.fromkeys(differ, "*"))
+
+
+def fits(labelled: str, wanted: str) -> bool:
+    """Whether a label is one that ``wanted``, which may have slots, stands for."""
+    if labelled == wanted:
+        return True
+    if "=*" not in wanted:
+        return False
+    (name, raw), (second, rest) = _parts(labelled), _parts(wanted)
+    a, b = attributes(raw), attributes(rest)
+    return name == second and all(b.get(k) == "*" or a.get(k, "") == b.get(k, "") for k in ("class", "id", "role"))
+
+
 def is_boilerplate(name: str, raw: str, inside_main: bool) -> bool:
     if name in LEFT_OUT or name == "header" and not inside_main:
         return True
@@ -131,6 +166,8 @@ class Alphabet:
         return "".join(stack[0])
 
 
+#: Between labels of one kind, and between kinds of main element.
+ALSO, ELSE = "\x1f", "\x1e"
 _SQUARE = re.compile(r"(.{1,40}?)\1+", re.S)
 
 
@@ -146,6 +183,20 @@ def fold(coded: str, alphabet: Alphabet) -> str:
         coded = re.sub(f"{group}(?:{re.escape(piece)}|{group})*", group, coded)
 
 
+def _meet(one: str, other: str, alphabet: Alphabet) -> str:
+    """The code of what two codes have in common but for slots; empty if nothing."""
+    if one == other:
+        return one
+    a, b = alphabet.means[one], alphabet.means[other]
+    if isinstance(a, tuple) and isinstance(b, tuple) and len(a[1]) == len(b[1]):
+        inner = [_meet(x, y, alphabet) for x, y in zip(a[1], b[1], strict=True)]
+        return alphabet.code(("+", "".join(inner))) if all(inner) else ""
+    if isinstance(a, str) and isinstance(b, str) and a[0] == b[0] == "<" and a[1] != "/" and b[1] != "/":
+        label_ = common_label(a, b)
+        return alphabet.code(label_) if label_ else ""
+    return ""
+
+
 def align(wrapper: list[tuple[str, bool]], other: str, alphabet: Alphabet) -> list[tuple[str, bool]]:
     """Generalise ``wrapper`` (code, optional) so that it covers ``other``."""
     mine = "".join(c for c, _ in wrapper)
@@ -159,17 +210,26 @@ def align(wrapper: list[tuple[str, bool]], other: str, alphabet: Alphabet) -> li
                 wrapper = [*wrapper[:at], (code, all(o for _, o in wrapper[at : at + len(token[1])])), *wrapper[at + len(token[1]) :]]
                 mine = "".join(c for c, _ in wrapper)
                 at = mine.find(token[1])
+    met = {a + b: c for a in set(mine) for b in set(other) if a != b and (c := _meet(a, b, alphabet))}
     rows, columns = len(mine), len(other)
     longest = [[0] * (columns + 1) for _ in range(rows + 1)]
     for i in range(rows - 1, -1, -1):
         for j in range(columns - 1, -1, -1):
-            longest[i][j] = 1 + longest[i + 1][j + 1] if mine[i] == other[j] else max(longest[i + 1][j], longest[i][j + 1])
+            if mine[i] == other[j]:
+                longest[i][j] = 4 + longest[i + 1][j + 1]
+            else:
+                longest[i][j] = max(longest[i + 1][j], longest[i][j + 1])
+                if met and mine[i] + other[j] in met:
+                    longest[i][j] = max(longest[i][j], 3 + longest[i + 1][j + 1])
     out: list[tuple[str, bool]] = []
     i = j = 0
     while i < rows or j < columns:
         if i < rows and j < columns and mine[i] == other[j]:
             out.append(wrapper[i])
             i, j = i + 1, j + 1
+        elif i < rows and j < columns and mine[i] + other[j] in met and longest[i][j] == 3 + longest[i + 1][j + 1]:
+            out.append((met[mine[i] + other[j]], wrapper[i][1]))
+            i, j = i + 1, j + 1
         elif j == columns or i < rows and longest[i + 1][j] >= longest[i][j + 1]:
             out.append((mine[i], True))
             i += 1
@@ -198,14 +258,17 @@ def as_regex(wrapper: list[tuple[str, bool]], alphabet: Alphabet) -> str:
 
 
 def main_element(wrapper: list[tuple[str, bool]], alphabet: Alphabet) -> str:
-    """The label of the element that holds the main text; empty if none does."""
+    """Labels of the elements that hold the main text, empty if none does. Those
+    of one kind stand with ``ALSO`` between them; kinds after ``ELSE`` are for
+    pages without any before it."""
     written = [t for code, _ in wrapper for t in alphabet.write(code)]
     opened = [t for t in written if t.startswith("<") and not t.startswith("</")]
+    kinds = []
     for wanted in ("article", "main"):
-        found = next((t for t in opened if re.match(rf"<{wanted}[ >]", t)), None)
-        if found:
-            return found
-    found = next((t for t in opened if " role=main" in t or re.search(r" (?:class|id)=(?:[^=]*[\s_-])?(?:article|content|post|entry|story)(?:[\s_-]|>|$)", t)), None)
+        kinds.append(ALSO.join(dict.fromkeys(t for t in opened if re.match(rf"<{wanted}[ >]", t) and not is_boilerplate(*_parts(t), True))))
+    if any(kinds):
+        return ELSE.join(k for k in kinds if k)
+    found = ELSE.join(dict.fromkeys(t for t in opened if " role=main" in t or re.search(r" (?:class|id)=(?:[^=]*[\s_-])?(?:article|content|post|entry|story)(?:[\s_-]|>|$)", t)))
     if found:
         return found
     # Weigh the slots of each element; a slot in a repeated group counts thrice for each group around it.
@@ -239,10 +302,12 @@ def _parts(labelled: str) -> tuple[str, str]:
 
 
 def extract(page: str | None, main: str) -> str:
-    """Blocks of the main element, boilerplate left out, joined by newlines."""
+    """Blocks of the main elements, boilerplate left out, joined by newlines."""
     if not page:
         return ""
-    for target in dict.fromkeys((main, "")):
+    for target in dict.fromkeys((*main.split(ELSE), "")):
+        labels = target.split(ALSO)
+        names = {_parts(t)[0] for t in labels if t}
         blocks: list[str] = []
         now: list[str] = []
         stack: list[tuple[str, bool, bool]] = []  # name, in the main element, left out
@@ -272,9 +337,9 @@ def extract(page: str | None, main: str) -> str:
                     inside, shut = (stack[-1][1], stack[-1][2]) if stack else (not target, False)
                 if name in VOID:
                     continue
-                if not inside and target and label(name, value) == target:
+                if not inside and name in names and any(fits(label(name, value), t) for t in labels):
                     inside = seen = True
-                stack.append((name, inside, shut or is_boilerplate(name, value, bool(target) and inside)))
+                stack.append((name, inside, shut or is_boilerplate(name, value, bool(target) and inside or any(s[0] in ("article", "main") for s in stack))))
             elif any(s[0] == name for s in stack):
                 while stack.pop()[0] != name:
                     pass

@@ -59,3 +59,24 @@ def test_long_and_odd_pages(spark):
     got = sorted((r.page_id, r.text) for r in op.main_texts(spark, df).collect())
     assert len(got) == len(rows) and dict(got)[3] == "A&bogus;&" and dict(got)[90] == "" and dict(got)[2] == "deep"
     assert op.main_texts(spark, df.where("false")).count() == 0
+
+
+def test_labels_that_vary(spark):
+    """Per-page ids and classes, two templates, and a header in an article that no label names."""
+    page = "<body><div class=top>skip</div><%s><header><h1>T%d</h1></header><p>a%d</p><p>b</p></%s><div class=low>skip</div></body>"
+    slugs = ["sun", "moon", "star", "tree"]
+    opens = [f"article id=post-{i} class='post-{i} post'" for i in range(4)] + [f"article id={w} class='{w} x'" for w in slugs] + ["article class=long", "article class=short role=article", "main", "article"]
+    pages = {f"h{h}": [(o, i) for i, o in enumerate(opens) if a <= i < b] for h, (a, b) in enumerate([(0, 4), (4, 8), (0, 12), (8, 10), (10, 12)])}
+    rows = [(100 * k + i, f"http://{host}.example/{i}", page % (o, i, i, o.split()[0])) for k, (host, some) in enumerate(pages.items()) for o, i in some]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in op.main_texts(spark, df).collect()}
+    assert got == {i: f"T{i % 100}\na{i % 100}\nb" for i, _, _ in rows}
+
+
+def test_slots_and_fallback():
+    page = "<body><div class=side id=left><p>menu</p></div><div class=entry-box id=%s><p>x</p></div></body>"
+    wrapper, alphabet = wrap([page % "sun", page % "moon"])
+    main = op.main_element(wrapper, alphabet)
+    assert main == "<div class=entry-box id=*>" and op.extract(page % "star", main) == "x"
+    assert op.common_label("<div class=a id=x>", "<div class=b id=y>") == "" and op.common_label("<article class=comment>", "<article class=post>") == ""
+    assert op.extract("<header>site</header><article class=q><header><h1>T</h1></header><p>x</p></article>", "<article class=z>") == "T\nx"
