@@ -9,7 +9,8 @@ The automaton is broadcast, so its size is checked: patterns beyond
 ``MAX_PATTERN_BYTES`` go to further automata, each scanning the documents in a
 pass of its own, and the passes are merged by document. Defined results: null
 and wordless texts have no hits; items without words never occur; an item_id
-given twice counts once; repeated document rows each get their own row.
+given twice counts once; windows of an item without an id cover words but add
+no item; repeated document rows each get their own row.
 """
 
 from __future__ import annotations
@@ -52,13 +53,13 @@ def _groups(items: Iterator, limit: int) -> Iterator[dict[bytes, list[str]]]:
     group: dict[bytes, list[str]] = {}
     held = 0
     for row in items:
-        if row.item_id is None:
-            continue
         for pattern in set(windows(normalise(row.text))):
+            fresh = pattern not in group
             owners = group.setdefault(pattern, [])
-            if str(row.item_id) not in owners:
+            if row.item_id is not None and str(row.item_id) not in owners:
                 owners.append(str(row.item_id))
-                held += len(pattern) + 16
+                fresh = True
+            held += (len(pattern) + 16) * fresh
         if held >= limit:
             yield group
             group, held = {}, 0

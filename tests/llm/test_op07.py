@@ -46,3 +46,20 @@ def test_stage_cuts_and_drops(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     rows = {r.doc_id: r for r in op.without_benchmark(spark, docs.withColumnRenamed("items", "source"), items).collect()}
     assert rows[1].text == "Keep! . end" and 2 not in rows and rows[3].text is None and rows[4].text == "clean text"
+
+
+def test_items_without_an_id_against_sql(spark, monkeypatch, tmp_path):
+    """Their windows cover words and add no item, in the query and in the stage."""
+    import oracle
+
+    from millrace.llm import sql
+
+    items = spark.createDataFrame([*ITEMS, (None, "w0 w1 w2"), (None, "one two three"), (None, "é one"), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([*DOCS, (9, "say w0 w1 w2 now")], "doc_id long, text string")
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    items.toPandas().astype({"item_id": "Int64"}).to_parquet(tmp_path / "benchmark.parquet")
+    for limit in (op.MAX_PATTERN_BYTES, 20):
+        monkeypatch.setattr(op, "MAX_PATTERN_BYTES", limit)
+        assert oracle.compare(spark, oracle.connect(str(tmp_path)), op.op7_decontaminate, sql.OP7, str(tmp_path)) is None
+    kept = {r.doc_id: r.text for r in op.without_benchmark(spark, docs, items).collect()}
+    assert kept[9] == "say  now"
