@@ -4,7 +4,8 @@ Every line of a text, and the whole text, is lower-cased, cut into words of
 a-z and 0-9, and compared with each template as a set of word bigrams. With m
 and n bigrams the coefficient is at most 2 min(m, n) / (m + n), so a template
 is compared only if its size lies within the bounds that ``LEAST`` sets for the
-unit's size. All is done within a row: nothing is exploded or shuffled.
+unit's size, and only if the whole text has as many of its bigrams as a match
+needs. All is done within a row: nothing is exploded or shuffled.
 
 Returned per document: n_notices (units that match some template; the whole
 text counts if it has more than one line), licences (the best template's
@@ -50,6 +51,19 @@ TEXTS = {
 }
 
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.{} THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GNU = """is free software: you can redistribute it and/or modify it under the terms of the GNU {0} General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. {1} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} General Public License for more details. You should have received a copy of the GNU {0} General Public License along with {1}. If not, see https://www.gnu.org/licenses/."""
+TEXTS |= {
+    "BSD-2-Clause": _BSD.format(""),
+    "BSD-3-Clause": _BSD.format(" 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "LGPL-3.0": "This library " + _GNU.format("Lesser", "This library"),
+    "AGPL-3.0": "This program " + _GNU.format("Affero", "This program"),
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+}
+
+
 def plain_words(text: str) -> list[str]:
     import re
 
@@ -82,20 +96,25 @@ def scan(docs: DataFrame, keep: list[str], least: float = LEAST) -> DataFrame:
     known = templates()
     low, high = min(bounds(len(b), least)[0] for _, b in known), max(bounds(len(b), least)[1] for _, b in known)
     table = F.array(*[F.struct(F.lit(k).alias("licence"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("bigrams")) for k, b in known])
+    every = F.array(*map(F.lit, sorted({x for _, b in known for x in b})))
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     # Only ASCII letters change case, so offsets and other scripts stay as they are.
     lines = F.split(F.regexp_replace(F.translate(F.coalesce(F.col("text"), F.lit("")), letters, letters.lower()), "[^a-z0-9\n]+", " "), "\n")
     cut = F.transform(lines, lambda l: F.filter(F.split(l, " "), lambda w: w != ""))
     rows = docs.select(*keep, cut.alias("_lines"))
+    rows = rows.select(*keep, "_lines", F.array_intersect(_bigrams(F.flatten("_lines")), every).alias("_shared"))
+    # A unit that matches has n * least / (2 - least) bigrams of the template at least, and so has the text.
+    may = F.filter(table, lambda t: F.size(F.array_intersect(t["bigrams"], F.col("_shared"))) * (2 - least) >= t["n"] * least)
+    rows = rows.select(*keep, "_lines", F.when(F.size("_shared") >= low, may).otherwise(F.slice(table, 1, 0)).alias("_known"))
     whole = F.when(F.size("_lines") > 1, F.array(F.flatten("_lines"))).otherwise(F.array().cast("array<array<string>>"))
     # A unit of w words has at most w - 1 bigrams, and no fewer than those of one template must be distinct.
-    fits = F.filter(F.concat("_lines", whole), lambda u: F.size(u) > low)
+    fits = F.filter(F.when(F.size("_known") > 0, F.concat("_lines", whole)).otherwise(F.array().cast("array<array<string>>")), lambda u: F.size(u) > low)
     sets = F.filter(F.transform(fits, _bigrams), lambda b: (F.size(b) >= low) & (F.size(b) <= high))
-    rows = rows.select(*keep, sets.alias("_sets"))
+    rows = rows.select(*keep, "_known", sets.alias("_sets"))
 
     def best(unit: Column) -> Column:
         n = F.size(unit)
-        near = F.filter(table, lambda t: (t["n"] * (2 - least) >= n * least) & (n * (2 - least) >= t["n"] * least))
+        near = F.filter("_known", lambda t: (t["n"] * (2 - least) >= n * least) & (n * (2 - least) >= t["n"] * least))
         judged = F.transform(near, lambda t: F.struct((-2.0 * F.size(F.array_intersect(t["bigrams"], unit)) / (n + t["n"])).alias("minus"), t["licence"].alias("licence")))
         return F.array_min(judged)
 

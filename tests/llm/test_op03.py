@@ -34,3 +34,14 @@ def test_bounds_lose_nothing():
             if 2 * min(m, n) / (m + n) >= op.LEAST:
                 low, high = op.bounds(m)
                 assert low - 1e-9 <= n <= high + 1e-9
+
+
+def test_full_texts(spark):
+    """Full texts, as a line between others and wrapped over the whole document."""
+    wrapped = lambda text: "\n".join(" ".join(text.split()[i : i + 9]) for i in range(0, len(text.split()), 9))
+    names = ["AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    docs = [text for k in names for text in ("int a;\n" + op.TEXTS[k] + "\nint b;", wrapped(op.TEXTS[k]))]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: tuple(r)[1:] for r in op.scan(df, ["doc_id"]).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(docs)}
+    assert all(k in got[2 * i + j][1].split(",") for i, k in enumerate(names) for j in (0, 1))
