@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 _WORD = (1 << 64) - 1
-# Multipliers of the mixing chain and salts.
+# With other ones a streaming shuffle would deliver another order.
 _MUL_A, _MUL_B, _STEP, _DRAIN = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _FNV_START, _FNV_PRIME = 0x811C9DC5, 0x01000193
 
@@ -95,24 +95,26 @@ def mix64(x: int) -> int:
     return x ^ (x >> 31)
 
 
-def salt(*parts: int) -> int:
-    """32-bit fold of a cursor."""
+def salt(parts: Iterable[int]) -> int:
+    """32-bit fold of a cursor: of each number the low half, then the high one."""
     h = _FNV_START
     for p in parts:
-        h = (h ^ (p & 0xFFFFFFFF)) * _FNV_PRIME & 0xFFFFFFFF
+        for half in (p & 0xFFFFFFFF, p >> 32 & 0xFFFFFFFF):
+            h = (h ^ half) * _FNV_PRIME & 0xFFFFFFFF
     return h
 
 
 def _victim(seed: int, lane: int, mark: int, counter: int, size: int) -> int:
-    h = 0
-    for part in (seed, lane, mark, counter, size):
-        h = mix64((h ^ (part & _WORD)) + _STEP & _WORD)
+    h = mix64(seed & _WORD)
+    for part in (lane, mark, counter, size):
+        h = mix64(h ^ mix64(part + _STEP & _WORD))
     return h % size
 
 
 def shuffle_stream(cursors: Sequence[Sequence[int]], size: int, seed: int, lane: int) -> list[int]:
     """Order of emission of a shuffle buffer that warms up, holds ``size``
-    records at most and drains at the end."""
+    records at most and drains at the end. A cursor is chunk, offset, lineage
+    and sample, as one sequence of numbers."""
     warm = 0 if size <= 1 else max(1, min(128, size // 16))
     held: list[int] = []
     out: list[int] = []
@@ -125,7 +127,7 @@ def shuffle_stream(cursors: Sequence[Sequence[int]], size: int, seed: int, lane:
     for number, cursor in enumerate(cursors):
         held.append(number)
         if len(held) > (0 if size == 1 else min(size, warm + len(out))):
-            evict(salt(*cursor))
+            evict(salt(cursor))
     while held:
         evict(_DRAIN)
     return out
@@ -260,14 +262,16 @@ class Weighed:
     chunk: int = 0
 
 
-def ensure_mixture(records: Sequence[Weighed], targets: dict[int, dict[int, float]], most: int | None = 1000, ratio: float = 0.8, rate: float = 0.1) -> list[int]:
+def ensure_mixture(records: Sequence[Weighed], targets: dict[int, dict[int, float]], most: int | None = 1000, ratio: float = 0.8, rate: float = 0.1, ended: dict[int, frozenset[int]] | None = None) -> list[int]:
     """Order of emission that follows each chunk's target.
 
     A record waits in the queue of its component (of several: in a list; of
     none in the target: among the obsolete). The next one is the component with
     the largest deficit; once ``most`` records wait, emission is forced until
     int(ratio * most) do. Obsolete ones leave one in every int(1 / rate).
-    Without ``most`` what waits at the end is discarded."""
+    Without ``most`` what waits at the end is discarded. ``ended``: for a chunk
+    the components whose sources give nothing after it; once its records are in
+    they leave the target (all but the last one), so what waits may go on."""
     turn = RoundRobin({})
     single: dict[int, deque[int]] = {}
     several: list[int] = []
@@ -331,23 +335,44 @@ def ensure_mixture(records: Sequence[Weighed], targets: dict[int, dict[int, floa
                 return False
         return True
 
-    for number, record in enumerate(records):
-        if newest is None or record.chunk > newest:
-            newest = record.chunk
-            wanted = targets[record.chunk]
-            if wanted != turn.target:
-                turn.retarget(wanted)
-                again = sorted([i for q in single.values() for i in q] + several + list(obsolete))
-                single.clear()
-                several.clear()
-                obsolete.clear()
-                for i in again:
-                    file(i)
-        file(number)
+    over: set[int] = set()
+
+    def aim(target: dict[int, float]) -> None:
+        left = {k: w for k, w in target.items() if k not in over}
+        if left == turn.target or not left:
+            return
+        turn.retarget(left)
+        again = sorted([i for q in single.values() for i in q] + several + list(obsolete))
+        single.clear()
+        several.clear()
+        obsolete.clear()
+        for i in again:
+            file(i)
+
+    def drain() -> None:
+        nonlocal forced
         while waiting():
             forced = most is not None and (waiting() >= most or forced and waiting() > int(ratio * most))
             if not step(forced):
                 break
+
+    def close(chunk: int) -> None:
+        fresh = (ended or {}).get(chunk, frozenset()) - over
+        if fresh:
+            over.update(fresh)
+            aim(targets[chunk])
+            drain()
+
+    for number, record in enumerate(records):
+        if newest is None or record.chunk > newest:
+            if newest is not None:
+                close(newest)
+            newest = record.chunk
+            aim(targets[newest])
+        file(number)
+        drain()
+    if newest is not None:
+        close(newest)
     if most is not None:
         while step(True):
             pass

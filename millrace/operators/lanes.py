@@ -3,7 +3,8 @@
 Operators that keep state are reset with each epoch, the ``flush_every``
 chunks of a lane that belong together, so (lane, epoch) is the group in which
 their kernels run; only keys and lengths enter Python, payloads are joined
-back.
+back. Places in a lane are the records of earlier groups plus the place in the
+own group: no window over records spans a lane.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..schema import KEY, SAMPLE, cursor, stable_hash
+from ..schema import KEY, LINE, SAMPLE, TOKEN_FIELDS, cursor, line, stable_hash, with_lineage
 from . import kernels
 
 PACKING = ("first_fit", "best_fit", "wrap", "best_fit_wrap")
@@ -33,9 +34,26 @@ def fetch(plan: DataFrame, samples: DataFrame) -> DataFrame:
     return plan.join(samples, list(SAMPLE)).withColumn("component_sample_counts", F.create_map(F.col("component_id"), F.lit(1)))
 
 
+def earlier(groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(lane_id, by..., _before): records of the lane's earlier groups.
+    ``groups`` has a row for each group with its size ``_n``; the window over a
+    lane sees these counts, not records."""
+    before = F.sum("_n").over(W.partitionBy("lane_id").orderBy(*by).rowsBetween(W.unboundedPreceding, -1))
+    return groups.select("lane_id", *by, F.coalesce(before, F.lit(0)).cast("long").alias("_before"))
+
+
+def numbered(df: DataFrame, by: Sequence[str], inside: Sequence[Column], name: str = "ordinal", counts: DataFrame | None = None) -> DataFrame:
+    """Number the records of each lane by groups, then in the order ``inside``."""
+    per = (df if counts is None else counts).groupBy("lane_id", *by).agg(F.count(F.lit(1)).alias("_n"))
+    nth = F.row_number().over(W.partitionBy("lane_id", *by).orderBy(*inside)) - 1
+    return df.withColumn("_nth", nth).join(earlier(per, by), ["lane_id", *by]).withColumn(name, (F.col("_before") + F.col("_nth")).cast("long")).drop("_nth", "_before")
+
+
 def in_lane(df: DataFrame, name: str = "ordinal") -> DataFrame:
     """Number the records of each lane in order."""
-    return df.withColumn(name, (F.row_number().over(W.partitionBy("lane_id").orderBy(*cursor())) - 1).cast("long"))
+    bare = "lineage" not in df.columns
+    out = numbered(with_lineage(df), ["chunk_id"], cursor(), name)
+    return out.drop("lineage") if bare else out
 
 
 def round_robin(df: DataFrame, order: str = "ordinal") -> DataFrame:
@@ -95,14 +113,26 @@ def exactly_once(plan: DataFrame, contributors: DataFrame) -> DataFrame:
 
 
 def dropped(plan: DataFrame, kept: DataFrame) -> DataFrame:
-    """Planned samples that no record carries."""
-    return plan.join(kept.select(*KEY), list(KEY), "left_anti")
+    """Planned records that no record carries."""
+    return with_lineage(plan).join(with_lineage(kept).select(*KEY), list(KEY), "left_anti")
+
+
+#: Records that one window of an order audit sees.
+_STRETCH = 1 << 16
 
 
 def out_of_order(df: DataFrame, order: str = "ordinal") -> DataFrame:
-    """Records whose cursor is not above the one before in their lane."""
-    here = F.struct("chunk_id", "chunk_offset", *SAMPLE)
-    return df.withColumn("_c", here).withColumn("_p", F.lag("_c").over(W.partitionBy("lane_id").orderBy(order))).where(F.col("_p") >= F.col("_c")).drop("_c", "_p")
+    """Records whose cursor is not above the one before in their lane. Compared
+    within stretches of the order, and across their ends by a join."""
+    here = F.struct(*cursor())
+    rows = with_lineage(df).withColumn("_c", here).withColumn("_s", F.expr(f"`{order}` div {_STRETCH}"))
+    ends = rows.groupBy("lane_id", "_s").agg(F.max_by("_c", order).alias("_e"))
+    # Stretches may be empty, so the one before is the last that there is.
+    before = F.lag("_e").over(W.partitionBy("lane_id").orderBy("_s"))
+    ends = ends.select("lane_id", "_s", before.alias("_e"))
+    previous = F.coalesce(F.lag("_c").over(W.partitionBy("lane_id", "_s").orderBy(order)), F.col("_e"))
+    bad = rows.join(ends, ["lane_id", "_s"]).withColumn("_p", previous).where(F.col("_p") >= F.col("_c"))
+    return bad.select(*df.columns)
 
 
 def progress(df: DataFrame, config: Mapping[str, Any], order: str = "ordinal") -> str:
@@ -134,32 +164,48 @@ def resume(df: DataFrame, saved: str, config: Mapping[str, Any], order: str = "o
 
 def shuffle(df: DataFrame, size: int = 8192, *, seed: int = 0, algorithm: str = "streaming", flush_every: int = 8, growth: float = 1.5) -> DataFrame:
     """Reorder each lane within bounds; ``ordinal`` is the new place in the lane."""
-    keyed = df.withColumn("_epoch", epoch(flush_every))
+    keyed = with_lineage(df).withColumn("_epoch", epoch(flush_every))
     if algorithm == "streaming":
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["chunk_id", "chunk_offset", *SAMPLE])
-            order = kernels.shuffle_stream(pdf[["chunk_id", "chunk_offset", *SAMPLE]].values.tolist(), size, seed, int(pdf["lane_id"].iloc[0]))
-            return pdf.iloc[order].assign(_at=range(len(pdf)))
-
-        places = keyed.select(*KEY, "_epoch").groupBy("lane_id", "_epoch").applyInPandas(run, _ddl(keyed, [*KEY, "_epoch"]) + ", _at long")
-        out = keyed.drop("_epoch").join(places, list(KEY))
+            pdf = in_order(pdf)
+            lines = [[int(i) for i in x.split(".") if i] for x in pdf[LINE]]
+            places = pdf[["chunk_id", "chunk_offset"]].values.tolist()
+            cursors = [[*p, *l, *k] for p, l, k in zip(places, lines, pdf[list(SAMPLE)].values.tolist(), strict=True)]
+            order = kernels.shuffle_stream(cursors, size, seed, int(pdf["lane_id"].iloc[0]))
+            return pdf.iloc[order].assign(_at=range(len(pdf)))[[*KEY, "_epoch", "_at"]]
+
+        names = [*KEY, "_epoch"]
+        places = keyed.select(*names, line().alias(LINE)).groupBy("lane_id", "_epoch").applyInPandas(run, _ddl(keyed, names) + ", _at long")
+        out = keyed.join(places, names)
     else:
         nth = (F.row_number().over(W.partitionBy("lane_id", "_epoch").orderBy(*cursor())) - 1).cast("long")
-        numbered = keyed.withColumn("_nth", nth)
+        rows = keyed.withColumn("_nth", nth)
         if algorithm == "block":
             block = F.expr(f"_nth div {size}")
         elif algorithm == "block_warmup":
             block = _ramp(size, growth)
         else:
             raise ValueError(f"unknown shuffle algorithm {algorithm!r}")
-        numbered = numbered.withColumn("_block", block)
-        mark = stable_hash(seed, F.col("lane_id"), F.col("_epoch"), F.col("_block"), F.col("dataset_id"), F.col("shard_id"), F.col("local_id"), F.col("chunk_offset"))
+        rows = rows.withColumn("_block", block)
+        mark = stable_hash(seed, F.col("lane_id"), F.col("_epoch"), F.col("_block"), F.col("dataset_id"), F.col("shard_id"), F.col("local_id"), F.col("chunk_offset"), F.when(F.size("lineage") > 0, line()))
         inside = (F.row_number().over(W.partitionBy("lane_id", "_epoch", "_block").orderBy(mark, *cursor())) - 1).cast("long")
         # Blocks are consecutive, so the first number of a block begins its places.
         first = F.min("_nth").over(W.partitionBy("lane_id", "_epoch", "_block"))
-        out = numbered.withColumn("_at", first + inside).drop("_block", "_nth")
-    return out.withColumn("ordinal", (F.row_number().over(W.partitionBy("lane_id").orderBy("_epoch", "_at")) - 1).cast("long")).drop("_epoch", "_at")
+        out = rows.withColumn("_at", first + inside).drop("_block", "_nth")
+    # A reordered epoch has the size it had.
+    sizes = keyed.groupBy("lane_id", "_epoch").agg(F.count(F.lit(1)).alias("_n"))
+    return _at_ordinals(out, sizes)
+
+
+def _at_ordinals(df: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Places in the epoch (_at) to places in the lane."""
+    return df.join(earlier(sizes, ["_epoch"]), ["lane_id", "_epoch"]).withColumn("ordinal", F.col("_before") + F.col("_at")).drop("_epoch", "_at", "_before")
+
+
+def in_order(pdf: pd.DataFrame, first: Sequence[str] = ()) -> pd.DataFrame:
+    """A group's records in the order of their cursors."""
+    return pdf.sort_values([*first, "chunk_id", "chunk_offset", LINE, *SAMPLE]).reset_index(drop=True)
 
 
 def _ramp(size: int, growth: float) -> Column:
@@ -182,25 +228,46 @@ def _ddl(df: DataFrame, names: Sequence[str]) -> str:
 # Mixture correction
 
 
-def ensure_mixture(df: DataFrame, targets: Mapping[int, Mapping[int, float]], *, most: int | None = 1000, ratio: float = 0.8, rate: float = 0.1, weight: str | None = None, flush_every: int = 8) -> DataFrame:
+def ensure_mixture(
+    df: DataFrame,
+    targets: Mapping[int, Mapping[int, float]],
+    *,
+    most: int | None = 1000,
+    ratio: float = 0.8,
+    rate: float = 0.1,
+    weight: str | None = None,
+    ended: Mapping[int, Sequence[int]] | None = None,
+    flush_every: int = 8,
+) -> DataFrame:
     """Reorder each lane so that its components follow the target of its
     chunks (``targets``: from chunk id on). One record at a time; ``weight``
-    names a column of token counts, else records count one."""
+    names a column of token counts, "auto" takes the tokens where there are
+    some, else records count one. ``ended``: components whose sources end with
+    a chunk; they leave the target once that chunk is in."""
     starts = sorted(targets)
     table = {int(k): {int(c): float(w) for c, w in t.items()} for k, t in targets.items()}
-    keyed = df.withColumn("_epoch", epoch(flush_every)).withColumn("_w", (F.col(weight) if weight else F.lit(1)).cast("double"))
-    names = [*KEY, "component_id", "_epoch", "_w"]
+    stamps = {int(c): frozenset(map(int, ks)) for c, ks in (ended or {}).items()}
+    if weight == "auto":
+        field = next((f for f in TOKEN_FIELDS if f in df.columns), None)
+        amount = F.size(field) if field else F.lit(1)
+    else:
+        amount = F.col(weight) if weight else F.lit(1)
+    keyed = with_lineage(df).withColumn("_epoch", epoch(flush_every)).withColumn("_w", amount.cast("double"))
+    names = [*KEY, "_epoch"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["chunk_id", "chunk_offset", *SAMPLE])
-        chosen = [max((s for s in starts if s <= c), default=starts[0]) for c in pdf["chunk_id"]]
-        records = [kernels.Weighed(((int(k), float(w)),), int(c)) for k, w, c in zip(pdf["component_id"], pdf["_w"], chosen, strict=True)]
-        order = kernels.ensure_mixture(records, table, most, ratio, rate)
-        return pdf.iloc[order].assign(_at=range(len(order)))
+        pdf = in_order(pdf)
+        chunks = pdf["chunk_id"].tolist()
+        # Each chunk has its target; chunks of one target are one but where a source ends.
+        aims = {c: table[max((s for s in starts if s <= c), default=starts[0])] for c in set(chunks)}
+        records = [kernels.Weighed(((int(k), float(w)),), int(c)) for k, w, c in zip(pdf["component_id"], pdf["_w"], chunks, strict=True)]
+        order = kernels.ensure_mixture(records, aims, most, ratio, rate, stamps)
+        return pdf.iloc[order].assign(_at=range(len(order)), _n=len(order))[[*names, "_at", "_n"]]
 
-    places = keyed.select(*names).groupBy("lane_id", "_epoch").applyInPandas(run, _ddl(keyed, names) + ", _at long").select(*KEY, "_epoch", "_at")
-    out = keyed.drop("_epoch", "_w").join(places, list(KEY))
-    return out.withColumn("ordinal", (F.row_number().over(W.partitionBy("lane_id").orderBy("_epoch", "_at")) - 1).cast("long")).drop("_epoch", "_at")
+    places = keyed.select(*names, "component_id", "_w", line().alias(LINE)).groupBy("lane_id", "_epoch").applyInPandas(run, _ddl(keyed, names) + ", _at long, _n long")
+    # Without ``most`` an epoch may lose records, so its size is the kernel's.
+    sizes = keyed.groupBy("lane_id", "_epoch").agg(F.count(F.lit(1)).alias("_n")) if most is not None else places.where("_at = 0").select("lane_id", "_epoch", "_n")
+    return _at_ordinals(keyed.drop("_w").join(places.drop("_n"), names), sizes)
 
 
 def drift(df: DataFrame, target: Mapping[int, float], weight: str | None = None) -> DataFrame:
@@ -230,26 +297,39 @@ def pack(
     candidate_pool_size: int = 64,
     max_candidate_age: int | None = None,
     homogeneity: Column | None = None,
+    shuffle_strategy: str | None = None,
+    shuffle_seed: int = 0,
     flush_every: int = 8,
     by: Sequence[str] = ("lane_id",),
 ) -> DataFrame:
-    """Segments of bins: (by..., domain, epoch, bin, seg, sample key, start, stop).
+    """Segments of bins: (by..., domain, epoch, bin, seg, record key, start, stop).
 
     Only keys and lengths are packed; ``filled`` joins tokens. ``homogeneity``
-    is a column whose values never share a bin."""
+    is a column whose values never share a bin. ``shuffle_strategy`` reorders
+    the records of an epoch before they are packed: "length" from long to short,
+    "random" by a stable hash of the record under ``shuffle_seed``."""
     if algorithm not in PACKING:
         raise ValueError(f"packing algorithm is one of {PACKING}, not {algorithm!r}")
     size = (F.col(length) if length else F.size(tokens)).cast("long")
     if algorithm in ("first_fit", "best_fit") and not drop_oversized:
         size = F.when(size > max_length, F.raise_error(F.lit("a record is longer than max_length")).cast("long")).otherwise(size)
     domain = homogeneity if homogeneity is not None else F.lit(0)
-    rows = df.select(*dict.fromkeys([*by, *KEY]), size.alias("_size"), domain.alias("domain"), epoch(flush_every).alias("epoch")).where("_size > 0")
+    if shuffle_strategy == "length":
+        turn = -size
+    elif shuffle_strategy == "random":
+        turn = stable_hash(shuffle_seed, *[F.col(c) for c in ("lane_id", "chunk_id", "chunk_offset")], line(), *[F.col(c) for c in SAMPLE])
+    elif shuffle_strategy is None:
+        turn = F.lit(0)
+    else:
+        raise ValueError(f"packing shuffles 'random', 'length' or not at all, not {shuffle_strategy!r}")
+    rows = with_lineage(df).select(*dict.fromkeys([*by, *KEY]), size.alias("_size"), domain.alias("domain"), epoch(flush_every).alias("epoch"), turn.alias("_turn")).where("_size > 0")
     group = [*by, "domain", "epoch"]
     if algorithm == "wrap" and max_sequences_per_bin is None:
         return _wrap(rows, max_length, group)
+    names = [c for c in rows.columns if c not in ("_size", "_turn")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["chunk_id", "chunk_offset", *SAMPLE]).reset_index(drop=True)
+        pdf = in_order(pdf, ["_turn"])
         sizes = pdf["_size"].tolist()
         if algorithm == "wrap":
             bins = kernels.pack_wrap(sizes, max_length, max_sequences_per_bin)
@@ -258,21 +338,20 @@ def pack(
         else:
             bins = kernels.pack_fit(sizes, max_length, best=algorithm == "best_fit", num_bins=num_bins, least=min_sequence_length, most_parts=max_sequences_per_bin, evict=flush_strategy)
         flat = [(b, s, i, a, z) for b, parts in enumerate(bins) for s, (i, a, z) in enumerate(parts)]
-        out = pdf.iloc[[f[2] for f in flat]].drop(columns="_size")
+        out = pdf.iloc[[f[2] for f in flat]][names]
         return out.assign(bin=[f[0] for f in flat], seg=[f[1] for f in flat], start=[f[3] for f in flat], stop=[f[4] for f in flat])
 
-    names = [c for c in rows.columns if c != "_size"]
-    return rows.groupBy(*group).applyInPandas(run, _ddl(rows, names) + ", bin long, seg int, start long, stop long")
+    return rows.withColumn(LINE, line()).groupBy(*group).applyInPandas(run, _ddl(rows, names) + ", bin long, seg int, start long, stop long")
 
 
 def _wrap(rows: DataFrame, max_length: int, group: list[str]) -> DataFrame:
     """Interval arithmetic on running lengths; the tail of a group is dropped."""
-    order = W.partitionBy(*group).orderBy(*cursor())
+    order = W.partitionBy(*group).orderBy("_turn", *cursor())
     ends = rows.withColumn("_e", F.sum("_size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("_t", F.sum("_size").over(W.partitionBy(*group)))
     cut = ends.withColumn("_s", F.col("_e") - F.col("_size")).withColumn("bin", F.explode(F.expr(f"sequence(_s div {max_length}, (_e - 1) div {max_length})"))).where((F.col("bin") + 1) * max_length <= F.col("_t"))
     low, high = F.greatest("_s", F.col("bin") * max_length), F.least("_e", (F.col("bin") + 1) * max_length)
     seg = (F.row_number().over(W.partitionBy(*group, "bin").orderBy("_s")) - 1).cast("int")
-    return cut.withColumn("seg", seg).withColumn("start", low - F.col("_s")).withColumn("stop", high - F.col("_s")).drop("_s", "_e", "_t", "_size")
+    return cut.withColumn("seg", seg).withColumn("start", low - F.col("_s")).withColumn("stop", high - F.col("_s")).drop("_s", "_e", "_t", "_size", "_turn")
 
 
 def filled(segments: DataFrame, df: DataFrame, max_length: int, *, tokens: str = "input_ids", aligned: Sequence[str] = (), pad_token_id: int = 0, by: Sequence[str] = ("lane_id",)) -> DataFrame:
@@ -282,9 +361,12 @@ def filled(segments: DataFrame, df: DataFrame, max_length: int, *, tokens: str =
 
     group = [*by, "domain", "epoch", "bin"]
     fields = [tokens, *aligned]
-    parts = segments.join(df.select(*KEY, *fields), list(KEY))
+    tallied = "component_id" in df.columns and "component_id" not in KEY
+    extra = ["component_id"] if tallied else []
+    source = with_lineage(df).select(*KEY, *fields, *extra, F.size(tokens).cast("long").alias("_whole"))
+    parts = segments.join(source, list(KEY))
     cut = [F.slice(f, (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias(f) for f in fields]
-    gathered = parts.select(*group, "seg", *[k for k in KEY if k not in group], "start", "stop", *cut).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("seg", *[k for k in KEY if k not in group], "start", "stop", *fields))).alias("_p"))
+    gathered = parts.select(*group, "seg", *[k for k in KEY if k not in group], "start", "stop", *cut, *extra, "_whole").groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("seg", *[k for k in KEY if k not in group], "start", "stop", *fields, *extra, "_whole"))).alias("_p"))
     real = F.aggregate("_p", F.lit(0), lambda a, p: a + F.size(p[tokens]))
     room = F.lit(max_length) - F.col("total_length")
     lengths = F.concat(F.transform("_p", lambda p: F.size(p[tokens])), F.when(room > 0, F.array(room)).otherwise(F.array().cast("array<int>")))
@@ -294,13 +376,22 @@ def filled(segments: DataFrame, df: DataFrame, max_length: int, *, tokens: str =
         pad = F.lit(pad_token_id if f == tokens else 0).cast(kind)
         out = out.withColumn(f, F.concat(F.flatten(F.col(f"_p.{f}")), F.array_repeat(pad, room)))
     out = out.withColumn("positions", training.positions(lengths)).withColumn("padding_length", room).withColumn("packing_efficiency", F.col("total_length") / max_length)
+    if tallied:
+        # A record counts where its last token is; its tokens count where they are.
+        tokens_of = lambda c: F.aggregate("_p", F.lit(0), lambda a, p: a + F.when(p["component_id"] == c, F.size(p[tokens])).otherwise(0))
+        samples_of = lambda c: F.size(F.filter("_p", lambda p: (p["component_id"] == c) & (p["stop"] == p["_whole"])))
+        inside = F.array_sort(F.array_distinct(F.transform("_p", lambda p: p["component_id"])))
+        closing = F.array_sort(F.array_distinct(F.transform(F.filter("_p", lambda p: p["stop"] == p["_whole"]), lambda p: p["component_id"])))
+        out = out.withColumn("component_token_counts", F.map_from_arrays(inside, F.transform(inside, tokens_of))).withColumn("component_sample_counts", F.map_from_arrays(closing, F.transform(closing, samples_of)))
     return out.withColumn("segments", F.transform("_p", lambda p: F.struct(*[p[k].alias(k) for k in (*[k for k in KEY if k not in group], "start", "stop")]))).drop("_p")
 
 
 def contributors(segments: DataFrame) -> DataFrame:
-    """Which samples a bin carries; the part with the last token closes one."""
-    per = W.partitionBy(*KEY)
-    return segments.withColumn("is_last_child", F.col("stop") == F.max("stop").over(per)).select(*KEY, "is_last_child", *[c for c in ("domain", "epoch", "bin", "seg") if c in segments.columns])
+    """Which records a bin carries. Of all parts of a planned sample, its
+    children's included, one closes it: the last part of the last child."""
+    here = F.struct("lineage", "stop")
+    last = F.max(here).over(W.partitionBy("lane_id", "chunk_id", "chunk_offset", *SAMPLE))
+    return with_lineage(segments).withColumn("is_last_child", here == last).select(*KEY, "is_last_child", *[c for c in ("domain", "epoch", "bin", "seg") if c in segments.columns])
 
 
 # User state
@@ -308,11 +399,13 @@ def contributors(segments: DataFrame) -> DataFrame:
 
 def stateful(df: DataFrame, init: Callable[[], Any], push: Callable[[Any, dict], Sequence[dict]], flush: Callable[[Any], Sequence[dict]] | None, schema: str, *, flush_every: int = 8, columns: Sequence[str] | None = None) -> DataFrame:
     """A fold over each lane in order, with new state in every epoch."""
-    keyed = df.select(*(columns or df.columns)).withColumn("_epoch", epoch(flush_every))
+    keyed = df.withColumn("_epoch", epoch(flush_every)).withColumn(LINE, line() if "lineage" in df.columns else F.lit(""))
+    keyed = keyed.select(*dict.fromkeys([*(columns or df.columns), "_epoch", LINE, "lane_id", "chunk_id", "chunk_offset", *SAMPLE]))
+    given = list(columns or df.columns)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         state, rows = init(), []
-        for record in pdf.sort_values(["chunk_id", "chunk_offset", *SAMPLE]).to_dict("records"):
+        for record in in_order(pdf)[given].to_dict("records"):
             rows += push(state, record)
         if flush is not None:
             rows += flush(state)

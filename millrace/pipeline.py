@@ -8,11 +8,10 @@ lane is reordered or batched, ``ordinal`` (where it is delivered).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import chat, text, training
@@ -58,6 +57,11 @@ class WorkSource:
     def names(self) -> list[str]:
         return [d.name for d in self.datasets]
 
+    def config(self) -> dict[str, Any]:
+        """All that the plan follows from but the rows: progress belongs to it."""
+        settings = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "datasets"}
+        return {"datasets": self.names(), **{k: dict(v) if isinstance(v, Mapping) else v for k, v in settings.items()}}
+
     def chunks(self, spark: SparkSession) -> list[mixture.Chunk]:
         spec = mixture.MixtureSpec(self.weights).ordered(self.names())
         sources = []
@@ -104,7 +108,7 @@ class Pipeline:
             mine = lanes.dp_group(F.col("lane_id"), options.canonical_replicas, options.dp_degree, options.lane_mode) == options.dp_group_id
             plan = plan.where(mine)
         rows = lanes.fetch(plan, samples(spark, source.datasets))
-        return cls(spark, rows, (("plan", {"chunk_size": source.chunk_size, "weights": dict(source.weights)}),), options)
+        return cls(spark, rows, (("plan", source.config()),), options)
 
     @classmethod
     def from_frame(cls, spark: SparkSession, df: DataFrame, options: Options | None = None) -> Pipeline:
@@ -143,7 +147,8 @@ class Pipeline:
         return self._with("split_long_samples", text.split_long(self.df, max_length, **options), {"max_length": max_length, **options})
 
     def expand_chat(self, field: str = "messages") -> Pipeline:
-        return self._with("expand_chat", chat.expand_chat(self.df, field))
+        """``query`` numbers the user queries; ``ordinal`` stays the place in the lane."""
+        return self._with("expand_chat", chat.expand_chat(self.df, field).withColumnRenamed("ordinal", "query"))
 
     def tokenize_chat(self, field: str = "messages", **options: Any) -> Pipeline:
         return self._with("tokenize_chat", chat.tokenize_chat(self.df, field, **options), options)
@@ -153,8 +158,10 @@ class Pipeline:
         return self
 
     def materialize(self) -> Pipeline:
-        """A barrier that cuts lineage, in the folder of spark.checkpoint.dir."""
-        return self._with("materialize", self.df.checkpoint() if self.spark.conf.get("spark.checkpoint.dir", None) else self.df)
+        """A barrier that cuts Spark's lineage, in the folder of spark.checkpoint.dir."""
+        if not self.spark.conf.get("spark.checkpoint.dir", None):
+            raise ValueError("materialize needs the shared folder that spark.checkpoint.dir names")
+        return self._with("materialize", self.df.checkpoint())
 
     # Order and state
 
@@ -186,8 +193,8 @@ class Pipeline:
         tokens = options.pop("tokens", None) or token_field(self.df.columns)
         parts = lanes.pack(self.df, max_length, tokens=tokens, flush_every=self.options_.flush_every_k_chunks, **options)
         out = lanes.filled(parts, self.df, max_length, tokens=tokens, aligned=aligned, pad_token_id=pad_token_id)
-        nth = F.row_number().over(W.partitionBy("lane_id").orderBy("epoch", "domain", "bin")) - 1
-        return self._with("pack_flat", out.withColumn("ordinal", nth.cast("long")), {"max_length": max_length, **options}, reordered=True)
+        out = lanes.numbered(out, ["epoch"], [F.col("domain"), F.col("bin")], counts=parts.where("seg = 0"))
+        return self._with("pack_flat", out, {"max_length": max_length, **options}, reordered=True)
 
     def batch(self, microbatch_size: int, *, drop_last: bool = True) -> Pipeline:
         rows = self.df if "ordinal" in self.df.columns else lanes.in_lane(self.df)

@@ -255,7 +255,7 @@ def plan(spark: SparkSession, ranks: Sequence[DataFrame], chunks: Sequence[Chunk
         order = one if order is None else order.unionByName(one)
     placed = drawn.join(offsets, ["g", "component_id", "nth"]).join(order, ["component_id", "pass", "rank"])
     where = lanes(spark, spark.createDataFrame([(c.number,) for c in chunks], "g long"), canonical_replicas, lane_assignment, seed)
-    return placed.join(F.broadcast(where), "g").select("lane_id", "chunk_id", "chunk_offset", "component_id", "dataset_id", "shard_id", "local_id", "pass", F.col("g").alias("global_chunk"))
+    return placed.join(where, "g").select("lane_id", "chunk_id", "chunk_offset", "component_id", "dataset_id", "shard_id", "local_id", "pass", F.col("g").alias("global_chunk"))
 
 
 def exhaustion(spark: SparkSession, chunks: Sequence[Chunk]) -> DataFrame:

@@ -109,10 +109,12 @@ def decode_text(spark, sf_dir):
     return text.decode_text(raw, lowercase=True).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("""SELECT d.doc_id, upper(substr(text, 1, 8)) AS head, n_chars FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND l.toxic = 0 AND n_chars >= 200""")
+@query("""SELECT d.doc_id, md5(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) AS digest, n_chars FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND l.toxic = 0 AND n_chars >= 200""")
 def map_filter(spark, sf_dir):
+    """A filter and a change of every kept text."""
     good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    return table(spark, sf_dir, "documents").where("n_chars >= 200").join(good, "doc_id").select("doc_id", F.upper(F.substring("text", 1, 8)).alias("head"), "n_chars")
+    loud = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    return table(spark, sf_dir, "documents").where("n_chars >= 200").join(good, "doc_id").select("doc_id", F.md5(loud.cast("binary")).alias("digest"), "n_chars")
 
 
 @query("""SELECT item_id, len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda w: w <> ''))::BIGINT AS n_words FROM benchmark WHERE length(text) > 100""")
@@ -162,13 +164,18 @@ def tokenize_lower_field(spark, sf_dir):
 
 # Packing by interval arithmetic, and training columns
 
-_WRAP = f"""WITH {CORPUS},
-ends AS (SELECT lane_id, epoch, doc_id, input_ids, len(input_ids) AS size, sum(len(input_ids)) OVER (PARTITION BY lane_id, epoch ORDER BY doc_id) AS e, sum(len(input_ids)) OVER (PARTITION BY lane_id, epoch) AS t FROM ids),
-segs AS (SELECT *, greatest(e - size, bin * {LENGTH}) AS lo, least(e, (bin + 1) * {LENGTH}) AS hi FROM (SELECT *, unnest(range((e - size)::BIGINT // {LENGTH}, (e - 1)::BIGINT // {LENGTH} + 1)) AS bin FROM ends) WHERE (bin + 1) * {LENGTH} <= t),
-parts AS (SELECT lane_id, epoch, bin, lo - bin * {LENGTH} AS place, (hi - lo)::BIGINT AS size, input_ids[(lo - (e - size) + 1)::BIGINT : (hi - (e - size))::BIGINT] AS piece FROM segs),
+def wrap_sql(rows: str, order: str, length: int = LENGTH) -> str:
+    """Bins of ``rows`` (lane_id, epoch, input_ids and what ``order`` needs) cut by running lengths."""
+    return f"""
+ends AS (SELECT *, len(input_ids) AS size, sum(len(input_ids)) OVER w AS e, sum(len(input_ids)) OVER (PARTITION BY lane_id, epoch) AS t FROM {rows} WINDOW w AS (PARTITION BY lane_id, epoch ORDER BY {order})),
+segs AS (SELECT *, greatest(e - size, bin * {length}) AS lo, least(e, (bin + 1) * {length}) AS hi FROM (SELECT *, unnest(range((e - size)::BIGINT // {length}, (e - 1)::BIGINT // {length} + 1)) AS bin FROM ends) WHERE (bin + 1) * {length} <= t),
+parts AS (SELECT lane_id, epoch, bin, lo - bin * {length} AS place, (hi - lo)::BIGINT AS size, input_ids[(lo - (e - size) + 1)::BIGINT : (hi - (e - size))::BIGINT] AS piece FROM segs),
 bins AS (SELECT lane_id, epoch, bin, count(*) AS num_sequences, flatten(list(piece ORDER BY place)) AS tokens, list(size ORDER BY place) AS sizes, list(place::BIGINT ORDER BY place) AS starts FROM parts GROUP BY ALL)"""
 
 
+_WRAP = f"WITH {CORPUS}," + wrap_sql("ids", "doc_id")
+
+
 def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tokenized(spark, sf_dir)
     return lanes.filled(lanes.pack(rows, LENGTH, algorithm="wrap"), rows, LENGTH)
@@ -227,26 +234,82 @@ def packing_efficiency(spark, sf_dir):
     return per.groupBy("lane_id").agg(F.sum("s").alias("num_sequences"), F.count(F.lit(1)).alias("bins"), F.sum("n").alias("total_length"), (F.sum("n") / (F.count(F.lit(1)) * LENGTH)).alias("efficiency"))
 
 
-def _filled_whole(algorithm: str, **options) -> Query:
-    """Bins of whole records; the invariants of any valid packing have SQL."""
+def first_fit_sql(rows: str, group: str, *, best: bool = False, num_bins: int = 64, fullest: bool = False, length: int = LENGTH) -> str:
+    """Each of ``rows`` (group, i from 1, doc_id, n) with the first document of its bin, by simulation."""
+    room = "list_filter(range(1, len(bins) + 1), lambda j: bins[j].room >= n)"
+    choice = f"list_sort(list_transform({room}, lambda j: {{'room': bins[j].room, 'j': j}}))[1].j" if best else f"{room}[1]"
+    gone = "list_sort(list_transform(range(1, len(bins) + 1), lambda j: {'room': bins[j].room, 'j': j}))[1].j" if fullest else "1"
+    kept = f"CASE WHEN len(bins) >= {num_bins} AND n < {length} THEN list_filter(bins, lambda b, j: j <> gone) ELSE bins END"
+    return f"""
+s AS (
+  SELECT DISTINCT {group}, 0::BIGINT AS i, NULL::BIGINT AS doc_id, NULL::BIGINT AS head, []::STRUCT(head BIGINT, room BIGINT)[] AS bins FROM {rows}
+  UNION ALL
+  SELECT {group}, i, doc_id, CASE WHEN spot IS NULL THEN doc_id ELSE bins[spot].head END,
+    list_filter(CASE WHEN spot IS NULL THEN list_append({kept}, {{'head': doc_id, 'room': {length} - n}}) ELSE list_transform(bins, lambda b, j: {{'head': b.head, 'room': b.room - CASE WHEN j = spot THEN n ELSE 0 END}}) END, lambda b: b.room > 0)
+  FROM (SELECT *, {choice} AS spot, {gone} AS gone FROM (SELECT {', '.join('s.' + g.strip() for g in group.split(','))}, r.i, r.doc_id, r.n, s.bins FROM s JOIN {rows} r ON {' AND '.join(f'r.{g.strip()} = s.{g.strip()}' for g in group.split(','))} AND r.i = s.i + 1)))
+SELECT doc_id, head, row_number() OVER (PARTITION BY head ORDER BY i) - 1 AS seg FROM s WHERE i > 0"""
+
 
+def heads(parts: DataFrame, docs: DataFrame, by: list[str]) -> DataFrame:
+    """The packed documents with the first document of their bin."""
+    named = parts.join(docs.select("dataset_id", "shard_id", "local_id", "doc_id"), ["dataset_id", "shard_id", "local_id"])
+    first = named.where("seg = 0").select(*by, "bin", F.col("doc_id").alias("head"))
+    return named.join(first, [*by, "bin"]).select("doc_id", "head", F.col("seg").cast("long").alias("seg"))
+
+
+def _fitted(algorithm: str, **options) -> Query:
     def run(spark, sf_dir):
-        parts = lanes.pack(tokenized(spark, sf_dir), LENGTH, algorithm=algorithm, **options)
-        return parts.groupBy("lane_id").agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("stop") - F.col("start")).alias("tokens"))
+        rows = tokenized(spark, sf_dir)
+        return heads(lanes.pack(rows, LENGTH, algorithm=algorithm, **options), rows, ["lane_id", "domain", "epoch"])
 
     return run
 
 
-_WHOLE = f"""WITH {CORPUS} SELECT lane_id, count(*) AS records, sum(len(input_ids))::BIGINT AS tokens FROM ids WHERE len(input_ids) <= {LENGTH} GROUP BY lane_id"""
-for _name, _options in {"pack_first_fit": {}, "pack_best_fit": {"num_bins": 16, "flush_strategy": "fullest"}}.items():
-    QUERIES[_name], ORACLES[_name] = _filled_whole(_name.removeprefix("pack_"), **_options), _WHOLE
+_FITTING = f"WITH RECURSIVE {CORPUS}, r AS MATERIALIZED (SELECT lane_id, epoch, doc_id, len(input_ids) AS n, row_number() OVER (PARTITION BY lane_id, epoch ORDER BY doc_id) AS i FROM ids WHERE len(input_ids) <= {LENGTH}),"
+QUERIES["pack_first_fit"], ORACLES["pack_first_fit"] = _fitted("first_fit", num_bins=8), _FITTING + first_fit_sql("r", "lane_id, epoch", num_bins=8)
+QUERIES["pack_best_fit"], ORACLES["pack_best_fit"] = _fitted("best_fit", num_bins=16, flush_strategy="fullest"), _FITTING + first_fit_sql("r", "lane_id, epoch", best=True, num_bins=16, fullest=True)
 
 
-@query(f"""WITH {CORPUS} SELECT lane_id, epoch, sum(len(input_ids))::BIGINT AS tokens, ceil(sum(len(input_ids)) / {LENGTH}.0)::BIGINT AS bins FROM ids GROUP BY ALL""")
+@query(
+    f"""WITH {CORPUS}, n AS (SELECT lane_id, epoch, doc_id, len(input_ids)::BIGINT AS n FROM ids), g AS (SELECT lane_id, epoch, sum(n)::BIGINT AS t FROM n GROUP BY ALL)
+SELECT doc_id, n AS covered, (n // {LENGTH}) AS windows, ((t + {LENGTH - 1}) // {LENGTH}) AS group_bins, (((t + {LENGTH - 1}) // {LENGTH}) - t // {LENGTH}) AS short_bins FROM n JOIN g USING (lane_id, epoch)"""
+)
 def pack_best_fit_wrap(spark, sf_dir):
-    parts = lanes.pack(tokenized(spark, sf_dir), LENGTH, algorithm="best_fit_wrap")
-    per = parts.groupBy("lane_id", "epoch", "bin").agg(F.sum(F.col("stop") - F.col("start")).alias("n"))
-    return per.groupBy("lane_id", "epoch").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("bins"))
+    """Every token once, whole windows cut off, and one short bin a group at most."""
+    rows = tokenized(spark, sf_dir)
+    parts = lanes.pack(rows, LENGTH, algorithm="best_fit_wrap").withColumn("n", F.col("stop") - F.col("start"))
+    bins = parts.groupBy("lane_id", "epoch", "bin").agg(F.sum("n").alias("n"))
+    groups = bins.groupBy("lane_id", "epoch").agg(F.count(F.lit(1)).alias("group_bins"), F.count_if(F.col("n") < LENGTH).alias("short_bins"))
+    # Parts of one document never overlap, so distinct starts and ends with this sum cover it.
+    per = parts.groupBy("dataset_id", "shard_id", "local_id", "lane_id", "epoch").agg(F.sum("n").alias("covered"), F.count_if(F.col("n") == LENGTH).alias("windows"))
+    docs = corpus(spark, sf_dir).select("dataset_id", "shard_id", "local_id", "doc_id")
+    return per.join(groups, ["lane_id", "epoch"]).join(docs, ["dataset_id", "shard_id", "local_id"]).select("doc_id", "covered", "windows", "group_bins", "short_bins")
+
+
+def _turned(strategy: str) -> Query:
+    def run(spark, sf_dir):
+        rows = tokenized(spark, sf_dir)
+        out = lanes.filled(lanes.pack(rows, LENGTH, algorithm="wrap", shuffle_strategy=strategy, shuffle_seed=3), rows, LENGTH)
+        return out.select("lane_id", "epoch", "bin", F.col("num_sequences").cast("long").alias("num_sequences"), digest(F.col("input_ids")).alias("digest"))
+
+    return run
+
+
+for _name, _order in {"length": "-len(input_ids), doc_id", "random": "md5('3:' || lane_id || ':' || chunk_id || ':' || chunk_offset || '::' || component_id || ':' || shard_id || ':' || local_id), doc_id"}.items():
+    QUERIES[f"pack_shuffle_{_name}"] = _turned(_name)
+    ORACLES[f"pack_shuffle_{_name}"] = f"WITH {CORPUS}," + wrap_sql("ids", _order) + f" SELECT lane_id, epoch, bin, num_sequences, {joined('tokens')} AS digest FROM bins"
+
+
+@query(
+    f"""WITH {CORPUS}, mixed AS (SELECT * REPLACE (doc_id % 3 AS lane_id, doc_id // 256 AS epoch) FROM ids),""" + wrap_sql("mixed", "doc_id")
+    + """ SELECT lane_id, epoch, bin, component_id, sum(hi - lo)::BIGINT AS tokens, count(*) FILTER (hi = e) AS samples FROM segs GROUP BY ALL"""
+)
+def pack_tallies(spark, sf_dir):
+    """Tokens of each component in a bin, and samples that end there."""
+    rows = tokenized(spark, sf_dir).withColumns({"lane_id": (F.col("doc_id") % 3).cast("int"), "chunk_id": F.expr("doc_id div 32"), "chunk_offset": F.col("doc_id") % 32})
+    out = lanes.filled(lanes.pack(rows, LENGTH, algorithm="wrap"), rows, LENGTH)
+    each = out.select("lane_id", "epoch", "bin", "component_sample_counts", F.explode("component_token_counts").alias("component_id", "tokens"))
+    return each.select("lane_id", "epoch", "bin", "component_id", F.col("tokens").cast("long").alias("tokens"), F.coalesce(F.try_element_at("component_sample_counts", F.col("component_id")), F.lit(0)).cast("long").alias("samples"))
 
 
 @query(
@@ -265,15 +328,37 @@ def pack_next_fit_lengths(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CORPUS}, c AS (SELECT CASE WHEN component_id IN (0, 3) THEN 'g:a' ELSE 'c:' || component_id END AS domain, len(input_ids) AS n FROM ids)
-SELECT domain, count(*) AS records, sum(n)::BIGINT AS tokens FROM c WHERE n <= {LENGTH} GROUP BY domain"""
+    f"""WITH RECURSIVE {CORPUS}, r AS MATERIALIZED (SELECT CASE WHEN component_id IN (0, 3) THEN 'g:a' ELSE 'c:' || component_id END AS domain, doc_id, len(input_ids) AS n, row_number() OVER (PARTITION BY domain ORDER BY doc_id) AS i FROM ids WHERE len(input_ids) <= {LENGTH}),"""
+    + first_fit_sql("r", "domain")
 )
 def pack_homogeneous_groups(spark, sf_dir):
     """Two languages share bins, the others never mix."""
     rows = tokenized(spark, sf_dir).withColumn("chunk_id", F.col("doc_id")).withColumn("lane_id", F.lit(0))
     domain = lanes.groups(spark, {"a": [0, 3]})(F.col("component_id"))
-    parts = lanes.pack(rows, LENGTH, homogeneity=domain, flush_every=0)
-    return parts.groupBy("domain").agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("stop") - F.col("start")).alias("tokens"))
+    return heads(lanes.pack(rows, LENGTH, homogeneity=domain, flush_every=0), rows, ["domain"])
+
+
+# Fan-out, then order and packing: children are records of their own
+
+_CHILDREN = f"""WITH {CORPUS}, children AS (SELECT lane_id, epoch, n, doc_id, component_id, shard_id, local_id, chunk_offset, i, k, input_ids[i * 128 + 1 : i * 128 + 128] AS input_ids FROM (SELECT *, greatest(1, ceil(len(input_ids) / 128.0)::BIGINT) AS k FROM ids), unnest(range(k)) AS u(i)),"""
+
+
+@query(
+    _CHILDREN
+    + """ spot AS (SELECT *, row_number() OVER (PARTITION BY lane_id, epoch ORDER BY n, i) - 1 AS m, row_number() OVER (PARTITION BY lane_id ORDER BY n, i) - 1 AS g FROM children),
+b AS (SELECT *, m // 32 AS block, g - m + m // 32 * 32 AS first FROM spot)
+SELECT lane_id, doc_id, CASE WHEN k > 1 THEN i::VARCHAR ELSE '' END AS lineage, first + row_number() OVER (PARTITION BY lane_id, epoch, block ORDER BY md5('9:' || lane_id || ':' || epoch || ':' || block || ':' || component_id || ':' || shard_id || ':' || local_id || ':' || chunk_offset || CASE WHEN k > 1 THEN ':' || lpad(i::VARCHAR, 10, '0') ELSE '' END), n, i) - 1 AS ordinal FROM b"""
+)
+def split_long_shuffle(spark, sf_dir):
+    rows = text.split_long(tokenized(spark, sf_dir), 128)
+    return lanes.shuffle(rows, 32, seed=9, algorithm="block").select("lane_id", "doc_id", F.array_join(F.col("lineage").cast("array<string>"), ",").alias("lineage"), "ordinal")
+
+
+@query(_CHILDREN + wrap_sql("children", "n, i") + f""" SELECT lane_id, epoch, bin, num_sequences, {joined('tokens')} AS digest FROM bins""")
+def split_long_pack_flat(spark, sf_dir):
+    rows = text.split_long(tokenized(spark, sf_dir), 128)
+    out = lanes.filled(lanes.pack(rows, LENGTH, algorithm="wrap"), rows, LENGTH)
+    return out.select("lane_id", "epoch", "bin", F.col("num_sequences").cast("long").alias("num_sequences"), digest(F.col("input_ids")).alias("digest"))
 
 
 # Chat
@@ -294,9 +379,24 @@ def expand_chat_turns(spark, sf_dir):
     return chat.expand_turns(table(spark, sf_dir, "conversations")).select("conv_id", F.col("ordinal").cast("long").alias("ordinal"), "stop")
 
 
+@query(
+    f"""WITH {_TURNS}, part AS (SELECT *, list_concat(list_transform(list_filter(string_split_regex(text, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 10000 + 10), CASE WHEN role = 'assistant' THEN [2::BIGINT] ELSE [] END) AS ids FROM conversations),
+chat AS (SELECT p.conv_id % 2 AS lane_id, p.conv_id // 128 AS epoch, p.conv_id, p.ord, list_concat([1::BIGINT], flatten(list(c.ids ORDER BY turn))) AS input_ids FROM prefix p JOIN part c ON c.conv_id = p.conv_id AND c.turn < p.stop GROUP BY ALL),"""
+    + wrap_sql("chat", "conv_id, ord", 64)
+    + f""" SELECT lane_id, epoch, bin, num_sequences, {joined('tokens')} AS digest FROM bins"""
+)
+def expand_chat_pack_flat(spark, sf_dir):
+    """Prefixes of a conversation are records of their own in bins."""
+    one = chat.conversations(table(spark, sf_dir, "conversations"))
+    placed_ = {"lane_id": (F.col("conv_id") % 2).cast("int"), "chunk_id": F.expr("conv_id div 16"), "chunk_offset": F.col("conv_id") % 16, "dataset_id": F.lit(0), "shard_id": F.lit(0).cast("long"), "local_id": F.col("conv_id")}
+    rows = chat.tokenize_chat(chat.expand_chat(one.withColumns(placed_)), special_tokens="bos")
+    out = lanes.filled(lanes.pack(rows, 64, algorithm="wrap"), rows, 64)
+    return out.select("lane_id", "epoch", "bin", F.col("num_sequences").cast("long").alias("num_sequences"), digest(F.col("input_ids")).alias("digest"))
+
+
 def _scoped(scope: str) -> Query:
     def run(spark, sf_dir):
-        out = chat.tokenize_chat(chat.conversations(table(spark, sf_dir, "conversations")).where(F.element_at("messages.role", 1) != "assistant"), scope=scope, special_tokens="bos")
+        out = chat.tokenize_chat(chat.conversations(table(spark, sf_dir, "conversations")), scope=scope, special_tokens="bos")
         return out.select("conv_id", F.size("input_ids").cast("long").alias("n_tokens"), digest(F.col("input_ids")).alias("digest"), digest(F.col("loss_mask")).alias("mask"))
 
     return run
@@ -304,8 +404,8 @@ def _scoped(scope: str) -> Query:
 
 def _scope_sql(selected: str) -> str:
     return f"""WITH m AS (SELECT conv_id, turn, role, list_concat(list_transform(list_filter(string_split_regex(text, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 10000 + 10), CASE WHEN role = 'assistant' THEN [2::BIGINT] ELSE [] END) AS part,
-  max(turn) FILTER (role = 'user') OVER w AS last_user, max(turn) FILTER (role = 'assistant') OVER w AS last_reply, first(role) OVER (PARTITION BY conv_id ORDER BY turn) AS opener FROM conversations WINDOW w AS (PARTITION BY conv_id)),
-run AS (SELECT *, max(turn) FILTER (role <> 'assistant' AND turn < last_reply) OVER (PARTITION BY conv_id) AS before FROM m WHERE opener <> 'assistant'),
+  max(turn) FILTER (role = 'user') OVER w AS last_user, max(turn) FILTER (role = 'assistant') OVER w AS last_reply FROM conversations WINDOW w AS (PARTITION BY conv_id)),
+run AS (SELECT *, max(turn) FILTER (role <> 'assistant' AND turn < last_reply) OVER (PARTITION BY conv_id) AS before FROM m),
 s AS (SELECT *, (role = 'assistant' AND {selected})::INT AS chosen FROM run),
 j AS (SELECT conv_id, list_concat([1::BIGINT], flatten(list(part ORDER BY turn))) AS ids, list_concat([0], flatten(list(list_transform(part, lambda x: chosen) ORDER BY turn))) AS mask FROM s GROUP BY conv_id)
 SELECT conv_id, len(ids)::BIGINT AS n_tokens, {joined('ids')} AS digest, {joined('mask')} AS mask FROM j WHERE len(ids) >= 2 AND list_contains(mask, 1)"""
@@ -322,11 +422,11 @@ def loss_scope_all_tokens(spark, sf_dir):
     return out.select("conv_id", F.aggregate("loss_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_valid"))
 
 
-@query("""SELECT count(DISTINCT conv_id) AS conversations, count(DISTINCT conv_id) FILTER (role = 'assistant') AS supervised FROM conversations""")
+@query("""SELECT conv_id, bool_or(role = 'assistant') AS kept FROM conversations GROUP BY conv_id""")
 def drop_unsupervised(spark, sf_dir):
     every = chat.conversations(table(spark, sf_dir, "conversations"))
-    kept = chat.tokenize_chat(every, special_tokens="bos").select("conv_id", F.lit(1).alias("k"))
-    return every.select("conv_id").join(kept, "conv_id", "left").agg(F.count(F.lit(1)).alias("conversations"), F.count("k").alias("supervised"))
+    kept = chat.tokenize_chat(every, special_tokens="bos").select("conv_id", F.lit(True).alias("kept"))
+    return every.select("conv_id").join(kept, "conv_id", "left").select("conv_id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 # Mixture planning
@@ -345,7 +445,7 @@ def _quotas(spark: SparkSession, chunks: list[mixture.Chunk]) -> DataFrame:
     return spark.createDataFrame(rows, "g long, component_id int, n long")
 
 
-def _quota_cte(count: int) -> str:
+def _quota_cte(count: int | str) -> str:
     """Quotas of 4 components with debts carried over, as a recursive query."""
     w = list(mixture.MixtureSpec(WEIGHTS).ordered(LANGUAGES))
     return f"""RECURSIVE weight(k, w) AS (VALUES {', '.join(f'({k}, {x!r}::DOUBLE)' for k, x in enumerate(w))}),
@@ -361,22 +461,45 @@ quota AS (
     SELECT g, whole, list_transform(list_sort(list_transform(range(4), lambda i: {{'d': -debt[i + 1], 'i': i + 1}})), lambda s: s.i)[1:({CHUNK} - list_sum(whole))::BIGINT] AS ups FROM state), range(4) AS r(k))"""
 
 
-@query(f"""WITH {_quota_cte(40)} SELECT g, component_id, n FROM quota WHERE n > 0""")
+#: Chunks of all documents, and of four times as many.
+_CHUNKS = f"(SELECT ceil(count(*) / {CHUNK}.0)::BIGINT FROM documents)"
+
+
+def chunks_of(spark: SparkSession, sf_dir: str) -> int:
+    return -(-table(spark, sf_dir, "documents").count() // CHUNK)
+
+
+@query(f"""WITH {_quota_cte(_CHUNKS)} SELECT g, component_id, n FROM quota WHERE n > 0""")
 def mixture_quotas(spark, sf_dir):
+    """As many chunks as the documents fill, from sources that never end."""
     weights = mixture.MixtureSpec(WEIGHTS).ordered(LANGUAGES)
-    return _quotas(spark, mixture.schedule([mixture.Source(10**9)] * 4, weights, CHUNK, max_chunks=40))
+    return _quotas(spark, mixture.schedule(sources_of(spark, sf_dir, "repeat"), weights, CHUNK, max_chunks=chunks_of(spark, sf_dir)))
+
+
+def _redistribute_cte() -> str:
+    """Quotas among the components that still have rows; debts start anew when their set changes."""
+    w = list(mixture.MixtureSpec(WEIGHTS).ordered(LANGUAGES))
+    return f"""RECURSIVE
+run AS (
+  SELECT -1::BIGINT AS g, list(count ORDER BY k) AS room, [true, true, true, true] AS live, true AS fresh, [0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS debt, [0, 0, 0, 0]::BIGINT[] AS n FROM (SELECT list_position(['de', 'en', 'es', 'fr'], lang) AS k, count(*) AS count FROM documents GROUP BY lang)
+  UNION ALL
+  SELECT g + 1, list_transform(room, lambda x, j: x - n[j]), list_transform(room, lambda x, j: x > n[j]), list_transform(room, lambda x, j: x > n[j]) <> live, debt, n FROM (
+    SELECT g, room, live, list_transform(whole, lambda x, j: least(room[j], x + list_contains(ups, j)::INT)::BIGINT) AS n, list_transform(part, lambda x, j: x - list_contains(ups, j)::INT) AS debt FROM (
+      SELECT *, list_transform(list_sort(list_transform(list_filter(range(1, 5), lambda j: live[j]), lambda j: {{'d': -part[j], 'i': j}})), lambda s: s.i)[1:({CHUNK} - list_sum(whole))::BIGINT] AS ups FROM (
+        SELECT *, list_transform(a, lambda x: floor(x)::BIGINT) AS whole, list_transform(a, lambda x: x - floor(x)) AS part FROM (
+          SELECT *, list_transform(range(1, 5), lambda j: CASE WHEN live[j] THEN CASE WHEN fresh THEN 0.0 ELSE debt[j] END + ({w}::DOUBLE[])[j] / list_sum(list_transform(range(1, 5), lambda i: CASE WHEN live[i] THEN ({w}::DOUBLE[])[i] ELSE 0.0 END)) * {CHUNK} ELSE 0.0 END) AS a FROM run WHERE list_contains(live, true)))))),
+dealt AS (SELECT g, j::INT - 1 AS component_id, n[j] AS n FROM run, range(1, 5) AS r(j) WHERE g >= 0 AND n[j] > 0)"""
 
 
-@query("""SELECT list_position(['de', 'en', 'es', 'fr'], lang)::INT - 1 AS component_id, count(*) AS n FROM documents GROUP BY lang""")
+@query(f"""WITH {_redistribute_cte()} SELECT g, component_id, n FROM dealt""")
 def mixture_redistribute(spark, sf_dir):
-    """Under redistribution every row is drawn once."""
+    """What each chunk draws when sources that end leave their share to the others."""
     weights = mixture.MixtureSpec(WEIGHTS).ordered(LANGUAGES)
-    chunks = mixture.schedule(sources_of(spark, sf_dir, "redistribute"), weights, CHUNK)
-    return _quotas(spark, chunks).groupBy("component_id").agg(F.sum("n").alias("n"))
+    return _quotas(spark, mixture.schedule(sources_of(spark, sf_dir, "redistribute"), weights, CHUNK))
 
 
 @query(
-    f"""WITH {_quota_cte(4000)}, rows AS (SELECT list_position(['de', 'en', 'es', 'fr'], lang)::INT - 1 AS component_id, count(*) AS c FROM documents GROUP BY lang),
+    f"""WITH {_quota_cte("(SELECT max(ceil(c / w))::BIGINT // " + str(CHUNK) + " + 2 FROM (SELECT count(*) AS c, list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS k FROM documents GROUP BY lang) JOIN weight USING (k))")}, rows AS (SELECT list_position(['de', 'en', 'es', 'fr'], lang)::INT - 1 AS component_id, count(*) AS c FROM documents GROUP BY lang),
 run AS (SELECT g, component_id, sum(n) OVER (PARTITION BY component_id ORDER BY g) AS total FROM quota),
 last AS (SELECT g FROM run JOIN rows USING (component_id) GROUP BY g HAVING bool_and(total >= c) ORDER BY g LIMIT 1)
 SELECT component_id, total::BIGINT AS drawn, (total >= c) AS passed FROM run JOIN rows USING (component_id) WHERE g = (SELECT g FROM last)"""
@@ -413,17 +536,17 @@ def shard_order(spark, sf_dir):
 
 
 @query(
-    """WITH g AS (SELECT range AS g, range // 6 AS chunk_id, range % 6 AS slot FROM range(200)),
+    f"""WITH g AS (SELECT range AS g, range // 6 AS chunk_id, range % 6 AS slot FROM range({_CHUNKS})),
 dealt AS (SELECT chunk_id, lane_id, row_number() OVER (PARTITION BY chunk_id ORDER BY md5('11:' || chunk_id || ':' || lane_id), lane_id) - 1 AS slot FROM (SELECT DISTINCT chunk_id FROM g), (SELECT range::INT AS lane_id FROM range(6)))
 SELECT g, lane_id, chunk_id FROM g JOIN dealt USING (chunk_id, slot)"""
 )
 def lane_routing(spark, sf_dir):
-    return mixture.lanes(spark, 200, 6, "permute", seed=11)
+    return mixture.lanes(spark, chunks_of(spark, sf_dir), 6, "permute", seed=11)
 
 
-@query("""SELECT range AS g, (range % 6)::INT AS lane_id, range // 6 AS chunk_id FROM range(200)""")
+@query(f"""SELECT range AS g, (range % 6)::INT AS lane_id, range // 6 AS chunk_id FROM range({_CHUNKS})""")
 def lane_routing_modulo(spark, sf_dir):
-    return mixture.lanes(spark, 200, 6, "modulo")
+    return mixture.lanes(spark, chunks_of(spark, sf_dir), 6, "modulo")
 
 
 @query(
@@ -443,15 +566,21 @@ def chunk_swrr(spark, sf_dir):
 
 
 @query(
-    """SELECT (SELECT count(*) FROM documents) AS drawn, (SELECT count(*) FROM documents) AS distinct_samples, true AS contiguous"""
+    """WITH d AS (SELECT list_position(['de', 'en', 'es', 'fr'], lang)::INT - 1 AS component_id, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS local_id FROM documents),
+s AS (SELECT component_id, source, row_number() OVER (PARTITION BY component_id ORDER BY source) - 1 AS shard_id, n FROM (SELECT component_id, source, count(*) AS n FROM d GROUP BY ALL)),
+f AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY component_id ORDER BY md5('5:0:' || shard_id), shard_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM s),
+r AS (SELECT component_id, shard_id, local_id, first + local_id AS rank FROM d JOIN f USING (component_id, source))
+SELECT component_id, shard_id, local_id, rank // 64 * 64 + row_number() OVER (PARTITION BY component_id, rank // 64 ORDER BY md5('5:0:' || rank // 64 || ':' || shard_id || ':' || local_id), rank) - 1 AS nth FROM r"""
 )
 def full_plan(spark, sf_dir):
-    """Planned samples of a redistributing mixture: all rows once, offsets without gaps."""
+    """Planned samples of a redistributing mixture in order: a component's n-th
+    draw is its row of rank n, by shards and blocks in hash order. The order is
+    that of chunks and offsets, so draws before a chunk are summed by chunk."""
     p = plan_of(spark, sf_dir)
-    per = p.groupBy("lane_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.max("chunk_offset").alias("m"), F.countDistinct("chunk_offset").alias("d"))
-    ok = per.agg(F.min(((F.col("n") == F.col("m") + 1) & (F.col("n") == F.col("d"))).cast("int")).alias("c"), F.sum("n").alias("drawn"))
-    distinct = p.select("dataset_id", "shard_id", "local_id").distinct().agg(F.count(F.lit(1)).alias("distinct_samples"))
-    return ok.join(F.broadcast(distinct)).select("drawn", "distinct_samples", (F.col("c") == 1).alias("contiguous"))
+    per = p.groupBy("component_id", "global_chunk").agg(F.count(F.lit(1)).alias("n"))
+    before = per.select("component_id", "global_chunk", F.coalesce(F.sum("n").over(W.partitionBy("component_id").orderBy("global_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    nth = F.row_number().over(W.partitionBy("component_id", "global_chunk").orderBy("chunk_offset")) - 1
+    return p.withColumn("i", nth).join(before, ["component_id", "global_chunk"]).select("component_id", "shard_id", "local_id", (F.col("before") + F.col("i")).cast("long").alias("nth"))
 
 
 def plan_of(spark: SparkSession, sf_dir: str, replicas: int = 4) -> DataFrame:
@@ -479,19 +608,19 @@ def token_cost(spark, sf_dir):
     return mixture.token_cost(rows, mixture.token_ratio(rows, "n", "b"), "b").select("component_id", "shard_id", "cost")
 
 
-_COSTS = (410.0, 390.0, 77.0, 1200.0)
-
-
 @query(
-    f"""WITH RECURSIVE s AS (
+    f"""WITH RECURSIVE cost AS (SELECT list(c ORDER BY k) AS c, sum(n)::BIGINT AS draws FROM (SELECT list_position(['de', 'en', 'es', 'fr'], lang) AS k, (sum(n_chars) / count(*))::DOUBLE AS c, count(*) AS n FROM documents GROUP BY lang)),
+s AS (
   SELECT 0::BIGINT AS i, -1 AS k, [0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS d
   UNION ALL
-  SELECT i + 1, pick - 1, list_transform(d, lambda x, j: x + {list(mixture.MixtureSpec(WEIGHTS).ordered(LANGUAGES))}[j] * {list(_COSTS)}[pick] - (CASE WHEN j = pick THEN {list(_COSTS)}[pick] ELSE 0.0 END)) FROM (
-    SELECT *, list_sort(list_transform(range(1, 5), lambda j: {{'x': -d[j], 'j': j}}))[1].j AS pick FROM s WHERE i < 300))
+  SELECT i + 1, pick - 1, list_transform(d, lambda x, j: x + ({list(mixture.MixtureSpec(WEIGHTS).ordered(LANGUAGES))}::DOUBLE[])[j] * c[pick] - (CASE WHEN j = pick THEN c[pick] ELSE 0.0 END)) FROM (
+    SELECT *, list_sort(list_transform(range(1, 5), lambda j: {{'x': -d[j], 'j': j}}))[1].j AS pick FROM s, cost WHERE i < draws))
 SELECT i - 1 AS draw, k::INT AS component_id FROM s WHERE i > 0"""
 )
 def token_aware_allocation(spark, sf_dir):
-    drawn, _ = kernels.token_draws(mixture.MixtureSpec(WEIGHTS).ordered(LANGUAGES), _COSTS, 300)
+    """As many draws as there are documents, at the mean length of each language."""
+    got = {r["lang"]: r for r in table(spark, sf_dir, "documents").groupBy("lang").agg((F.sum("n_chars") / F.count(F.lit(1))).alias("c"), F.count(F.lit(1)).alias("n")).collect()}  # a row for each component
+    drawn, _ = kernels.token_draws(mixture.MixtureSpec(WEIGHTS).ordered(LANGUAGES), [float(got[k]["c"]) for k in LANGUAGES], sum(r["n"] for r in got.values()))
     return spark.createDataFrame(list(enumerate(drawn)), "draw long, component_id int")
 
 
@@ -532,17 +661,21 @@ def resume_suffix(spark, sf_dir):
     return lanes.resume(rows, saved, config).select("lane_id", "ordinal", "doc_id")
 
 
-@query("""SELECT range::INT AS lane_id, (CASE WHEN range < 4 THEN range // 4 ELSE 1 + (range - 4) // 3 END)::INT AS contiguous, (range % 3)::INT AS interleaved FROM range(10)""")
+_LANES = "(SELECT count(DISTINCT source) FROM documents)"
+
+
+@query(f"""SELECT range::INT AS lane_id, (CASE WHEN range < edge THEN range // (base + 1) ELSE {_LANES} % 3 + (range - edge) // base END)::INT AS contiguous, (range % 3)::INT AS interleaved FROM range({_LANES}), (SELECT {_LANES} // 3 AS base, ({_LANES} % 3) * ({_LANES} // 3 + 1) AS edge)""")
 def lane_groups(spark, sf_dir):
-    lane = spark.range(10).select(F.col("id").cast("int").alias("lane_id"))
-    return lane.select("lane_id", lanes.dp_group(F.col("lane_id"), 10, 3).alias("contiguous"), lanes.dp_group(F.col("lane_id"), 10, 3, "interleaved").alias("interleaved"))
+    """A lane for each source of the documents, in three groups."""
+    n = table(spark, sf_dir, "documents").select("source").distinct().count()
+    lane = spark.range(n).select(F.col("id").cast("int").alias("lane_id"))
+    return lane.select("lane_id", lanes.dp_group(F.col("lane_id"), n, 3).alias("contiguous"), lanes.dp_group(F.col("lane_id"), n, 3, "interleaved").alias("interleaved"))
 
 
-@query(f"""WITH {CORPUS} SELECT n // 8 AS step, count(*) AS n, sum(doc_id)::BIGINT AS doc_sum FROM placed GROUP BY step""")
+@query(f"""WITH {CORPUS} SELECT n // 8 AS step, lane_id, doc_id FROM placed""")
 def global_step_batches(spark, sf_dir):
     per = lanes.check_world(32, 4, 2, 4)
-    rows = lanes.steps(lanes.in_lane(placed(spark, sf_dir)), 4 * per, 4)
-    return rows.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("doc_sum"))
+    return lanes.steps(lanes.in_lane(placed(spark, sf_dir)), 4 * per, 4).select("step", "lane_id", "doc_id")
 
 
 @query(_WRAP + """ SELECT lane_id, count(*) AS samples, sum(closed)::BIGINT AS closed FROM (SELECT lane_id, (max(hi) FILTER (hi = e) IS NOT NULL)::INT AS closed FROM segs GROUP BY lane_id, doc_id) GROUP BY lane_id""")
@@ -562,45 +695,83 @@ def dropped_samples(spark, sf_dir):
     return lanes.dropped(rows, lanes.pack(rows, LENGTH)).groupBy("lane_id").agg(F.count(F.lit(1)).alias("dropped"))
 
 
-@query("""SELECT 0::BIGINT AS out_of_order, count(*) AS records FROM documents""")
+_BLOCKS = f"""WITH {CORPUS}, b AS (SELECT *, (n % 128) // 32 AS block, epoch * 128 + ((n % 128) // 32) * 32 AS first FROM placed),
+o AS (SELECT *, first + row_number() OVER (PARTITION BY lane_id, epoch, block ORDER BY md5('9:' || lane_id || ':' || epoch || ':' || block || ':' || component_id || ':' || shard_id || ':' || local_id || ':' || chunk_offset), n) - 1 AS ordinal FROM b)"""
+
+
+@query(_BLOCKS + """ SELECT lane_id, doc_id, ordinal FROM (SELECT *, lag(n) OVER (PARTITION BY lane_id ORDER BY ordinal) AS p FROM o) WHERE p >= n""")
 def lineage_order(spark, sf_dir):
-    rows = lanes.in_lane(placed(spark, sf_dir))
-    bad = lanes.out_of_order(rows).agg(F.count(F.lit(1)).alias("out_of_order"))
-    return bad.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("records"))))
+    """The records of a shuffled lane that come after a later one."""
+    out = lanes.shuffle(placed(spark, sf_dir), 32, seed=9, algorithm="block")
+    return lanes.out_of_order(out).select("lane_id", "doc_id", "ordinal")
 
 
 # Shuffles, correction, state
 
 
-@query(
-    f"""WITH {CORPUS}, b AS (SELECT *, (n % 128) // 32 AS block, epoch * 128 + ((n % 128) // 32) * 32 AS first FROM placed)
-SELECT lane_id, doc_id, first + row_number() OVER (PARTITION BY lane_id, epoch, block ORDER BY md5('9:' || lane_id || ':' || epoch || ':' || block || ':' || component_id || ':' || shard_id || ':' || local_id || ':' || chunk_offset), n) - 1 AS ordinal FROM b"""
-)
+@query(_BLOCKS + """ SELECT lane_id, doc_id, ordinal FROM o""")
 def shuffle_block(spark, sf_dir):
     return lanes.shuffle(placed(spark, sf_dir), 32, seed=9, algorithm="block").select("lane_id", "doc_id", "ordinal")
 
 
-@query(f"""WITH {CORPUS} SELECT lane_id, epoch, count(*) AS n, sum(doc_id)::BIGINT AS doc_sum, min(n) AS first, max(n) AS last FROM placed GROUP BY ALL""")
+def _stream_sql(size: int, seed: int) -> str:
+    """The buffer step by step: a state holds the records that wait; the mixing chain is in 128-bit integers."""
+    low = "18446744073709551615::UHUGEINT"
+    once = lambda value, body: f"list_transform([{value}], lambda x: {body})[1]"
+
+    def mixed(value: str) -> str:
+        value = once(value, f"(xor(x, x >> 30) * {kernels._MUL_A}::UHUGEINT) & {low}")
+        value = once(value, f"(xor(x, x >> 27) * {kernels._MUL_B}::UHUGEINT) & {low}")
+        return once(value, "xor(x, x >> 31)")
+
+    mark = f"list_reduce(list_concat([{kernels._FNV_START}::UBIGINT], flatten(list_transform([chunk_id, chunk_offset, component_id, shard_id, local_id], lambda v: [v::UBIGINT & 4294967295, v::UBIGINT >> 32]))), lambda h, v: (xor(h, v) * {kernels._FNV_PRIME}) & 4294967295)::UHUGEINT"
+    warm = max(1, min(128, size // 16))
+    step = lambda h, part: mixed(f"xor({h}, {mixed(f'(({part})::UHUGEINT + {kernels._STEP}) & {low}')})")
+    return f"""WITH RECURSIVE {CORPUS}, r AS MATERIALIZED (SELECT lane_id, epoch, doc_id, row_number() OVER (PARTITION BY lane_id, epoch ORDER BY n) AS i, count(*) OVER (PARTITION BY lane_id, epoch) AS total, {mark} AS mark, {step(kernels.mix64(seed), 'lane_id').replace('xor(' + str(kernels.mix64(seed)) + ',', 'xor(' + str(kernels.mix64(seed)) + '::UHUGEINT,')} AS lead FROM placed),
+s AS (
+  SELECT DISTINCT lane_id, epoch, 0::BIGINT AS i, 0::BIGINT AS k, []::BIGINT[] AS held, NULL::BIGINT AS gone FROM r
+  UNION ALL
+  SELECT lane_id, epoch, i, k + (v IS NOT NULL)::INT, CASE WHEN v IS NULL THEN held ELSE list_transform(held[1 : len(held) - 1], lambda x, j: CASE WHEN j = v THEN held[len(held)] ELSE x END) END, CASE WHEN v IS NULL THEN NULL ELSE held[v] END FROM (
+    SELECT *, CASE WHEN drain OR len(held) > least({size}, {warm} + k) THEN ({step(step(step('lead', 'mark'), 'k'), 'len(held)')} % len(held)::UHUGEINT)::BIGINT + 1 END AS v FROM (
+      SELECT s.lane_id, s.epoch, r.i IS NULL AS drain, coalesce(r.i, s.i) AS i, k, CASE WHEN r.i IS NULL THEN held ELSE list_append(held, r.doc_id) END AS held, CASE WHEN r.i IS NULL THEN {kernels._DRAIN}::UHUGEINT ELSE r.mark END AS mark, one.lead
+      FROM s LEFT JOIN r ON r.lane_id = s.lane_id AND r.epoch = s.epoch AND r.i = s.i + 1 JOIN (SELECT * FROM r WHERE i = 1) one ON one.lane_id = s.lane_id AND one.epoch = s.epoch WHERE r.i IS NOT NULL OR len(held) > 0)))
+SELECT lane_id, gone AS doc_id, epoch * 128 + k - 1 AS ordinal FROM s WHERE gone IS NOT NULL"""
+
+
+@query(_stream_sql(64, 4))
 def shuffle_stream(spark, sf_dir):
-    """A permutation within each epoch (its order is tested against a plain simulation)."""
-    out = lanes.shuffle(placed(spark, sf_dir), 64, seed=4).withColumn("epoch", lanes.epoch(8))
-    return out.groupBy("lane_id", "epoch").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("doc_sum"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
+    return lanes.shuffle(placed(spark, sf_dir), 64, seed=4).select("lane_id", "doc_id", "ordinal")
 
 
-@query(f"""WITH {CORPUS}, e AS (SELECT *, CASE WHEN n % 128 < 4 THEN 0 WHEN n % 128 < 10 THEN 1 WHEN n % 128 < 19 THEN 2 WHEN n % 128 < 33 THEN 3 WHEN n % 128 < 54 THEN 4 WHEN n % 128 < 86 THEN 5 ELSE 6 + (n % 128 - 86) // 64 END AS block FROM placed) SELECT lane_id, epoch, block::BIGINT AS block, count(*) AS n, sum(doc_id)::BIGINT AS doc_sum FROM e GROUP BY ALL""")
+@query(
+    f"""WITH {CORPUS}, e AS (SELECT *, n % 128 AS m FROM placed),
+b AS (SELECT *, CASE WHEN m < 4 THEN 0 WHEN m < 10 THEN 1 WHEN m < 19 THEN 2 WHEN m < 33 THEN 3 WHEN m < 54 THEN 4 WHEN m < 86 THEN 5 ELSE 6 + (m - 86) // 64 END AS block FROM e)
+SELECT lane_id, doc_id, min(n) OVER (PARTITION BY lane_id, epoch, block) + row_number() OVER (PARTITION BY lane_id, epoch, block ORDER BY md5('4:' || lane_id || ':' || epoch || ':' || block || ':' || component_id || ':' || shard_id || ':' || local_id || ':' || chunk_offset), n) - 1 AS ordinal FROM b"""
+)
 def shuffle_block_warmup(spark, sf_dir):
-    """Blocks of 4, 6, 9, 14, 21, 32, then 64; what a block holds is fixed."""
-    out = lanes.shuffle(placed(spark, sf_dir), 64, seed=4, algorithm="block_warmup").withColumn("epoch", lanes.epoch(8))
-    place = F.col("ordinal") - F.col("epoch") * 128
-    return out.withColumn("_nth", place).withColumn("block", lanes._ramp(64, 1.5)).groupBy("lane_id", "epoch", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("doc_sum"))
+    """Blocks of 4, 6, 9, 14, 21, 32, then 64, each in hash order."""
+    return lanes.shuffle(placed(spark, sf_dir), 64, seed=4, algorithm="block_warmup").select("lane_id", "doc_id", "ordinal")
 
 
-@query("""SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS distinct_events FROM events GROUP BY event_type""")
+@query(
+    """WITH RECURSIVE kind AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS c FROM (SELECT DISTINCT event_type FROM events)),
+r AS MATERIALIZED (SELECT event_id % 2 AS lane, event_id // 2048 AS epoch, event_id, c, row_number() OVER (PARTITION BY event_id % 2, event_id // 2048 ORDER BY event_id) AS i FROM events JOIN kind USING (event_type)),
+s AS (
+  SELECT DISTINCT lane, epoch, 0::BIGINT AS i, 0::BIGINT AS k, [[], [], [], [], []]::BIGINT[][] AS q, [0, 0, 0, 0, 0]::DOUBLE[] AS g, false AS f, NULL::BIGINT AS gone FROM r
+  UNION ALL
+  SELECT lane, epoch, CASE WHEN v IS NULL THEN i + 1 ELSE i END, k + (v IS NOT NULL)::INT,
+    CASE WHEN v IS NULL THEN list_transform(q, lambda x, j: CASE WHEN j = c THEN list_append(x, event_id) ELSE x END) ELSE list_transform(q, lambda x, j: CASE WHEN j = v THEN x[2:] ELSE x END) END,
+    CASE WHEN v IS NULL THEN g ELSE list_transform(g, lambda x, j: x + (j = v)::INT) END, f, CASE WHEN v IS NOT NULL THEN q[v][1] END
+  FROM (SELECT *, CASE WHEN waiting = 0 THEN NULL WHEN len(q[ideal]) > 0 THEN ideal WHEN f OR event_id IS NULL THEN other END AS v FROM (
+    SELECT *, list_sort(lack)[1].j AS ideal, list_sort(list_filter(lack, lambda x: len(q[x.j]) > 0))[1].j AS other FROM (
+      SELECT s.lane, s.epoch, s.i, k, q, g, waiting, waiting >= 200 OR s.f AND waiting > 160 AS f, r.event_id, r.c, list_transform(range(1, 6), lambda j: {'d': -(0.2::DOUBLE * greatest(1.0::DOUBLE, list_sum(g)) - g[j]), 'j': j}) AS lack
+      FROM (SELECT *, list_sum(list_transform(q, lambda x: len(x)))::BIGINT AS waiting FROM s) s LEFT JOIN r ON r.lane = s.lane AND r.epoch = s.epoch AND r.i = s.i + 1 WHERE r.i IS NOT NULL OR waiting > 0))))
+SELECT lane::INT AS lane_id, gone AS event_id, coalesce(sum(total) OVER (PARTITION BY lane ORDER BY epoch RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + k - 1 AS ordinal FROM (SELECT s.*, CASE WHEN k = 1 THEN count(*) OVER (PARTITION BY lane, epoch) END AS total FROM s WHERE gone IS NOT NULL)"""
+)
 def ensure_mixture(spark, sf_dir):
-    """Correction emits every record once when it is bounded."""
-    rows = events_in_lane(spark, sf_dir)
-    out = lanes.ensure_mixture(rows, {0: {k: 0.2 for k in range(5)}}, most=200, flush_every=64)
-    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("distinct_events"))
+    """Five kinds of events in even shares, at most 200 held back."""
+    out = lanes.ensure_mixture(events_in_lane(spark, sf_dir), {0: {k: 0.2 for k in range(5)}}, most=200, flush_every=64)
+    return out.select("lane_id", "event_id", "ordinal")
 
 
 def events_in_lane(spark: SparkSession, sf_dir: str) -> DataFrame:

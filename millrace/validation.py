@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import lanes
-from .schema import KEY
+from .schema import POSITION, SAMPLE
 
 # Modules and builtins whose results differ from run to run.
 UNSTABLE = frozenset({"random", "time", "uuid", "secrets", "datetime.now", "os.urandom", "hash", "id"})
@@ -87,7 +87,7 @@ def conserved(plan: DataFrame, contributors: DataFrame) -> Report:
     many = lanes.exactly_once(plan, contributors).where("closed > 1").limit(1).count()
     if many:
         report.add("exactly once", "a sample is closed more than once")
-    if contributors.join(plan.select(*KEY), list(KEY), "left_anti").limit(1).count():
+    if contributors.join(plan.select(*POSITION, *SAMPLE), [*POSITION, *SAMPLE], "left_anti").limit(1).count():
         report.add("identity", "a record carries a sample that was not planned")
     return report
 

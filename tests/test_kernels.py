@@ -56,7 +56,7 @@ def simulate_shuffle(cursors, size, seed, lane):
     """The buffer record by record, told plainly."""
     warm = 0 if size <= 1 else max(1, min(128, size // 16))
     buffer, out = [], []
-    pending = [(i, k.salt(*c)) for i, c in enumerate(cursors)]
+    pending = [(i, k.salt(c)) for i, c in enumerate(cursors)]
     for i, mark in pending:
         buffer.append(i)
         target = 0 if size == 1 else min(size, warm + len(out))

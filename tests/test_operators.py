@@ -260,3 +260,41 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.g, r.lane_id) for r in out) == [(i, i % 2) for i in range(9)]
+
+
+def test_children_are_records_of_their_own(spark):
+    """After a fan-out nothing is multiplied or lost."""
+    df = lane_rows(spark, 24, value=lambda i: list(range(10 * i, 10 * i + 10))).withColumn("component_id", F.col("lane_id"))
+    children = text.split_long(df, 4)
+    n = 24 * 3
+    for algorithm in ("streaming", "block", "block_warmup"):
+        out = lanes.shuffle(children, 8, algorithm=algorithm, flush_every=2)
+        assert out.count() == n and out.select("lane_id", "ordinal").distinct().count() == n
+    assert lanes.ensure_mixture(children, {0: {0: 0.5, 1: 0.5}}, flush_every=2).count() == n
+    for algorithm in ("first_fit", "best_fit", "best_fit_wrap"):
+        parts = lanes.pack(children, 8, algorithm=algorithm, flush_every=2)
+        rows = lanes.filled(parts, children, 8, pad_token_id=-1).collect()
+        assert sorted(x for r in rows for x in r.input_ids if x >= 0) == list(range(240)) and all(r.total_length <= 8 for r in rows)
+        assert conserved(df, lanes.contributors(parts)).ok and lanes.exactly_once(df, lanes.contributors(parts)).where("closed <> 1").count() == 0
+    assert lanes.in_lane(children).select("lane_id", "ordinal").distinct().count() == n
+    assert lanes.dropped(children, lanes.pack(children, 3)).count() == 48
+
+
+def test_source_that_ends():
+    from millrace.operators import kernels as k
+
+    records = [k.Weighed(((c, 1.0),), chunk) for chunk, cs in enumerate([[0, 1, 1, 1], [1, 1]]) for c in cs]
+    targets = {0: {0: 0.5, 1: 0.5}, 1: {0: 0.5, 1: 0.5}}
+    # Without the stamp component 1 waits for records of 0 that never come, and is lost without a bound.
+    assert k.ensure_mixture(records, targets, None) == [0, 1]
+    assert k.ensure_mixture(records, targets, None, ended={0: frozenset([0])}) == [0, 1, 2, 3, 4, 5]
+    # The last component of a target stays in it.
+    assert k.ensure_mixture(records, targets, None, ended={0: frozenset([0]), 1: frozenset([1])}) == [0, 1, 2, 3, 4, 5]
+
+
+def test_order_audit_across_stretches(spark, monkeypatch):
+    monkeypatch.setattr(lanes, "_STRETCH", 4)
+    df = lanes.in_lane(lane_rows(spark, 40))
+    assert lanes.out_of_order(df).count() == 0
+    turned = df.withColumn("ordinal", 19 - F.col("ordinal"))
+    assert lanes.out_of_order(turned).count() == 2 * 19
