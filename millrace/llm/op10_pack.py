@@ -9,8 +9,12 @@ with multiplicities; pieces find their place by their rank among the pieces of
 equal length, counted in salted groups so that a very common length is spread.
 
 The search fills the sequence around the largest remaining length with each
-undominated completion, prunes branches whose waste already rules out fewer
-sequences than the incumbent, and starts from best-fit decreasing.
+undominated filling in turn, least waste first, made one at a time as they are
+tried; a filling is taken as often as it goes. Branches whose waste already
+rules out fewer sequences than the incumbent are pruned, and the first
+incumbent is best-fit decreasing. Only the number of search nodes is bounded
+(``nodes``: so many for each distinct length), then the incumbent stands;
+all pieces are packed either way.
 
 Defined results: null and empty texts are one piece (id 2 alone); repeated
 rows are packed each; an empty table gives no rows.
@@ -22,6 +26,7 @@ import base64
 import os
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +40,11 @@ from .common import documents, small_batches, stored
 CAPACITY = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Search nodes before the best filling so far is taken.
-NODES = 1500
+#: Search nodes for each distinct length before the incumbent stands.
+NODES = 8
 
 # White space beyond the six ASCII bytes, controls and joiners that may be taken for it.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+_ODD = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"
 
 
 class Encoder:
@@ -47,8 +52,9 @@ class Encoder:
 
     The vocabulary exists as ``tokenizers`` file and as ranks; both give the
     same ids (tested). The rank coder is several times faster, so it takes all
-    texts but those with characters on which the libraries' ideas of white
-    space may differ; these go to ``tokenizers``.
+    texts but those with added tokens of the vocabulary written out, and those
+    with characters on which the libraries' ideas of white space may differ;
+    these go to ``tokenizers``.
     """
 
     def __init__(self, vocabulary: str | None = None):
@@ -59,16 +65,17 @@ class Encoder:
 
         vocabulary = vocabulary or path(VOCABULARY)
         self.model = Tokenizer.from_file(vocabulary)
-        self.model.encode_special_tokens = True
         with open(vocabulary.removesuffix(".json") + ".tiktoken", "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        added = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([_ODD, *added]))
         self.coder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids without the closing one; null as empty."""
         if not text:
             return np.zeros(0, dtype=np.uint32)
-        if _ODD.search(text):
+        if self.odd.search(text):
             return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return self.coder.encode_to_numpy(text, disallowed_special=())
 
@@ -128,41 +135,70 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tup
     return [x for group in open_.values() for x in group]
 
 
-def completions(gap: int, counts: dict[int, int], most: int = 6, nodes: int = 400) -> list[tuple[int, ...]]:
+def _sums(lengths: list[int], counts: dict[int, int], most: int) -> list[int]:
+    """For each place in ``lengths`` the sums (as bits) that it and later ones make."""
+    out, mask = [1], (1 << most + 1) - 1
+    for n in reversed(lengths):
+        made, left, some = out[-1], min(counts[n], most // n), 1
+        while left:
+            some = min(some, left)
+            made |= made << n * some & mask
+            left, some = left - some, some * 2
+        out.append(made)
+    return out[::-1]
+
+
+def _exactly(total: int, lengths: list[int], counts: dict[int, int], sums: list[int]) -> Iterator[tuple[int, ...]]:
+    """All ways to make ``total`` of the lengths, longer ones first."""
+    if not sums[0] >> total & 1:
+        return
+    stack = [(0, total, ())]
+    while stack:
+        at, left, chosen = stack.pop()
+        if not left:
+            yield chosen
+            continue
+        # Longer lengths than what is left have no part in it.
+        at = max(at, bisect_left(lengths, -left, key=lambda n: -n))
+        n = lengths[at]
+        for k in range(min(counts[n], left // n) + 1):
+            if sums[at + 1] >> left - k * n & 1:
+                stack.append((at + 1, left - k * n, chosen + (n,) * k))
+
+
+def completions(gap: int, counts: dict[int, int]) -> Iterator[tuple[int, ...]]:
     """Undominated ways to fill ``gap``, least waste first: none in which a
     further available length fits, or a longer one could replace one of its own."""
     lengths = sorted((n for n, c in counts.items() if c and n <= gap), reverse=True)
-    if not lengths:
-        return [()]
-    least = lengths[-1]
-    found: dict[tuple[int, ...], int] = {}
-    budget = nodes
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, gap, ())]
-    while stack and budget and not (len(found) >= most and min(found.values()) == 0):
-        at, left, chosen = stack.pop()
-        budget -= 1
-        if left < least:
-            found[chosen] = left
+    sums = _sums(lengths, counts, gap)
+    for waste in range(gap + 1):
+        # What is no longer than the waste must all be inside, or it would fit.
+        inside = [n for n in lengths if n <= waste]
+        rest = gap - waste - sum(n * counts[n] for n in inside)
+        if rest < 0:
+            return
+        if not sums[0] >> gap - waste & 1:
             continue
-        later = []
-        for i in range(at, len(lengths)):
-            n = lengths[i]
-            if n <= left and counts[n] > chosen.count(n):
-                later.append((i, left - n, chosen + (n,)))
-                if len(later) == 8:
-                    break
-        if left in counts and counts[left] > chosen.count(left) and left <= lengths[at]:
-            later = [(len(lengths) - 1, 0, chosen + (left,)), *later]
-        if not later:
-            found[chosen] = left
-        stack.extend(reversed(later))
-
-    def undominated(filling: tuple[int, ...], waste: int) -> bool:
-        free = {n for n in lengths if counts[n] > filling.count(n)}
-        return not any(n <= waste for n in free) and not any(y < x <= y + waste for y in set(filling) for x in free)
-
-    ranked = sorted(found, key=lambda f: (found[f], len(f), tuple(-n for n in f)))
-    return [f for f in ranked if undominated(f, found[f])][:most] or ranked[:1] or [(max(lengths),)]
+        small = tuple(n for n in inside for _ in range(counts[n]))
+        others = lengths[: len(lengths) - len(inside)]
+        for chosen in _exactly(rest, others, counts, _sums(others, counts, rest) if inside else sums):
+            filling = chosen + small
+            if not waste or not any(counts[x] > filling.count(x) for y in set(filling) for x in lengths if y < x <= y + waste):
+                yield filling
+
+
+def least_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> int:
+    """A lower bound: for a size k, what is longer than half a sequence needs
+    one each, and what is from k to a half must go into the room that those
+    leave beside them, or into sequences of its own."""
+    n = np.array(sorted(counts), dtype=np.int64)
+    c = np.array([counts[int(x)] for x in n], dtype=np.int64)
+    least = 0
+    for k in range(capacity // 2 + 1):
+        long, half, short = n > capacity - k, (n <= capacity - k) & (2 * n > capacity), (2 * n <= capacity) & (n >= k)
+        room = int((c[half] * (capacity - n[half])).sum())
+        least = max(least, int(c[long].sum() + c[half].sum()) + max(0, -(-(int((n * c)[short].sum()) - room) // capacity)))
+    return least
 
 
 def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
@@ -170,32 +206,36 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODE
     counts = {n: c for n, c in counts.items() if c}
     best = best_fit(counts, capacity)
     fewest = sum(t for _, t in best)
-    need = -(-sum(n * c for n, c in counts.items()) // capacity)
+    total = sum(n * c for n, c in counts.items())
+    need = least_sequences(counts, capacity)
+    budget = nodes * len(counts)
     # One frame for each filling chosen: what was left before it, untried fillings, waste and sequences so far.
     trail: list[tuple[tuple[int, ...], int]] = []
-    frames: list[tuple[dict[int, int], list[tuple[int, ...]], int, int]] = []
+    frames: list[tuple[dict[int, int], Iterator[tuple[int, ...]], int, int]] = []
 
     def enter(left: dict[int, int], waste: int, used: int) -> None:
         top = max(left)
-        rest = dict(left)
-        rest[top] -= 1
-        frames.append((left, [(top, *f) for f in completions(capacity - top, rest)], waste, used))
+        frames.append((left, ((top, *f) for f in completions(capacity - top, left | {top: left[top] - 1})), waste, used))
 
     if counts:
         enter(counts, 0, 0)
-    while frames and fewest > need and nodes:
+    while frames and fewest > need and budget:
         left, options, waste, used = frames[-1]
-        if not options:
+        filling = next(options, None)
+        if filling is None:
             frames.pop()
             if trail:
                 trail.pop()
             continue
-        nodes -= 1
-        filling = options.pop(0)
+        budget -= 1
         times = min(left[n] // filling.count(n) for n in set(filling))
         spare = waste + times * (capacity - sum(filling))
-        # With this waste at least so many sequences are needed in all.
-        if -(-(sum(n * c for n, c in counts.items()) + spare) // capacity) >= fewest:
+        # With this waste at least so many sequences are needed in all; later fillings waste no less.
+        if -(-(total + spare) // capacity) >= fewest:
+            if times == 1:
+                frames.pop()
+                if trail:
+                    trail.pop()
             continue
         rest = {n: c - times * filling.count(n) for n, c in left.items()}
         rest = {n: c for n, c in rest.items() if c}

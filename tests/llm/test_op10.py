@@ -40,10 +40,10 @@ def test_beats_best_fit_where_it_fails():
 
 def test_ids_equal_whole_text_encoding():
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     rng = random.Random(1)
     alphabet = ["a", "B", "don't", " ", "  ", "\n", "\t", "é", " ", "　", "12", "...", "'s", "\r\n", "\x1c", "日本", "<|endoftext|>", "🙂", " "]
-    texts = ["", " ", "a", "a ", " a  b\n\n c "] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(300)]
+    assert model.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "", " ", "a", "a ", " a  b\n\n c "] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(300)]
     encoder = op.Encoder()
     got = [encoder.encode(t).tolist() for t in texts]
     assert got == [model.encode(t, add_special_tokens=False).ids for t in texts]
@@ -69,3 +69,21 @@ def test_pack_round_trip(spark):
         assert at <= 1024
     assert len(out) == sum(len(op.pieces_of(len(model.encode(t or "", add_special_tokens=False).ids) + 1)) for _, t, _ in rows)
     assert op.pack(spark, docs.where("false")).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 12), st.integers(1, 3), max_size=6), st.integers(1, 16))
+def test_completions_are_the_undominated_fillings(counts, gap):
+    from itertools import product
+
+    def dominated(filling):
+        waste = gap - sum(filling)
+        free = {n for n in counts if counts[n] > filling.count(n)}
+        return any(n <= waste for n in free) or any(y < x <= y + waste for y in filling for x in free)
+
+    names = sorted(counts, reverse=True)
+    every = [tuple(n for n, k in zip(names, ks, strict=True) for _ in range(k)) for ks in product(*(range(counts[n] + 1) for n in names))]
+    want = {f for f in every if sum(f) <= gap and not dominated(f)}
+    got = list(op.completions(gap, counts))
+    assert len(got) == len(set(got)) and {tuple(sorted(f, reverse=True)) for f in got} == want
+    assert [gap - sum(f) for f in got] == sorted(gap - sum(f) for f in got)
