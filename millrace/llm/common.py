@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -26,10 +26,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def scratch(spark: SparkSession) -> str:
     """A new folder under the shared folder that the session names.
 
-    Only where none is named (tests on one machine) a local folder is made.
+    Only where none is named and driver and executors are one process (tests)
+    a local folder is made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="millrace")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -64,9 +68,20 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """All columns of ``docs`` as one, ``row``, beside those of a stage's own:
+    no name that a table brings can clash with these."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in more.items()])
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
+
+
 def at_most(df: DataFrame, rows: int, total: int, *key: str) -> DataFrame:
     """All rows, or if there are more than ``rows`` about so many of them:
-    those whose key hashes below a bound. No order and no task-wise limit is
+    those whose key hashes below a bound; rows of one key come together, so keys
+    should be distinct. No order and no task-wise limit is
     needed, so what a driver then collects does not follow the partitions."""
     if total <= rows:
         return df

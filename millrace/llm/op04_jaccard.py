@@ -20,11 +20,13 @@ union; the query op4_jaccard takes ``SHINGLE`` and ``LEAST``.
    pairs across components that share such a one and have fitting sizes are
    verified on their texts. Components that links join are merged.
 
-Links are never collected. Pivots and hot signatures are dealt out in salted
-parts. Defined results: null, empty and wordless texts are linked with nothing
+Links are never collected. Pivots are dealt out with salted parts of their
+groups. The holders of a signature are dealt into blocks of ``BLOCK``, and each
+two blocks meet in a part of their own, so no task sees all holders of a hot
+one. Defined results: null, empty and wordless texts are linked with nothing
 and keep their own doc_id; a text of fewer words than a shingle is one shingle;
 repeated rows and repeated doc_ids are rows of their own; null doc_ids count as
-the largest and stay null unless a group has another id.
+larger than any other and stay null unless a group has another id.
 """
 
 from __future__ import annotations
@@ -35,10 +37,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, documents, small_batches, stored
+from .common import boxed, discard, documents, small_batches, stored, unboxed
 from .graph import components
 from .superkmers import LAST, keyed
 from .textvec import LOWER, mix, ranges, runs, slices, sums, words
@@ -50,6 +51,8 @@ _SKETCH_BITS, _PARTS = 20, 128
 _BINS, _BANDS = 16, 8
 #: Members of a group that one task compares with the pivot.
 SALT = 64
+#: Holders of a signature in a block.
+BLOCK = 4096
 _FILTER_BITS = 24
 #: Bits of a set's parity map.
 _PARITY = 512
@@ -93,14 +96,14 @@ def _bands(found: np.ndarray) -> np.ndarray:
     return mix(minima[0::2] * np.uint64(3) + minima[1::2] + np.arange(_BANDS, dtype=np.uint64))
 
 
-_SETS = "_doc long, _key long, n long, node long, bands array<long>, part int, counts binary"
+_SETS = "_doc long, _null boolean, _key long, n long, node long, bands array<long>, part int, counts binary"
 
 
 def _describe(width: int, least: int):
     """A row for each document, and each task's shingle counts in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_doc", "_key", "n", "node", "bands", "part", "counts"]
+        names = ["_doc", "_null", "_key", "n", "node", "bands", "part", "counts"]
         counts = np.zeros(1 << _SKETCH_BITS, np.int64)
         for batch in batches:
             size, node, bands = [], [], []
@@ -118,13 +121,13 @@ def _describe(width: int, least: int):
                         bands.append(None)
             k = len(size)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_doc"), batch.column("_key"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names
+                [batch.column("_doc"), batch.column("_null"), batch.column("_key"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names
             )
         packer = zstandard.ZstdCompressor(level=1)
         parts = [packer.compress(p.astype("<i8").tobytes()) if p.any() else None for p in np.split(counts, _PARTS)]
         have = [i for i, p in enumerate(parts) if p]
         none = pa.nulls(len(have), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(have), pa.list_(pa.int64())), pa.array(have, pa.int32()), pa.array([parts[i] for i in have], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none, pa.nulls(len(have), pa.bool_()), none, none, none, pa.nulls(len(have), pa.list_(pa.int64())), pa.array(have, pa.int32()), pa.array([parts[i] for i in have], pa.binary())], names=names)
 
     return run
 
@@ -251,7 +254,7 @@ def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: Data
     needed = members.unionByName(pivots).join(nodes.select("node", "_doc", "_key"), "node")
     # A node of very many groups is dealt out, so that no list of uses grows with them.
     per = stored(spark, needed.groupBy("_doc", "_key", "node", F.pmod(F.xxhash64("g", "salt"), F.lit(64)).alias("deal")).agg(F.collect_list(F.struct("g", "salt", "is_pivot")).alias("uses")).drop("deal"))
-    wanted = keyed(docs).mapInArrow(_picked(_filter(per.select(F.col("_key").alias("key")))), "_doc long, _key long, _text string")
+    wanted = keyed(docs).select("_doc", "_key", "_text").mapInArrow(_picked(_filter(per.select(F.col("_key").alias("key")))), "_doc long, _key long, _text string")
     texts = wanted.join(per, ["_doc", "_key"])
     shared = texts.select("node", "_text", F.explode("uses").alias("use")).select("use.g", "use.salt", "use.is_pivot", "node", "_text")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
@@ -259,13 +262,14 @@ def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: Data
     return stored(spark, dealt.mapInArrow(_compare(size, least), "a long, b long").distinct())
 
 
-def _pairs(key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, beside: np.ndarray, parity: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+def _pairs(part: np.ndarray, side: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, beside: np.ndarray, parity: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
     """Distinct pairs of different components with a key in common, unless
     sizes, what may be shared beside the key, or parity rule them out: where
-    two parity maps differ, the sets differ in a shingle at least."""
-    order = np.lexsort((n, key))
-    key, node, comp, n, beside, parity = key[order], node[order], comp[order], n[order], beside[order], parity[order]
-    group = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
+    two parity maps differ, the sets differ in a shingle at least. In a part of
+    two blocks only pairs between them count (side 0 and 1; a block alone: 2)."""
+    order = np.lexsort((n, part))
+    part, side, node, comp, n, beside, parity = part[order], side[order], node[order], comp[order], n[order], beside[order], parity[order]
+    group = np.cumsum(np.diff(part, prepend=part[:1]) != 0)
     reach = np.searchsorted((group << 32) + n, (group << 32) + 100 * n // least, side="right")
     size = reach - np.arange(len(n)) - 1
     total = np.cumsum(size)
@@ -277,7 +281,7 @@ def _pairs(key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, b
         at = to
         both = n[left] + n[right]
         most = 1 + np.minimum(beside[left], beside[right])
-        stay = np.flatnonzero((comp[left] != comp[right]) & (100 * most >= least * (both - most)))
+        stay = np.flatnonzero((comp[left] != comp[right]) & ((side[left] == 2) | (side[left] != side[right])) & (100 * most >= least * (both - most)))
         left, right, both = left[stay], right[stay], both[stay]
         a, b = np.minimum(node[left], node[right]), np.maximum(node[left], node[right])
         _, one = np.unique(mix(a.view(np.uint64) * np.uint64(3)) + b.view(np.uint64), return_index=True)
@@ -292,20 +296,20 @@ def _pairs(key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, b
 
 
 def _across(least: int):
-    """Pairs across components of each key; rows in order of key."""
+    """Pairs across components of each part; rows in order of part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         waiting = 0
         for batch in batches:
             maps = np.frombuffer(b"".join(batch.column("parity").to_pylist()), np.uint64).reshape(-1, _PARITY // 64)
-            held.append((*(batch.column(c).to_numpy() for c in ("key", "node", "comp", "n", "beside")), maps))
+            held.append((*(batch.column(c).to_numpy() for c in ("part", "side", "node", "comp", "n", "beside")), maps))
             waiting += batch.num_rows
             if waiting < 50_000:
                 continue
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             whole = int(np.argmax(columns[0] == columns[0][-1]))
-            if whole:  # the last key may go on
+            if whole:  # the last part may go on
                 yield from _pairs(*(c[:whole] for c in columns), least)
             held = [tuple(c[whole:] for c in columns)]
             waiting = 0
@@ -371,11 +375,16 @@ def _links_across(spark: SparkSession, docs: DataFrame, nodes: DataFrame, index:
     """All links between nodes of different components."""
     tagged = stored(spark, index.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "n", "parity", "keys", "beside"))
     discard(spark, index)
-    shared = tagged.select("comp", F.explode("keys").alias("key")).groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    shared = stored(spark, shared.select("key"))
+    shared = tagged.select("comp", F.explode("keys").alias("key")).groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("holders")).where("low < high")
+    shared = stored(spark, shared.select("key", F.ceil(F.col("holders") / BLOCK).cast("int").alias("blocks")))
     rows = tagged.mapInArrow(_spread(_filter(shared)), "key long, node long, comp long, n long, parity binary, beside long").join(shared, "key")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    found = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_across(least), "a long, b long").distinct()
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long")
+    dealt = met.select(part.alias("part"), side.alias("side"), "node", "comp", "n", "parity", "beside").repartition(n, "part").sortWithinPartitions("part")
+    found = dealt.mapInArrow(_across(least), "a long, b long").distinct()
     pairs = stored(spark, found)
     discard(spark, tagged)
     discard(spark, shared)
@@ -383,11 +392,12 @@ def _links_across(spark: SparkSession, docs: DataFrame, nodes: DataFrame, index:
 
 
 def grouped(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """(_doc, _key, n, component): component is the smallest _doc of the group."""
+    """(_doc, _null, _key, n, component, unknown): component is the smallest
+    doc_id of the group; where _null (unknown) holds, it is null."""
     small_batches(spark)
     sets = stored(spark, keyed(docs).mapInArrow(_describe(size, least), _SETS))
-    rows = sets.where("_doc is not null").select("_doc", "_key", "n", "node", "bands")
-    low = rows.where("n > 0").groupBy("node", "n").agg(F.min(F.struct("_doc", "_key", "bands")).alias("low"))
+    rows = sets.where("_doc is not null").select("_doc", "_null", "_key", "n", "node", "bands")
+    low = rows.where("n > 0").groupBy("node", "n").agg(F.min(F.struct("_doc", "_null", "_key", "bands")).alias("low"))
     nodes = stored(spark, low.select("node", "n", "low.*"))
     indexed = keyed(docs).mapInArrow(_index(frequency_classes(sets), size, least), "_doc long, _key long, central double, parity binary, keys array<long>, beside array<int>").where("size(keys) > 0")
     index = stored(spark, indexed.join(nodes.select("_doc", "_key", "node", "n"), ["_doc", "_key"]).dropDuplicates(["_doc", "_key"]).select("node", "n", "central", "parity", "keys", "beside"))
@@ -399,25 +409,30 @@ def grouped(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, least: in
     comps = components(spark, near)
     links = near.unionByName(_links_across(spark, docs, nodes, index, comps, size, least))
     final = components(spark, links)
-    heads = final.join(nodes, "node").groupBy("comp").agg(F.min("_doc").alias("component"))
-    named = final.join(stored(spark, heads), "comp").select("node", "component")
-    own = nodes.join(named, "node", "left").select("node", F.coalesce("component", "_doc").alias("component"))
-    return rows.select("_doc", "_key", "n", "node").join(stored(spark, own), "node", "left").select("_doc", "_key", "n", F.coalesce("component", "_doc").alias("component"))
+    heads = final.join(nodes, "node").groupBy("comp").agg(F.min(F.struct("_doc", "_null")).alias("head"))
+    named = final.join(stored(spark, heads), "comp").select("node", "head")
+    own = nodes.join(named, "node", "left").select("node", F.coalesce("head", F.struct("_doc", "_null")).alias("head"))
+    alone = F.coalesce("head", F.struct("_doc", "_null"))
+    out = rows.select("_doc", "_null", "_key", "n", "node").join(stored(spark, own), "node", "left")
+    return out.select("_doc", "_null", "_key", "n", alone["_doc"].alias("component"), alone["_null"].alias("unknown"))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return grouped(spark, documents(spark, sf_dir)).select(known("_doc").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
+    known = lambda c, null: F.when(~F.col(null), F.col(c))
+    return grouped(spark, documents(spark, sf_dir)).select(known("_doc", "_null").alias("doc_id"), F.col("n").alias("n_shingles"), known("component", "unknown").alias("component_id"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """Pipeline stage: of each group the row of the smallest doc_id stays;
-    documents without words all stay."""
-    rows = stored(spark, grouped(spark, docs, size, least))
-    first = rows.where("n > 0").groupBy("component").agg(F.min(F.struct("_doc", "_key")).alias("f")).select("f.*", F.lit(1).alias("_stays"))
-    names = docs.columns
-    key = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_key": F.xxhash64("text")})
-    empty = rows.where("n = 0").select("_doc", "_key", F.lit(0).alias("_stays")).distinct()
-    kept = key.join(stored(spark, first.unionByName(empty)), ["_doc", "_key"])
-    nth = F.row_number().over(W.partitionBy("_doc", "_key").orderBy(*[c for c in names if c not in ("text", "doc_id")], "_stays"))
-    return kept.withColumn("_nth", nth).where("_stays = 0 or _nth = 1").select(*names)
+    """Pipeline stage: of each group the row of the smallest doc_id stays, of
+    rows that agree in doc_id and text the one whose other columns come first
+    as JSON. Documents without words all stay. Other columns may have any name
+    and type."""
+    wordless = ~F.coalesce(F.col("_text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    others = [c for c in docs.columns if c not in ("text", "doc_id")]
+    rank = F.to_json(F.struct(*[F.col(f"`{c}`") for c in others])) if others else F.lit("")
+    box = boxed(docs, _doc=F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), _null=F.col("doc_id").isNull(), _key=F.xxhash64("text"), _text=F.col("text"), _rank=rank)
+    rows = grouped(spark, docs, size, least).where("n > 0")
+    first = stored(spark, rows.groupBy("component", "unknown").agg(F.min(F.struct("_doc", "_null", "_key")).alias("f")).select("f.*"))
+    # Repeated rows are one before they are shuffled.
+    once = box.where(~wordless).groupBy("_doc", "_null", "_key").agg(F.min_by("row", "_rank").alias("row"))
+    return unboxed(once.join(first, ["_doc", "_null", "_key"]).select("row").unionByName(box.where(wordless).select("row")))

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, sha256_hex, stored
+from .common import boxed, documents, sha256_hex, stored
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -219,18 +219,21 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted(spark: SparkSession, docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """Pipeline stage: every span of a text is replaced by ``mark``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    based = docs.withColumn("_base", _ordered(base_spans(text)))
-    runs = candidates(text, F.col("_base"))
-    rejected = limits(based.select(runs.alias("runs")))
-    spans = based.withColumn("_spans", F.array_sort(F.concat("_base", random_spans(runs, F.col("_base"), rejected))))
+    """Pipeline stage: every span of a text is replaced by ``mark``. Spans are
+    found once and stored beside the rows. Null and empty texts stay as they
+    are, repeated rows are scanned each; other columns may have any name and
+    type."""
+    names = [f"`{c}`" for c in docs.columns]
+    found = stored(spark, scanned(boxed(docs, text=F.col("text")), ["row"]))
+    text = F.col("row.text")
+    spans = found.withColumn("spans", F.array_sort(F.concat("base", random_spans(F.col("runs"), F.col("base"), limits(found)))))
 
     def step(acc, s):
         fresh = s["start"] >= acc["at"]
-        between = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        between = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    return spans.withColumn("text", F.when(F.size("_spans") > 0, whole).otherwise(F.col("text"))).select(*docs.columns)
+    whole = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    new = F.when(F.size("spans") > 0, whole).otherwise(text)
+    return spans.select(*[new.alias("text") if n == "`text`" else F.col(f"row.{n}") for n in names])

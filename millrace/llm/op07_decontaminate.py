@@ -5,12 +5,15 @@ window of eight words becomes a pattern. Documents are normalised the same
 way, scanned once, and each match is mapped back to words and to bytes of the
 original text.
 
-The automaton is broadcast, so its size is checked: patterns beyond
-``MAX_PATTERN_BYTES`` go to further automata, each scanning the documents in a
-pass of its own, and the passes are merged by document. Defined results: null
-and wordless texts have no hits; items without words never occur; an item_id
-given twice counts once; windows of an item without an id cover words but add
-no item; repeated document rows each get their own row.
+Every task builds the automaton from the patterns that come with it, so their
+size is bounded: patterns beyond ``MAX_PATTERN_BYTES`` go to further automata,
+each in a pass of its own over what the pass before stored, to which it adds
+its hits. One group of patterns is in the driver at a time (and the next).
+
+Defined results: null and wordless texts have no hits; items without words
+never occur; an item_id given twice counts once; windows of an item without an
+id cover words but add no item; repeated document rows each get their own row;
+other columns may have any name and type.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import documents, small_batches, stored
+from .common import boxed, documents, small_batches, stored, unboxed
 from .textvec import LOWER
 
 WINDOW = 8
@@ -100,58 +104,48 @@ def find(automaton: ahocorasick.Automaton, normal: bytes) -> tuple[list[tuple[in
     return [(a, b) for a, b in merged], sorted(items)
 
 
-_SPANS = "n_words long, spans array<struct<first:int,stop:int>>, items array<string>"
+_SPANS = ArrayType(StructType([StructField("first", IntegerType()), StructField("stop", IntegerType())]))
+_FOUND = [StructField("n_words", LongType()), StructField("spans", _SPANS), StructField("items", ArrayType(StringType()))]
 
 
 def _scan(group: dict[bytes, list[str]], keep: list[str]):
+    """Hits of one group's patterns, added to those that the rows have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(group)
         kind = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))
         for batch in batches:
             counts, spans, items = [], [], []
-            for text in batch.column("_text"):
+            for text in batch.column("text"):
                 normal = normalise(text.as_py())
                 hit, which = find(automaton, normal)
                 counts.append(normal.count(b" ") + 1 if normal else 0)
                 spans.append([{"first": a, "stop": b} for a, b in hit])
                 items.append(which)
+            if "spans" in batch.schema.names:
+                spans = [a + b for a, b in zip(batch.column("spans").to_pylist(), spans, strict=True)]
+                items = [a + b for a, b in zip(batch.column("items").to_pylist(), items, strict=True)]
             columns = [batch.column(c) for c in keep] + [pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_words", "spans", "items"])
 
     return run
 
 
-def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Each row of ``docs``: the columns in ``keep``, its number of words, the
+def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` has the columns row and text. Each row, its number of words, the
     word ranges that benchmark windows cover, and the items found."""
     small_batches(spark)
-    source = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
-    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + ", " + _SPANS
     rows = benchmark.select("item_id", "text").where("text is not null").toLocalIterator()
     groups = _groups(rows, MAX_PATTERN_BYTES)
     group, following = next(groups, {}), next(groups, None)
-    if following is None:
-        return source.mapInArrow(_scan(group, keep), schema)
-    # Equal kept columns and texts have equal results, so the passes are merged
-    # by row content. One group of patterns is in the driver at a time (and the next).
-    marked = source.withColumn("_key", F.sha2("_text", 256))
-    keyed = schema.removesuffix(_SPANS) + "_key string, " + _SPANS
-    parts, times = None, 0
-    while group is not None:
-        one = stored(spark, marked.mapInArrow(_scan(group, [*keep, "_key"]), keyed))
-        parts = one if parts is None else parts.unionByName(one)
-        group, following, times = following, next(groups, None), times + 1
-    return (
-        parts.groupBy(*keep, "_key")
-        .agg(
-            F.max("n_words").alias("n_words"),
-            F.flatten(F.collect_set("spans")).alias("spans"),
-            F.flatten(F.collect_set("items")).alias("items"),
-            (F.count(F.lit(1)) / times).cast("int").alias("_times"),
-        )
-        .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .drop("_key", "_times", "_i")
-    )
+    found = docs.select("row", "text")
+    while True:
+        keep = ["row"] if following is None else ["row", "text"]
+        found = found.mapInArrow(_scan(group, keep), StructType([*[docs.schema[c] for c in keep], *_FOUND]))
+        if following is None:
+            return found
+        found = stored(spark, found)
+        group, following = following, next(groups, None)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,26 +161,30 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_items.append(len(ids))
             digests.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests), pa.array([n >= MIN_ITEMS for n in n_items], pa.bool_())],
+            [batch.column("row"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests), pa.array([n >= MIN_ITEMS for n in n_items], pa.bool_())],
             names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
         )
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hits(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id"])
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("row"), "text")
+    found = hits(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pipeline stage: documents that hold two or more items go; from others
-    the passages that windows cover are cut out. Columns stay as they are."""
-    names = docs.columns
-    found = hits(spark, docs, benchmark, names)
+    the passages that windows cover are cut out. Columns stay as they are;
+    null and wordless texts stay, repeated rows are judged each."""
+    place = docs.columns.index("text")
+    found = hits(spark, boxed(docs, text=F.col("text")), benchmark)
     kept = found.where(F.size(F.array_distinct("items")) < MIN_ITEMS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            row = batch.column("row")
+            fields = row.flatten()
+            texts = fields[place].to_pylist()
             for i, spans in enumerate(batch.column("spans").to_pylist()):
                 if spans:
                     data = texts[i].encode("utf-8", "surrogatepass")
@@ -197,7 +195,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
                             out += data[at : max(at, places[a][0])]
                             at = places[b - 1][1]
                     texts[i] = (out + data[at:]).decode("utf-8", "surrogatepass")
-            columns = [pa.array(texts, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            fields[place] = pa.array(texts, fields[place].type)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(row.type))], names=["row"])
 
-    return kept.mapInArrow(cut, docs.schema)
+    return unboxed(kept.select("row", "spans").mapInArrow(cut, StructType([found.schema["row"]])))

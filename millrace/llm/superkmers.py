@@ -247,9 +247,9 @@ def _unpack(judge: Callable[[Bucket], Iterator[pa.RecordBatch]]):
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """_doc (null as the largest), _key (a hash of the text) and _text; rows
-    that agree in the first two have the same text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_doc"), F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
+    """_doc (null as the largest, which _null tells apart), _key (a hash of the
+    text) and _text; rows that agree in _doc and _key have the same text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_doc"), F.col("doc_id").isNull().alias("_null"), F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
 
 
 def spans(docs: DataFrame, cut: Callable, window: int, gram: int, judge: Callable[[Bucket], Iterator[pa.RecordBatch]]) -> DataFrame:

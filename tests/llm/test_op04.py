@@ -79,6 +79,25 @@ def test_against_brute_force(spark):
     assert set(kept) == want and len(kept) == len(want)
 
 
+def test_blocks_of_hot_signatures(spark, monkeypatch):
+    """With blocks of two holders the same links are found."""
+    rng = random.Random(12)
+    docs = list(enumerate(t for _ in range(6) for t in family(rng, rng.randrange(4, 12))))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(op, "BLOCK", 2)
+    monkeypatch.setattr(op, "_bands", lambda found: op.mix(found[:1].repeat(op._BANDS)))  # few pivots, so that signatures do the work
+    got = sorted(tuple(r) for r in op.grouped(spark, df).select("_doc", "n", "component").collect())
+    assert got == brute(docs)
+
+
+def test_null_is_larger_than_any_id(spark, tmp_path):
+    last = (1 << 63) - 1
+    rows = [(last, "a b c d e f"), (None, "a b c d e f"), (None, "x y z u v w"), (None, ""), (last, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op.op4_jaccard(spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(last, 3, last), (None, 3, last), (None, 3, None), (None, 0, None), (last, 0, last)]))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert op.grouped(spark, df).count() == 0 and op.one_of_each(spark, df).count() == 0

@@ -37,14 +37,14 @@ def test_against_brute_force(spark, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     for limit in (op.MAX_PATTERN_BYTES, 20):
         monkeypatch.setattr(op, "MAX_PATTERN_BYTES", limit)
-        rows = op.hits(spark, docs, items, ["doc_id"]).mapInArrow(op._digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean").collect()
+        rows = op.hits(spark, docs.selectExpr("doc_id AS row", "text"), items).mapInArrow(op._digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean").collect()
         assert {r[0]: tuple(r)[1:] for r in rows} == brute(DOCS, ITEMS)
 
 
 def test_stage_cuts_and_drops(spark):
     docs = spark.createDataFrame([(1, "Keep! One, two THREE. end", "a"), (2, "one two three one", "b"), (3, None, "c"), (4, "clean text", None)], "doc_id long, text string, items string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    rows = {r.doc_id: r for r in op.without_benchmark(spark, docs.withColumnRenamed("items", "source"), items).collect()}
+    rows = {r.doc_id: r for r in op.without_benchmark(spark, docs, items).collect()}
     assert rows[1].text == "Keep! . end" and 2 not in rows and rows[3].text is None and rows[4].text == "clean text"
 
 

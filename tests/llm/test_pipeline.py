@@ -40,3 +40,22 @@ def test_stages_take_odd_rows(spark, k):
     if k < 4:
         assert out.columns == docs.columns
     assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_any_other_columns(spark, k):
+    """Names that stages use themselves, a dotted one, and a map."""
+    names = ["items", "spans", "n_words", "_text", "_doc", "_key", "_base", "_spans", "_nth", "row", "stats", "runs", "base", "_null", "_rank", "a.b"]
+    docs = common.documents(spark, SF).limit(120)
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    wide = docs.selectExpr("*", *[f"concat('{n}', doc_id) AS `{n}`" for n in names], "map(lang, doc_id) AS m")
+    name, stage = pipeline.STAGES[k]
+    out = stage(spark, wide, SF)
+    plain = stage(spark, docs, SF)
+    if k < 4:
+        assert out.dtypes == wide.dtypes
+        rows = out.collect()
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names) and all(r.m == {r.lang: r.doc_id} for r in rows)
+        assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in plain.collect())
+    else:
+        assert sorted(r[:5] for r in map(tuple, out.collect())) == sorted(r[:5] for r in map(tuple, plain.collect()))
