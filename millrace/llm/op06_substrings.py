@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, small_batches, stored
-from .superkmers import Bucket, cut_words, intervals, merged, spans, with_spans
+from .common import documents, small_batches
+from .superkmers import Bucket, cut_words, marked_runs, merged, spans, with_spans
 from .textvec import BLANK, SLICE, ranges, slices, sums, words
 
 WINDOW = 50
@@ -47,25 +47,23 @@ def _window_hashes(bucket: Bucket, window: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _judge(window: int):
-    def run(bucket: Bucket) -> Iterator[pa.RecordBatch]:
+    def run(bucket: Bucket) -> tuple[np.ndarray, ...]:
         hashes, offset = _window_hashes(bucket, window)
-        lowest = np.full(len(bucket.start), np.iinfo(np.int64).max)
-        np.minimum.at(lowest, bucket.number, bucket.doc)
-        mine = np.repeat(lowest, np.diff(offset))
+        count = np.diff(offset)
         order = np.argsort(hashes, kind="stable")
         new = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]))
-        least = np.minimum.reduceat(mine[order], new)
+        least = np.minimum.reduceat(np.repeat(bucket.low, count)[order], new)
         owner = np.empty(len(hashes), np.int64)
         owner[order] = np.repeat(least, np.diff(np.append(new, len(order))))
-        yield from intervals(owner, offset, bucket, window, above=bucket.doc)
+        return marked_runs(owner < np.repeat(bucket.high, count), offset, owner)
 
     return run
 
 
 def repeated(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Word spans (_doc, _key, first, stop) that an earlier document holds."""
+    """Word spans (_doc, _key, spans) that an earlier document holds."""
     small_batches(spark)
-    return stored(spark, spans(docs, cut_words, window, gram, _judge(window)))
+    return spans(spark, docs, cut_words, window, gram, _judge(window))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

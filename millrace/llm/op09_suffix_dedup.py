@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, small_batches, stored
+from .common import documents, small_batches
 from .suffixes import suffix_order
-from .superkmers import Bucket, cut_bytes, intervals, merged, spans, with_spans
+from .superkmers import Bucket, cut_bytes, marked_runs, merged, spans, with_spans
 from .textvec import mix, slices
 
 LENGTH = 400
@@ -119,9 +119,9 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, stop: np.ndarray, anch
 
 
 def _judge(length: int, gram: int):
-    def run(bucket: Bucket) -> Iterator[pa.RecordBatch]:
+    def run(bucket: Bucket) -> tuple[np.ndarray, ...]:
         data = np.frombuffer(bucket.data, np.uint8)
-        weight = np.bincount(bucket.number, minlength=len(bucket.start))
+        weight = bucket.weight
         windows = bucket.stop - bucket.start - length + 1
         offset = np.concatenate(([0], np.cumsum(windows)))
         flags = np.repeat(weight >= 2, windows)
@@ -143,7 +143,7 @@ def _judge(length: int, gram: int):
                 batch, held = [], 0
         if batch:
             _mark(flags, offset, data, bucket, np.concatenate(batch), weight, length)
-        yield from intervals(flags, offset, bucket, length)
+        return marked_runs(flags, offset)
 
     return run
 
@@ -156,9 +156,9 @@ def _mark(flags: np.ndarray, offset: np.ndarray, data: np.ndarray, bucket: Bucke
 
 
 def repeated(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Byte spans (_doc, _key, first, stop) that occur again somewhere."""
+    """Byte spans (_doc, _key, spans) that occur again somewhere."""
     small_batches(spark)
-    return stored(spark, spans(docs, cut_bytes, length, gram, _judge(length, gram)))
+    return spans(spark, docs, cut_bytes, length, gram, _judge(length, gram))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

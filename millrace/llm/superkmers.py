@@ -8,27 +8,36 @@ part then goes to the bucket of a gram of its own, not to the passage's. The
 choice depends on the window's content and that table alone, so equal windows
 meet in one bucket. Consecutive windows with the same
 minimiser overlap and travel as one string; equal strings of one task travel
-once with all their places. What a task sends to a bucket is one compressed
-block, so a bucket is read back block by block.
+once, with how often and in which documents they stand. What a task sends to a
+bucket is one compressed block, so a bucket is read back block by block and
+holds distinct strings only.
+
+Where strings stand (their places) goes another way: dealt out evenly whatever
+the string, and joined with the verdicts on strings, one row each, at the end.
+So a passage that a third of all documents share is one string in its bucket,
+and its places meet in no single task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
+from .common import stored
 from .textvec import BLANK, mix, ranges, runs, slices, sums, words
 
 LAST = (1 << 63) - 1
-#: Text bytes that a task gathers before it sends, and packed bytes meant for one bucket.
-GATHER, BUCKET = 12 << 20, 20 << 20
+#: Text bytes that a task gathers before it sends; packed bytes meant for one
+#: bucket, and for one partition of buckets.
+GATHER, BUCKET, PARTITION = 12 << 20, 8 << 20, 256 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 #: One gram hash in so many is counted and preferred, for words and for bytes.
 SHARE_WORDS, SHARE_BYTES = 4, 16
@@ -123,59 +132,71 @@ def cut_bytes(data: np.ndarray, ends: np.ndarray, window: int, gram: int, hot: n
     return Cut(data, row, a - ends[row], a, b + window, best - a, grams[best], ranges(prefix, a, b + window))
 
 
-def _block(texts: list[bytes], anchors: np.ndarray, places: list[np.ndarray]) -> bytes:
-    """places: string number, document, text hash, first window."""
-    lengths = np.array([len(t) for t in texts], dtype="<u4")
-    number, doc, key, place = places
-    head = np.array([len(texts), len(number)], dtype="<i8")
-    parts = [head, lengths, anchors.astype("<u4"), number.astype("<u4"), doc.astype("<i8"), key.astype("<i8"), place.astype("<u4")]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([*(p.tobytes() for p in parts), *texts]))
+_STRINGS = (("anchor", "<u4"), ("hash", "<u8"), ("weight", "<i8"), ("low", "<i8"), ("high", "<i8"))
+_PLACES = (("bucket", "<i8"), ("hash", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("place", "<i8"))
+
+
+def _packed(parts: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _columns(raw: bytes, kinds: list[str], at: int, n: int) -> Iterator[np.ndarray]:
+    for kind in kinds:
+        column = np.frombuffer(raw, kind, n, at)
+        at += column.nbytes
+        yield column
 
 
 @dataclass
 class Bucket:
-    """All strings of a bucket (of distinct content) and all their places."""
+    """All strings of a bucket, each once: how often they stand in the corpus,
+    and the least and the largest document that holds them."""
 
     data: bytes
     start: np.ndarray
     stop: np.ndarray
     anchor: np.ndarray
-    number: np.ndarray
-    doc: np.ndarray
-    key: np.ndarray
-    place: np.ndarray
+    hash: np.ndarray
+    weight: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
 
 
-def read_blocks(blocks: list[bytes]) -> Bucket:
-    text, kept = [], 0
-    lengths, anchors, places = [], [], []
-    seen: dict[bytes, int] = {}
+def read_blocks(blocks: Iterator[bytes]) -> Bucket:
+    text, lengths, seen = [], [], {}
+    numbers, columns = [], []
     for block in blocks:
         raw = zstandard.ZstdDecompressor().decompress(block)
-        n, m = np.frombuffer(raw, "<i8", 2).tolist()
-        at = 16
-        columns = []
-        for kind, size in (("<u4", n), ("<u4", n), ("<u4", m), ("<i8", m), ("<i8", m), ("<u4", m)):
-            columns.append(np.frombuffer(raw, kind, size, at))
-            at += columns[-1].nbytes
-        ends = at + np.cumsum(columns[0], dtype=np.int64)
-        numbers = np.zeros(n, np.int64)
-        for i, (b, size, anchor) in enumerate(zip(ends.tolist(), columns[0].tolist(), columns[1].tolist(), strict=True)):
-            one = raw[b - size : b]
-            numbers[i] = number = seen.setdefault(one, kept)
-            if number == kept:
-                kept += 1
+        n = int(np.frombuffer(raw, "<i8", 1)[0])
+        size, *rest = _columns(raw, ["<u4"], 8, n), *_columns(raw, [k for _, k in _STRINGS], 8 + 4 * n, n)
+        sizes = next(size).tolist()
+        at = 8 + n * (4 + sum(int(k[2]) for _, k in _STRINGS))
+        number = np.zeros(n, np.int64)
+        for i, length in enumerate(sizes):
+            one = raw[at : at + length]
+            at += length
+            number[i] = seen.setdefault(one, len(lengths))
+            if number[i] == len(lengths):
                 text.append(one)
-                lengths.append(size)
-                anchors.append(anchor)
-        places.append([numbers[columns[2]], *(c.astype(np.int64) for c in columns[3:])])
-    number, doc, key, place = (np.concatenate(c) for c in zip(*places, strict=True))
+                lengths.append(length)
+        numbers.append(number)
+        columns.append(rest)
+    seen.clear()
+    number = np.concatenate(numbers)
+    anchor, hashes, weight, low, high = (np.concatenate(c) for c in zip(*columns, strict=True))
+    k = len(lengths)
+    one = np.zeros(k, np.int64)
+    one[number[::-1]] = np.arange(len(number))[::-1]
+    least, most = np.full(k, np.iinfo(np.int64).max), np.full(k, np.iinfo(np.int64).min)
+    np.minimum.at(least, number, low)
+    np.maximum.at(most, number, high)
     stop = np.cumsum(np.array(lengths, dtype=np.int64))
-    return Bucket(b"".join(text), stop - lengths, stop, np.array(anchors, dtype=np.int64), number, doc, key, place)
+    return Bucket(b"".join(text), stop - lengths, stop, anchor[one].astype(np.int64), hashes[one], np.bincount(number, weights=weight, minlength=k).astype(np.int64), least, most)
 
 
 def _send(cuts: list[tuple[Cut, np.ndarray, np.ndarray]], buckets: int) -> Iterator[tuple[int, bytes]]:
-    """cuts: each with document ids and text hashes of the slice's rows."""
+    """cuts: each with document ids and text hashes of the slice's rows. Strings
+    go to buckets, places to numbers from ``buckets`` on."""
     if not cuts:
         return
     source = np.repeat(np.arange(len(cuts)), [len(c.row) for c, _, _ in cuts])
@@ -186,18 +207,24 @@ def _send(cuts: list[tuple[Cut, np.ndarray, np.ndarray]], buckets: int) -> Itera
         return
     _, one, number = np.unique(hashes, return_index=True, return_inverse=True)
     goal = (mix(gram[one]) % np.uint64(buckets)).astype(np.int64)
+    # A row that stands twice has its places twice; one of them is enough.
+    fresh = np.unique(mix(hashes + mix(key.view(np.uint64) + mix(doc.view(np.uint64) + mix(place.view(np.uint64))))), return_index=True)[1]
+    columns = (goal[number[fresh]], hashes[fresh], doc[fresh], key[fresh], place[fresh])
+    yield buckets + int(mix(key[:1].view(np.uint64))[0] % np.uint64(buckets)), _packed([c.astype(k).tobytes() for c, (_, k) in zip(columns, _PLACES, strict=True)])
+    low, high = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
+    np.minimum.at(low, number, doc)
+    np.maximum.at(high, number, doc)
+    weight = np.bincount(number, minlength=len(one))
     by_goal = np.argsort(goal, kind="stable")
-    rank = np.empty(len(one), np.int64)
-    rank[by_goal] = np.arange(len(one))
     edges = np.flatnonzero(np.diff(goal[by_goal], prepend=-1, append=buckets))
-    occurrence = np.argsort(rank[number], kind="stable")
-    sorted_rank = rank[number][occurrence]
     raw = [c.data.tobytes() for c, _, _ in cuts]
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        strings = one[by_goal[lo:hi]]
-        mine = occurrence[np.searchsorted(sorted_rank, lo) : np.searchsorted(sorted_rank, hi)]
+        mine = by_goal[lo:hi]
+        strings = one[mine]
         texts = [raw[s][a:b] for s, a, b in zip(source[strings].tolist(), start[strings].tolist(), stop[strings].tolist(), strict=True)]
-        yield int(goal[by_goal[lo]]), _block(texts, anchor[strings], [rank[number[mine]] - lo, doc[mine], key[mine], place[mine]])
+        columns = (anchor[strings], hashes[strings], weight[mine], low[mine], high[mine])
+        head = [np.array([len(texts)], "<i8").tobytes(), np.array([len(t) for t in texts], "<u4").tobytes()]
+        yield int(goal[mine[0]]), _packed([*head, *(c.astype(k).tobytes() for c, (_, k) in zip(columns, _STRINGS, strict=True)), *texts])
 
 
 def _sample(grams_of: Callable, gram: int, share: int):
@@ -230,81 +257,90 @@ def _pack(cut: Callable, window: int, gram: int, buckets: int, packed: bytes):
     return run
 
 
-def _unpack(judge: Callable[[Bucket], Iterator[pa.RecordBatch]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blocks = None, []
+_RUNS = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64()), ("low", pa.int64())]))
+_JUDGED = "bucket long, hash long, _doc long, _key long, place long, runs array<struct<first:long,stop:long,low:long>>"
+
+
+def _verdicts(number: int, bucket: Bucket, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """found: string, first window, last window and, or None, the document from
+    which on the windows stay; in order of string. A row for each string."""
+    string, first, last, low = found
+    has, count = np.unique(string, return_counts=True)
+    lows = pa.nulls(len(first), pa.int64()) if low is None else pa.array(low)
+    runs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.StructArray.from_arrays([pa.array(first), pa.array(last), lows], names=["first", "stop", "low"]))
+    none = pa.nulls(len(has), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(has), number)), pa.array(bucket.hash[has].view(np.int64)), none, none, none, runs], names=["bucket", "hash", "_doc", "_key", "place", "runs"])
+
+
+def _unpack(judge: Callable[[Bucket], tuple[np.ndarray, ...]], buckets: int):
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
         for batch in batches:
             for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block"), strict=True):
-                if bucket != now and blocks:
-                    yield from judge(read_blocks(blocks))
-                    blocks = []
-                now = bucket
-                blocks.append(block.as_py())
-        if blocks:
-            yield from judge(read_blocks(blocks))
+                yield bucket, block.as_py()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, group in groupby(blocks(batches), key=lambda x: x[0]):
+            if number < buckets:
+                bucket = read_blocks(block for _, block in group)
+                found = judge(bucket)
+                if len(found[0]):
+                    yield _verdicts(number, bucket, found)
+                continue
+            for _, block in group:
+                raw = zstandard.ZstdDecompressor().decompress(block)
+                n = len(raw) // 40
+                columns = [pa.array(c.view("<i8")) for c in _columns(raw, [k for _, k in _PLACES], 0, n)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, _RUNS)], names=["bucket", "hash", "_doc", "_key", "place", "runs"])
 
     return run
 
 
+def marked_runs(marked: np.ndarray, offset: np.ndarray, value: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Runs of marked windows (of one value): string, first, last, value.
+    String i has the windows from offset[i] on."""
+    at = np.flatnonzero(marked)
+    if not len(at):
+        return at, at, at, value if value is None else value[at]
+    string = np.searchsorted(offset, at, side="right") - 1
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (np.diff(string) != 0)
+    if value is not None:
+        new[1:] |= np.diff(value[at]) != 0
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(at)) - 1
+    string = string[begin]
+    return string, at[begin] - offset[string], at[end] - offset[string], value if value is None else value[at[begin]]
+
+
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     """_doc (null as the largest, which _null tells apart), _key (a hash of the
     text) and _text; rows that agree in _doc and _key have the same text."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_doc"), F.col("doc_id").isNull().alias("_null"), F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
 
 
-def spans(docs: DataFrame, cut: Callable, window: int, gram: int, judge: Callable[[Bucket], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """Rows (_doc, _key, first, stop) of the windows that ``judge`` marks."""
-    source = keyed(docs)
+def spans(spark: SparkSession, docs: DataFrame, cut: Callable, window: int, gram: int, judge: Callable[[Bucket], tuple[np.ndarray, ...]]) -> DataFrame:
+    """(_doc, _key, spans): units covered by the windows that ``judge`` marks,
+    a row for each place. A window with a value stays in documents up to it."""
+    source = keyed(docs).select("_doc", "_key", "_text")
     size = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-3 * size // BUCKET))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-3 * size // PARTITION))
+    buckets = max(partitions, -(-3 * size // BUCKET))
     of_words = cut is cut_words
     counts = sketch.counted(source.select("_text"), _sample(word_grams if of_words else byte_grams, gram, SHARE_WORDS if of_words else SHARE_BYTES))
     hot = zstandard.ZstdCompressor().compress(np.packbits(sketch.frequent(counts)).tobytes())
     packed = source.mapInArrow(_pack(cut, window, gram, buckets, hot), "bucket long, block binary")
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_unpack(judge), "_doc long, _key long, first long, stop long")
-
-
-def intervals(flags: np.ndarray, offset: np.ndarray, bucket: Bucket, window: int, above: np.ndarray | None = None, chunk: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Marked window runs of every place of every string.
-
-    ``flags`` holds a value for each window of each string, string i from
-    offset[i] on. Without ``above`` a true value marks; with it the value marks
-    if it is less than the place's entry of ``above``.
-    """
-    count = np.diff(offset)
-    if above is None:
-        some = np.maximum.reduceat(flags, offset[:-1])[bucket.number]
-    else:
-        some = np.minimum.reduceat(flags, offset[:-1])[bucket.number] < above
-    order = np.flatnonzero(some)
-    order = order[np.argsort(bucket.number[order], kind="stable")]
-    sizes = np.cumsum(count[bucket.number[order]])
-    at = 0
-    while at < len(order):
-        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + chunk)))
-        mine = order[at:to]
-        at = to
-        n = count[bucket.number[mine]]
-        owner = np.repeat(np.arange(len(mine)), n)
-        local = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        value = flags[offset[bucket.number[mine]][owner] + local]
-        marked = np.flatnonzero(value if above is None else value < above[mine][owner])
-        if not len(marked):
-            continue
-        new = np.ones(len(marked), bool)
-        new[1:] = (np.diff(marked) != 1) | (np.diff(owner[marked]) != 0)
-        begin = np.flatnonzero(new)
-        a, b = marked[begin], marked[np.append(begin[1:], len(marked)) - 1]
-        place = bucket.place[mine][owner[a]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket.doc[mine][owner[a]]), pa.array(bucket.key[mine][owner[a]]), pa.array(place + local[a]), pa.array(place + local[b] + window)],
-            names=["_doc", "_key", "first", "stop"],
-        )
+    judged = stored(spark, packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_unpack(judge, buckets), _JUDGED))
+    places = judged.where("place is not null").select("bucket", "hash", "_doc", "_key", "place")
+    verdicts = judged.where("runs is not null").select("bucket", "hash", "runs")
+    gone = F.filter("runs", lambda r: r["low"].isNull() | (r["low"] < F.col("_doc")))
+    found = F.transform(gone, lambda r: F.struct((F.col("place") + r["first"]).alias("first"), (F.col("place") + r["stop"] + window).alias("stop")))
+    return places.join(verdicts, ["bucket", "hash"]).select("_doc", "_key", found.alias("spans")).where("size(spans) > 0")
 
 
 def with_spans(docs: DataFrame, found: DataFrame, keep: list[str]) -> DataFrame:
-    """Each row of ``docs`` with its text and the marked spans in order."""
-    per = found.groupBy("_doc", "_key").agg(F.collect_list(F.struct("first", "stop")).alias("_spans"))
+    """Each row of ``docs`` with its text and the marked spans. Rows that agree
+    in doc_id and text have equal spans, which are gathered once."""
+    per = found.groupBy("_doc", "_key").agg(F.flatten(F.collect_set("spans")).alias("_spans"))
     source = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_doc"), F.xxhash64("text").alias("_key"), F.col("text").alias("_text"))
     return source.join(per, ["_doc", "_key"], "left").select(*[F.col(f"k_{c}").alias(c) for c in keep], "_text", "_spans")
 
