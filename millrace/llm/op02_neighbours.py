@@ -1,28 +1,38 @@
 """Approximate nearest neighbours with an inverted multi-index.
 
 Vectors are split into two halves, each quantised to K centroids; a cell is a
-pair of centroids. For each query a heap walks the pairs by growing summed
-distance until the cells seen hold ``SHARE`` of all rows (and at least
-``LEAST``); where the walk stops is one number, so the rows of the cells seen
-are found in one pass over the table in query blocks and reranked by exact
-distance on the original vectors. Each task keeps the ten best of a query, so
-what is shuffled follows queries and tasks, and equal vectors or a full cell
-meet in no single task.
-
-The centroids are fitted on at most ``SAMPLE`` rows (low hashes of vec_id);
-all rows are indexed. K follows the number of rows up to ``MOST``, so the
-table of cell sizes has a fixed bound.
+pair of centroids, and the index holds every row in the list of its first
+centroid, in order of the second. For each query a heap walks the pairs by
+growing summed distance until the cells seen hold a share of all rows. The
+cells seen are those up to one summed distance, so a query goes to the lists
+that have some of them, and there meets the rows of just these cells, which are
+reranked by exact distance on the original vectors. All queries are searched in
+one pass.
+
+The centroids are fitted on at most ``SAMPLE`` rows (low hashes of vec_id), and
+so is the share: of ``PROBES`` rows of the sample the nearest within it are
+found by brute force, and the share is what a walk must see to meet ``FOUND`` of
+them. It is small where vectors lie in clusters and large where they are spread
+like noise. All rows are indexed. K follows the number of rows up to ``MOST``,
+so the table of cell sizes has a fixed bound.
+
+Lists are dealt into blocks of ``ROWS`` rows and ``QUERIES`` queries, so a full
+cell meets in no single task. Of equal vectors only the ``TOP`` + 1 smallest ids
+can be among the nearest of any query, so the others are left out of the lists;
+they are still queries.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part, as rows without vec_id; of
 repeated vec_ids the row with the smallest vector counts; ties go to the
-smaller vec_id; an empty table gives no rows.
+smaller vec_id; an empty table gives no rows; a query for which the cells seen
+hold too few rows goes on to all of them.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +43,11 @@ from pyspark.sql import functions as F
 from .common import at_most, small_batches, stored
 
 SAMPLE, ROUNDS, LEAST_K, MOST = 20_000, 8, 8, 256
-SHARE, LEAST, TOP, EVERY = 0.5, 1000, 10, 100
-#: Queries of one pass, rows of one matrix.
-QUERIES, ROWS = 1024, 2048
+PROBES, FOUND, TOP, EVERY = 256, 0.97, 10, 100
+#: Rows and queries of a block of a list.
+ROWS, QUERIES = 1 << 16, 1 << 14
+#: Candidates that a task holds before it keeps the nearest of them.
+HELD = 1 << 18
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -99,78 +111,147 @@ def walk(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, enough: int) -> fl
     return float("inf")
 
 
-def _count(first: np.ndarray, second: np.ndarray, width: int):
+def fitted_share(x: np.ndarray, first: np.ndarray, second: np.ndarray, top: int, probes: int = PROBES, found: float = FOUND) -> float:
+    """Share of the sample that walks must see to meet ``found`` of the nearest."""
+    half = first.shape[1]
+    a, b = cells(x, first, second)
+    sizes = np.bincount(a * len(second) + b, minlength=len(first) * len(second))
+    needs = []
+    for i in np.random.default_rng(2).permutation(len(x))[:probes]:
+        apart = ((x - x[i]) ** 2).sum(axis=1)
+        apart[i] = np.inf
+        near = np.argsort(apart, kind="stable")[: min(top, len(x) - 1)]
+        total = (squared(x[i : i + 1, :half], first)[0][:, None] + squared(x[i : i + 1, half:], second)[0][None]).ravel()
+        order = np.argsort(total, kind="stable")
+        seen = np.empty(len(total))
+        seen[order] = np.cumsum(sizes[order])
+        needs.append(seen[a[near] * len(second) + b[near]])
+    return float(np.quantile(np.concatenate(needs), found)) / len(x) if needs else 1.0
+
+
+def _indexed(first: np.ndarray, second: np.ndarray, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = np.zeros(len(first) * len(second), np.int64)
         for batch in batches:
             a, b = cells(matrix(batch.column("embedding"), width), first, second)
-            sizes += np.bincount(a * len(second) + b, minlength=len(sizes))
-        some = np.flatnonzero(sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sizes[some])], names=["cell", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["vec_id", "embedding", "a", "b"])
 
     return run
 
 
-def _reach(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, enough: int, width: int):
+def _visits(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, enough: int, blocks: np.ndarray, width: int):
+    """A row for each query and block of a list that has some of its cells."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = first.shape[1]
         for batch in batches:
             x = matrix(batch.column("embedding"), width)
-            half = first.shape[1]
             one, two = squared(x[:, :half], first), squared(x[:, half:], second)
-            limit = [walk(a, b, sizes, enough) for a, b in zip(one, two, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(limit, pa.float64())], names=["vec_id", "embedding", "reach"])
+            reach = np.array([walk(p, q, sizes, enough) for p, q in zip(one, two, strict=True)])
+            query, a = np.nonzero((one + two.min(axis=1)[:, None] <= reach[:, None]) & (blocks > 0)[None])
+            times = blocks[a]
+            query, a = np.repeat(query, times), np.repeat(a, times)
+            block = np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times)
+            take = pa.array(query)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vec_id").take(take), batch.column("embedding").take(take), pa.array(a.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(reach[query])],
+                names=["vec_id", "embedding", "a", "block", "reach"],
+            )
 
     return run
 
 
-def _best(ids: np.ndarray, queries: np.ndarray, reach: np.ndarray, first: np.ndarray, second: np.ndarray, top: int):
-    width, half = queries.shape[1], first.shape[1]
-
-    def some(vec: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        a, b = cells(x, first, second)
-        one, two = squared(queries[:, :half], first), squared(queries[:, half:], second)
-        out = one[:, a] + two[:, b] > (reach * (1 + 1e-12))[:, None]
-        near = (queries**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * queries @ x.T
-        near[out | (ids[:, None] == vec[None])] = np.inf
-        k = min(top, near.shape[1]) - 1
-        # Rounding may swap near-equal ones here, so a little more than the top is measured exactly.
-        bound = np.partition(near, k, axis=1)[:, k]
-        bound = np.where(np.isfinite(bound), bound + 1e-9 * (1 + np.abs(bound)), np.finfo(float).max)
-        q, r = np.nonzero(near <= bound[:, None])
-        score = np.sqrt(((queries[q] - x[r]) ** 2).sum(axis=1))
-        order = np.lexsort((vec[r], score, q))
-        q, r, score = q[order], r[order], score[order]
-        rank = np.arange(len(q)) - np.repeat(np.searchsorted(q, np.unique(q)), np.unique(q, return_counts=True)[1])
-        yield ids[q][rank < top], vec[r][rank < top], score[rank < top]
+class _Search:
+    """The queries of one block of a list, and the nearest rows so far."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, reach: np.ndarray, a: int, first: np.ndarray, second: np.ndarray, top: int):
+        half = first.shape[1]
+        self.ids, self.queries, self.top = ids, queries, top
+        self.left = reach - ((queries[:, :half] - first[a]) ** 2).sum(axis=1)
+        self.to_second = squared(queries[:, half:], second)
+        # Distances to be compared are measured from the middle of the list: less is lost.
+        self.middle = queries.mean(axis=0)
+        self.moved = queries - self.middle
+        self.norm = (self.moved**2).sum(axis=1)
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+        self.seen = 0
+
+    def add(self, b: int, vec: np.ndarray, x: np.ndarray) -> None:
+        """Rows of one cell, for the queries that see it."""
+        mine = np.flatnonzero(self.to_second[:, b] <= self.left * (1 + 1e-12) + 1e-300)
+        if not len(mine):
+            return
+        moved = x - self.middle
+        norm = (moved**2).sum(axis=1)
+        for at in range(0, len(mine), 2048):
+            q = mine[at : at + 2048]
+            near = self.norm[q][:, None] + norm[None] - 2 * self.moved[q] @ moved.T
+            near[self.ids[q][:, None] == vec[None]] = np.inf
+            # What rounding may have added or taken away.
+            slip = 1e-13 * (self.norm[q] + norm.max())
+            if len(vec) > self.top:
+                bound = np.partition(near, self.top - 1, axis=1)[:, self.top - 1] + 2 * slip
+                i, j = np.nonzero((near <= bound[:, None]) & np.isfinite(near))
+            else:
+                i, j = np.nonzero(np.isfinite(near))
+            self.found.append((q[i], vec[j], np.sqrt(((self.queries[q[i]] - x[j]) ** 2).sum(axis=1))))
+            self.held += len(i)
+            self.seen += len(q) * len(vec)
+        if self.held >= HELD:
+            self.found = [self.best()]
+            self.held = len(self.found[0][0])
+
+    def best(self) -> tuple[np.ndarray, ...]:
+        if not self.found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        q, vec, score = (np.concatenate(c) for c in zip(*self.found, strict=True))
+        order = np.lexsort((vec, score, q))
+        q, vec, score = q[order], vec[order], score[order]
+        begin = np.flatnonzero(np.diff(q, prepend=-1))
+        rank = np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q))))
+        return q[rank < self.top], vec[rank < self.top], score[rank < self.top]
+
+
+def _rerank(first: np.ndarray, second: np.ndarray, top: int, width: int):
+    """Rows in order of part; in each the queries, then the list's rows by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def blocks():
-            held, n = [], 0
+        def pieces():
             for batch in batches:
-                if batch.num_rows:
-                    held.append((batch.column("vec_id").to_numpy(), matrix(batch.column("embedding"), width)))
-                    n += batch.num_rows
-                if n >= ROWS:
-                    yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
-                    held, n = [], 0
-            if held:
-                yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
-
-        for vec, x in blocks():
-            for found in some(vec, x):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
+                part, b = batch.column("part").to_numpy(), batch.column("b").to_numpy()
+                edge = np.flatnonzero((np.diff(part, prepend=part[:1] - 1) != 0) | (np.diff(b, prepend=b[:1] - 1) != 0))
+                x = matrix(batch.column("embedding"), width)
+                for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(part)], strict=True):
+                    yield int(part[lo]), int(b[lo]), int(batch.column("a")[lo].as_py()), batch.column("vec_id").to_numpy()[lo:hi], x[lo:hi], batch.column("reach").to_numpy(zero_copy_only=False)[lo:hi]
+
+        for _, group in groupby(pieces(), key=lambda p: p[0]):
+            search, waiting = None, []
+            for _, b, a, vec, x, reach in group:
+                if b < 0:
+                    waiting.append((vec, x, reach))
+                    continue
+                if search is None:
+                    if not waiting:
+                        break
+                    search = _Search(*(np.concatenate(c) for c in zip(*waiting, strict=True)), a, first, second, top)
+                search.add(b, vec, x)
+            for _ in group:
+                pass
+            if search is not None:
+                q, vec, score = search.best()
+                yield pa.RecordBatch.from_arrays([pa.array(search.ids[q]), pa.array(vec), pa.array(score), pa.array(np.where(np.arange(len(q)) == 0, search.seen, 0))], names=["query_id", "vec_id", "score", "seen"])
 
     return run
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, every: int = EVERY, top: int = TOP, share: float = SHARE) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows whose id ``every`` divides."""
+def candidates(spark: SparkSession, vectors: DataFrame, every: int = EVERY, top: int = TOP, share: float | None = None) -> DataFrame | None:
+    """(query_id, vec_id, score, seen): the nearest of each block of a list;
+    ``seen`` sums to the rows that queries met. None if no vector takes part."""
     small_batches(spark)
-    schema = "query_id long, rank int, vec_id long, score double"
     rows = stored(spark, usable(vectors))
     widths = rows.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
     if not widths:
-        return spark.createDataFrame([], schema)
+        return None
     width, n = widths[0]["w"], widths[0]["count"]
     rows = rows.where(F.size("embedding") == width)
     k = int(np.clip(2 ** np.ceil(np.log2(np.sqrt(n / 4))), LEAST_K, MOST))
@@ -178,30 +259,35 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = EVERY, top: in
     x = np.array(sample.sort_values("vec_id")["embedding"].tolist(), dtype=float)
     half = width // 2
     first, second = k_means(x[:, :half], k), k_means(x[:, half:], k)
-    sizes = np.zeros(k * k, np.int64)
-    for row in rows.mapInArrow(_count(first, second, width), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most MOST squared
-        sizes[row["cell"]] = row["n"]
-    enough = max(LEAST, int(np.ceil(share * n)))
-    queries = stored(spark, rows.where(F.col("vec_id") % every == 0).mapInArrow(_reach(first, second, sizes.reshape(k, k), enough, width), "vec_id long, embedding array<double>, reach double"))
-    parts = None
-    block: list = []
-
-    def one_pass() -> DataFrame:
-        ids = np.array([r["vec_id"] for r in block], dtype=np.int64)
-        q = np.array([r["embedding"] for r in block], dtype=float)
-        found = rows.mapInArrow(_best(ids, q, np.array([r["reach"] for r in block]), first, second, top), "query_id long, vec_id long, score double")
-        order = W.partitionBy("query_id").orderBy("score", "vec_id")
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-    for row in queries.toLocalIterator():
-        block.append(row)
-        if len(block) == QUERIES:
-            done = stored(spark, one_pass())
-            parts, block = done if parts is None else parts.unionByName(done), []
-    if block:
-        done = one_pass()
-        parts = done if parts is None else parts.unionByName(done)
-    return parts if parts is not None else spark.createDataFrame([], schema)
+    share = fitted_share(x, first, second, top) if share is None else share
+    lone = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
+    listed = rows.withColumn("nth", lone).where(F.col("nth") <= top + 1).select("vec_id", "embedding")
+    index = stored(spark, listed.mapInArrow(_indexed(first, second, width), "vec_id long, embedding array<double>, a int, b int"))
+    sizes = np.zeros((k, k), np.int64)
+    for row in index.groupBy("a", "b").count().collect():  # at most MOST squared
+        sizes[row["a"], row["b"]] = row["count"]
+    blocks = -(-sizes.sum(axis=1) // ROWS)
+    enough = min(int(sizes.sum()), max(top + 1, int(np.ceil(share * sizes.sum()))))
+    asked = rows.where(F.col("vec_id") % every == 0)
+    deals = max(1, -(-asked.count() // QUERIES))
+    visits = asked.mapInArrow(_visits(first, second, sizes, enough, blocks, width), "vec_id long, embedding array<double>, a int, block int, reach double")
+    of_list = F.element_at(F.array(*[F.lit(int(max(1, c))) for c in blocks]), F.col("a") + 1)
+    part = F.xxhash64("a", "block", "deal")
+    queries = visits.withColumn("deal", F.pmod(F.xxhash64("vec_id"), F.lit(deals)).cast("int")).select(part.alias("part"), F.lit(-1).alias("b"), "a", "vec_id", "embedding", "reach")
+    dealt = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), of_list).cast("int")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    lists = dealt.select(part.alias("part"), "b", "a", "vec_id", "embedding", F.lit(0.0).alias("reach"))
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    both = queries.unionByName(lists).repartition(n_parts, "part").sortWithinPartitions("part", "b")
+    return both.mapInArrow(_rerank(first, second, top, width), "query_id long, vec_id long, score double, seen long")
+
+
+def nearest(spark: SparkSession, vectors: DataFrame, every: int = EVERY, top: int = TOP, share: float | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) for the rows whose id ``every`` divides."""
+    found = candidates(spark, vectors, every, top, share)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    order = W.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

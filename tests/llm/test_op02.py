@@ -53,3 +53,36 @@ def test_edges(spark):
     got = results(op.nearest(spark, df))
     assert [v for v, _ in got[0]] == [3, 7, 600, 5] and got.keys() == {0, 600}
     assert op.nearest(spark, df.where("false")).count() == 0
+
+
+def test_clusters_need_few_rows(spark):
+    """Recall of 0.9 at under a tenth of the rows where vectors lie in clusters."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(150, 16))
+    x = centres[rng.integers(0, 150, 6000)] + 0.05 * rng.normal(size=(6000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = exact(np.arange(6000), x, 100, 10)
+    got = results(op.nearest(spark, df))
+    assert got.keys() == want.keys()
+    assert sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) >= 0.9 * 600
+    seen = op.candidates(spark, df).groupBy().sum("seen").first()[0]
+    assert seen < 0.1 * len(want) * 6000
+
+
+def test_large_offset_is_exact(spark, monkeypatch):
+    """Vectors far from the origin, all cells seen; then in small blocks."""
+    x = np.random.default_rng(6).normal(size=(600, 8)) + 1e7
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = exact(np.arange(600), x, 100, 10)
+    assert results(op.nearest(spark, df, share=1.0)) == want
+    monkeypatch.setattr(op, "ROWS", 7)
+    monkeypatch.setattr(op, "QUERIES", 2)
+    monkeypatch.setattr(op, "HELD", 50)
+    assert results(op.nearest(spark, df, share=1.0)) == want
+
+
+def test_many_equal_vectors(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(400)] + [(1000 + i, [1.0, 2.0 + i]) for i in range(1, 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = results(op.nearest(spark, df))
+    assert [v for v, _ in got[0]] == list(range(1, 11)) and [v for v, _ in got[300]] == list(range(10)) and all(s == 0 for _, s in got[100])
