@@ -6,36 +6,61 @@ from millrace.llm import op08_html as op
 
 
 def wrap(pages):
-    def streams():
-        for page in pages:
-            a = op.Alphabet()
-            yield a.write(op.fold("".join(map(a.code, op.stream(page))), a))
-
-    return op.wrapper_of(streams())
+    out = op.Wrapper.of(pages[0])
+    for page in pages[1:]:
+        out.align(op.Wrapper.of(page))
+    return out
 
 
 def test_wrapper_generalises():
     pages = [
         "<ul><li>a</li><li>b</li></ul><p>x</p>",
-        "<ul><li>a</li></ul><b>new</b><p>x</p><p>y</p>",
+        "<ul><li>a</li></ul><h2>new</h2><p>x</p><p>y</p>",
     ]
-    wrapper, alphabet = wrap(pages)
-    assert op.as_regex(wrapper, alphabet) == "<ul> ( <li> # </li> )+ </ul> ( <b> )? ( # )? ( </b> )? ( <p> # </p> )+"
+    want = "<ul> ( <li> # </li> )+ </ul> ( <h2> # </h2> )? ( <p> # </p> )+"
+    assert wrap(pages).regex() == want
+    assert op.Wrapper.loads(wrap(pages).dumps()).regex() == want
+    turns = "<dl><dt>a</dt><dd>b</dd><dt>c</dt><dd>d</dd></dl>"
+    assert wrap([turns]).regex() == "<dl> ( ( <dt> # </dt> )? ( <dd> # </dd> )? )+ </dl>"
+    assert "<div *> # </div>" in op.Rules(wrap([f"<div class=c{w}>{w}</div>" for w in ("sun", "moon", "star")])).wrapper.regex()
 
 
 def test_main_without_semantic_tags():
     page = "<body><div class=menu><a>one</a><a>two</a></div><div class=left><p>%s</p></div><div class=x><h2>t</h2><p>a</p><p>b</p><p>c</p></div></body>"
-    wrapper, alphabet = wrap([page % "q", page % "r"])
-    main = op.main_element(wrapper, alphabet)
-    assert main == "<div class=x>" and op.extract(page % "q", main) == "t\na\nb\nc"
+    wrapper = wrap([page % "q", page % "r"])
+    assert op.extract(page % "q", wrapper.dumps()) == "t\na\nb\nc"
+
+
+def _host(layout, texts):
+    return {i: layout.format(menu="".join(f"<a href=/{i}{k}>item {i} {k}</a> " for k in range(5)), title=f"Title {i}", one=f"First words of text {i} {t}", two=f"More words {t} {i}", notice="We keep small files on your device to count visits; go on if you agree with that.") for i, t in texts.items()}
+
+
+def test_the_wrapper_extracts(spark):
+    """No semantic tags, class names that say nothing and mean other things on
+    other hosts: what is main follows from the hosts' own pages, so no constant
+    wrapper and none of another host serves."""
+    texts = {i: " ".join(f"w{i * k % 97}" for k in range(12)) for i in range(1, 7)}
+    layouts = {
+        "a": "<body><div class=k1><ul><li>{menu}</li></ul></div><div class=k2><h2>{title}</h2><p>{one}</p><p>{two}</p><div class=k4>{notice}</div></div><div class=k3>{notice}</div></body>",
+        "b": "<body><div class=k2>{notice}</div><div class=k3><div class=k1>{notice}</div><h2>{title}</h2><p>{one}</p><p>{two}</p></div><div class=k4><ul><li>{menu}</li></ul></div></body>",
+    }
+    pages = {h: _host(layout, texts) for h, layout in layouts.items()}
+    rows = [(1000 * (h == "b") + i, f"http://{h}.example/{i}", p) for h, some in pages.items() for i, p in some.items()]
+    want = {1000 * n + i: f"Title {i}\nFirst words of text {i} {t}\nMore words {t} {i}" for n in (0, 1) for i, t in texts.items()}
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        assert {r.page_id: r.text for r in op.main_texts(spark, df).collect()} == want
+    own, other = (wrap(list(pages[h].values())).dumps() for h in "ab")
+    for i, page in pages["a"].items():
+        assert op.extract(page, own) == want[i] and op.extract(page, other) != want[i] and op.extract(page) != want[i]
 
 
 def test_extract():
     page = """<html><head><title>T &amp; x</title><script>var t="</p><article>";</script></head><body><header>H</header><nav><ul><li><a>m</a></li></ul></nav>
     <div class="ad">buy</div><article><h1>A &amp; B</h1><p><b>bold  text<br><p>one <i>two</i>three &eacute;&nbsp;</p><div class="cookie-notice">c</div><!-- <p>no</p> --><ul><li>x<li>y</ul>
     <form><p>f</p></form><section class="comments"><p>reader</p></section><p>a &lt; b</p></article><footer>f</footer></body></html>"""
-    assert op.extract(page, "<article>") == "A & B\nbold text\none twothree é\nx\ny\na < b"
-    assert op.extract(None, "<article>") == "" and op.extract("", "") == "" and op.extract("plain <b>text", "<article>") == "plain text"
+    assert op.extract(page) == "A & B\nbold text\none twothree é\nx\ny\na < b"
+    assert op.extract(None) == "" and op.extract("") == "" and op.extract("plain <b>text") == "plain text"
 
 
 def test_all_pages(spark):
@@ -74,9 +99,21 @@ def test_labels_that_vary(spark):
 
 
 def test_slots_and_fallback():
-    page = "<body><div class=side id=left><p>menu</p></div><div class=entry-box id=%s><p>x</p></div></body>"
-    wrapper, alphabet = wrap([page % "sun", page % "moon"])
-    main = op.main_element(wrapper, alphabet)
-    assert main == "<div class=entry-box id=*>" and op.extract(page % "star", main) == "x"
-    assert op.common_label("<div class=a id=x>", "<div class=b id=y>") == "" and op.common_label("<article class=comment>", "<article class=post>") == ""
-    assert op.extract("<header>site</header><article class=q><header><h1>T</h1></header><p>x</p></article>", "<article class=z>") == "T\nx"
+    page = "<body><div id=left><p>what the site is about, the same on each page</p></div><div id=%s><p>text of %s</p></div></body>"
+    wrapper = wrap([page % (w, w) for w in ("sun", "moon", "star")]).dumps()
+    assert op.extract(page % ("tree", "tree"), wrapper) == "text of tree"
+    assert op.extract("<header>site</header><article class=q><header><h1>T</h1></header><p>x</p></article>") == "T\nx"
+    # A page without the main elements of its host gives what is no boilerplate.
+    assert op.extract("<body><p>lone</p><footer>f</footer></body>", wrapper) == "lone"
+
+
+def test_many_different_tags_stay_linear():
+    """Ids and classes of their own, deep nesting, and a wrapper that stays small."""
+    import time
+
+    began = time.perf_counter()
+    pages = ["".join(f"<p id=p{k}-{n}>t{k}</p>" for k in range(5000)) + "<div>" * 3000 + "deep" for n in range(3)]
+    pages += ["".join(f"<div class='{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}{n}x'>t</div>" for k in range(3000)) for n in range(3)]
+    wrapper = wrap(pages)
+    assert op.extract(pages[0], wrapper.dumps()).startswith("t0\nt1")
+    assert time.perf_counter() - began < 20
