@@ -5,16 +5,19 @@ method adds spans of kind ``random``: long runs of coding characters. Base spans
 are cut out of a run, and what is left of it is a run if it is long enough. For
 every run an alphabet is inferred (digits, hexadecimal, letters of one or both
 cases, base 32, base 36 or base 64) and three tests of uniform randomness are
-made: chi-squared over the alphabet, the number of runs
-above and below its middle, and the serial correlation of neighbours. Letters
-alone have a fourth, against words: whether the letters that are frequent in
-European languages prevail. Fisher's method joins the p-values.
-
-A short run has little power to look unlike random text, so rejections are
-controlled within each alphabet and length class: the Benjamini-Hochberg
-step-up over all runs of the corpus in the class, on p-values counted in
-classes of a quarter of a power of ten (a table of fixed size), keeps the share
-of random runs among those rejected below ``RATE``. Runs that stay are spans.
+made: chi-squared over the alphabet, the number of runs above and below its
+middle, and the serial correlation of neighbours. Fisher's method joins the
+p-values; a run that is not like random at the level ``UNLIKE`` is no secret.
+
+What looks random may still be text, most of all if it is short. So each other
+run has a p-value under text as well: how far its letters favour the uniform
+alphabet over the letters of European languages (``SHARES``, with a tenth of
+noise), in standard deviations of what so many letters of text would give. Runs
+whose text p-value stands the Benjamini-Hochberg step-up over all runs of the
+corpus of their alphabet and length class are spans: the expected share of text
+among the spans reported stays below ``RATE``. P-values are counted in classes
+of a quarter of a power of ten, a table of fixed size. Digits alone are hardly
+unlike the digits of text, so they are seldom reported.
 
 Defined results: null text is empty; documents without spans have the digest
 of the empty string; repeated rows are scanned each; offsets count code points.
@@ -38,22 +41,26 @@ KINDS = ("assign", "access", "hex", "random")
 
 LONG = 20
 
-# Letters of English, German, French and Spanish text from frequent to rare.
-FREQUENT = "enairstoldcumphgbvfwkzyqxj"
+# Hundredths of letters in English, German, French and Spanish text.
+SHARES = {
+    "a": 8.5, "b": 1.4, "c": 3.5, "d": 4.5, "e": 14.5, "f": 1.4, "g": 1.8, "h": 3.0, "i": 7.4, "j": 0.3, "k": 0.6, "l": 5.0, "m": 3.0,
+    "n": 8.0, "o": 6.0, "p": 2.5, "q": 0.4, "r": 6.7, "s": 7.1, "t": 6.5, "u": 4.5, "v": 1.4, "w": 0.8, "x": 0.2, "y": 0.8, "z": 0.4,
+}
+#: Shares of capitals (of letters), digits, and hyphens and slashes in names and paths.
+CAPITAL, DIGIT, JOINT = 0.06, 0.02, 0.05
 
 #: (name, pattern of the run, letters in order); the first that fits counts, and
 #: one without capitals takes both cases as equal.
 ALPHABETS = (
     ("decimal", "^[0-9]+$", "0123456789"),
     ("hex", "^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
-    ("letters", "^([a-z]+|[A-Z]+)$", FREQUENT),
-    ("mixed", "^[A-Za-z]+$", FREQUENT + FREQUENT.upper()),
+    ("letters", "^([a-z]+|[A-Z]+)$", "abcdefghijklmnopqrstuvwxyz"),
+    ("mixed", "^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base32", "^[A-Z2-7]+=*$", "abcdefghijklmnopqrstuvwxyz234567"),
     ("base36", "^([0-9a-z]+|[0-9A-Z]+)$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
-WORDLIKE = ("letters", "mixed")
-RATE = 0.01
+RATE, UNLIKE = 0.01, 1e-3
 _STEPS = 80
 
 
@@ -76,6 +83,25 @@ def found(text: Column, pattern: str, least: int = 0, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), walked).otherwise(none)
 
 
+def favours(letters: str) -> tuple[list[float], float, float]:
+    """For each letter how much it favours the uniform alphabet over text, and
+    mean and standard deviation of that in text."""
+
+    def share(c: str) -> float:
+        if c.isdigit():
+            return DIGIT / 10
+        if not c.isalpha():
+            return JOINT
+        return SHARES[c.lower()] / 100 * (CAPITAL if c.isupper() else 1 - CAPITAL)
+
+    raw = [share(c) for c in letters]
+    text = [0.9 * r / sum(raw) + 0.1 / len(letters) for r in raw]
+    gain = [-math.log(len(letters) * t) for t in text]
+    mean = sum(t * g for t, g in zip(text, gain, strict=True))
+    # Letters of words depend on each other, so sums vary more than those of single draws.
+    return gain, mean, max(1e-9, math.sqrt(1.5 * sum(t * (g - mean) ** 2 for t, g in zip(text, gain, strict=True))))
+
+
 def _tail(z: Column) -> Column:
     """P(Z > z) of the standard normal (error below 1e-7)."""
     t = 1 / (1 + 0.3275911 * F.abs(z) / math.sqrt(2))
@@ -84,9 +110,10 @@ def _tail(z: Column) -> Column:
     return F.greatest(F.lit(1e-30), F.when(z >= 0, half).otherwise(1 - half))
 
 
-def battery(token: Column, letters: Column, caseless: Column, wordlike: Column) -> Column:
-    """Joint p-value of a run under uniform draws from ``letters``, which stand
-    from frequent to rare if ``wordlike``."""
+def battery(token: Column, letters: Column, caseless: Column, gain: Column) -> Column:
+    """Struct of two p-values of a run: ``random``, the joint one under uniform
+    draws from ``letters``, and ``text``, that under letters of text. ``gain``:
+    what each letter favours, with mean and deviation in text."""
     plain = F.rtrim(F.translate(token, "-_", "+/"), F.lit("="))
     plain = F.when(caseless, F.lower(plain)).otherwise(plain)
     values = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.greatest(F.lit(0), F.instr(letters, c) - 1).cast("double"))
@@ -110,10 +137,10 @@ def battery(token: Column, letters: Column, caseless: Column, wordlike: Column)
         together = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
         p_serial = F.when(spread > 0, 2 * _tail(F.abs((together / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n)))).otherwise(F.lit(1e-6))
         half = -(F.log(p_chi) + F.log(F.least(p_runs, F.lit(1.0))) + F.log(F.least(p_serial, F.lit(1.0))))
-        frequent = -F.log(_tail(((k - 1) / 2 - mean) / F.sqrt((k * k - 1) / 12 / n)))
-        three = lambda h: F.exp(-h) * (1 + h + h * h / 2)
-        four = lambda h: F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6)
-        return F.when(wordlike, once(half + frequent, four)).otherwise(once(half, three))
+        joint = once(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
+        favour = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.element_at(gain["of"], x.cast("int") + 1))
+        text = _tail((favour - n * gain["mean"]) / (gain["deviation"] * F.sqrt(n)))
+        return F.struct(joint.alias("random"), text.alias("text"))
 
     # A run of padding alone counts as two equal letters.
     whole = F.when(F.size(values) > 1, values).otherwise(F.array(F.lit(0.0), F.lit(0.0)))
@@ -139,7 +166,8 @@ def rests(run: Column, base: Column) -> Column:
 
 def candidates(text: Column, base: Column) -> Column:
     """array<struct<start, stop, class, step>>: coded runs outside the spans in
-    ``base`` with their class (alphabet and length) and the step of their p-value."""
+    ``base`` with their class (alphabet and length) and the step of their text p-value
+    (0 for those that are not like random)."""
     coded = F.flatten(F.transform(found(text, CODED), lambda s: rests(s, base)))
 
     def judged(s):
@@ -147,11 +175,15 @@ def candidates(text: Column, base: Column) -> Column:
         bare = F.regexp_replace(s["what"], "^[+/_=-]+|[+/_-]+$", "")
         token, size = F.when(bare.rlike("^[A-Za-z0-9]+=*$"), bare).otherwise(s["what"]), F.least(F.floor(F.log2((s["stop"] - s["start"]) / 10.0) * 2), F.lit(15)).cast("int")
         last = len(ALPHABETS) - 1
-        kind, letters = F.lit(last), F.lit(ALPHABETS[last][2])
+        gains = []
+        for _, _, letters_ in ALPHABETS:
+            gain, mean, deviation = favours(letters_)
+            gains.append(F.struct(F.array(*map(F.lit, gain)).alias("of"), F.lit(mean).alias("mean"), F.lit(deviation).alias("deviation")))
+        kind, letters, gain = F.lit(last), F.lit(ALPHABETS[last][2]), gains[last]
         for i in reversed(range(last)):
-            kind = F.when(token.rlike(ALPHABETS[i][1]), F.lit(i)).otherwise(kind)
-            letters = F.when(token.rlike(ALPHABETS[i][1]), F.lit(ALPHABETS[i][2])).otherwise(letters)
-        p = battery(token, letters, letters == F.lower(letters), kind.isin([i for i, a in enumerate(ALPHABETS) if a[0] in WORDLIKE]))
+            fits = token.rlike(ALPHABETS[i][1])
+            kind, letters, gain = F.when(fits, F.lit(i)).otherwise(kind), F.when(fits, F.lit(ALPHABETS[i][2])).otherwise(letters), F.when(fits, gains[i]).otherwise(gain)
+        p = F.element_at(F.transform(F.array(battery(token, letters, letters == F.lower(letters), gain)), lambda p: F.when(p["random"] >= UNLIKE, p["text"]).otherwise(1.0)), 1)
         step = F.least(F.floor(-4 * F.log10(F.greatest(p, F.lit(1e-30)))), F.lit(_STEPS - 1)).cast("int")
         return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), (kind * 16 + size).alias("class"), F.greatest(step, F.lit(0)).alias("step"))
 
@@ -159,7 +191,7 @@ def candidates(text: Column, base: Column) -> Column:
 
 
 def limits(runs: DataFrame, rate: float = RATE) -> dict[int, int]:
-    """For each class the lowest step whose runs are rejected as not random.
+    """For each class the lowest step whose runs are rejected as text.
     ``runs`` has a column ``runs``; what is collected has a fixed size."""
     counted = runs.select(F.explode("runs").alias("r")).groupBy(F.col("r.class").alias("class"), F.col("r.step").alias("step")).count().collect()
     out = {}
@@ -174,12 +206,14 @@ def limits(runs: DataFrame, rate: float = RATE) -> dict[int, int]:
 
 
 def random_spans(runs: Column, base: Column, rejected: dict[int, int]) -> Column:
-    """Runs that no test rejected and that meet no base span."""
+    """Runs that are like random, unlike text, and meet no base span."""
     cut = F.create_map(*[F.lit(x) for pair in rejected.items() for x in pair]) if rejected else None
 
     def stays(r):
+        if cut is None:
+            return F.lit(False)
         lone = ~F.exists(base, lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"]))
-        return lone if cut is None else lone & (r["step"] < F.coalesce(F.try_element_at(cut, r["class"]), F.lit(_STEPS)))
+        return lone & (r["step"] >= F.coalesce(F.try_element_at(cut, r["class"]), F.lit(_STEPS)))
 
     return F.transform(F.filter(runs, stays), lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"), r["stop"].alias("stop")))
 

@@ -60,7 +60,7 @@ def test_stage_redacts(spark):
 
 
 def test_every_coded_run_is_judged(spark):
-    """Keys with fewer than two digits and of letters or digits alone; long words go."""
+    """Keys with fewer than two digits and of letters alone; digits alone say little, and long words go."""
     rng = random.Random(4)
     letters, coded = "abcdefghijklmnopqrstuvwxyz", op.ALPHABETS[-1][2]
     few = [k for k in ("".join(rng.choice(coded) for _ in range(20)) for _ in range(600)) if sum(c.isdigit() for c in k) < 2]
@@ -69,7 +69,7 @@ def test_every_coded_run_is_judged(spark):
     docs = [(1000 * g + i, "see " + k + " here") for g, group in enumerate([*keys, words]) for i, k in enumerate(group)]
     got = run(spark, docs)
     caught = [sum(f"random:4:{4 + len(k)}" in got[1000 * g + i].spans for i, k in enumerate(group)) for g, group in enumerate([*keys, words])]
-    assert len(few) >= 60 and min(caught[:4]) >= 57 and caught[4] <= 1, caught
+    assert len(few) >= 60 and min(caught[:3]) >= 57 and caught[4] <= 1, caught
 
 
 def test_base_spans_are_cut_out_of_runs(spark):
@@ -82,3 +82,61 @@ def test_base_spans_are_cut_out_of_runs(spark):
     assert got[4].spans == got[4].b and got[5].spans == got[5].b
     df = spark.createDataFrame([(d, t, "s") for d, t in docs], "doc_id long, text string, source string")
     assert {r.doc_id: r.text for r in op.redacted(spark, df).collect()}[1] == "[SECRET][SECRET]"
+
+
+def tail(z):
+    import math
+
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def judged(token):
+    """The alphabet of a run and its two p-values, told plainly."""
+    import math
+
+    name, _, letters = next(a for a in op.ALPHABETS if not a[1] or re.match(a[1], token))
+    k = len(letters)
+    plain = token.replace("-", "+").replace("_", "/").rstrip("=")
+    v = [letters.index(c) for c in (plain.lower() if letters == letters.lower() else plain)]
+    n, mean = len(v), sum(v) / len(v)
+    chi = sum((v.count(c) - n / k) ** 2 / (n / k) for c in range(k))
+    p = [tail(((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))]
+    high = sum(x >= k / 2 for x in v)
+    runs = 1 + sum((a >= k / 2) != (b >= k / 2) for a, b in zip(v, v[1:], strict=False))
+    expected = 1 + 2 * high * (n - high) / n
+    variance = (expected - 1) * (expected - 2) / (n - 1)
+    p.append(min(1, 2 * tail(abs(runs - expected) / math.sqrt(variance))) if variance > 0 else 1e-6)
+    spread = sum((x - mean) ** 2 for x in v)
+    p.append(min(1, 2 * tail(abs((sum((a - mean) * (b - mean) for a, b in zip(v, v[1:], strict=False)) / spread + 1 / n) * math.sqrt(n)))) if spread > 0 else 1e-6)
+    h = -sum(math.log(max(x, 1e-30)) for x in p)
+    gain, mean, deviation = op.favours(letters)
+    return name, math.exp(-h) * (1 + h + h * h / 2), tail((sum(gain[x] for x in v) - n * mean) / (deviation * math.sqrt(n)))
+
+
+def test_battery_and_control_against_a_plain_reading(spark):
+    import math
+    from collections import defaultdict
+
+    rng = random.Random(8)
+    base64_ = op.ALPHABETS[-1][2]
+    made = lambda of: "".join(rng.choice(of) for _ in range(rng.choice([20, 24, 30, 40, 64])))
+    words = "the quick brown fox jumps over lazy dogs and every other animal that nobody has seen before in this part of world".split()
+    camel = lambda: "".join(rng.choice(words).title() for _ in range(8))
+    tokens = [made(rng.choice([base64_, base64_, "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnopqrstuvwxyz"])) for _ in range(150)]
+    tokens += [rng.choice([camel(), camel().lower(), "/".join(rng.choice(words) for _ in range(9)), "-".join(rng.choice(words) for _ in range(7)), "ab" * rng.randrange(10, 30)]) for _ in range(400)]
+    tokens = [t for t in tokens if len(t) >= op.LONG and re.match(r"^[A-Za-z0-9].*[A-Za-z0-9]$", t)]
+    by_class = defaultdict(list)
+    for i, t in enumerate(tokens):
+        bare = t if re.match("^[A-Za-z0-9]+=*$", t) else t
+        name, looks, text = judged(bare)
+        step = min(79, max(0, math.floor(-4 * math.log10(max(text, 1e-30))))) if looks >= op.UNLIKE else 0
+        by_class[name, min(15, math.floor(2 * math.log2(len(t) / 10)))].append((step, i))
+    want = set()
+    for runs in by_class.values():
+        best = [s for s in {s for s, _ in runs} if 10 ** (-s / 4) <= op.RATE * sum(x >= s for x, _ in runs) / len(runs)]
+        want |= {i for s, i in runs if best and s >= min(best)}
+    docs = [(i, "see " + t + " here") for i, t in enumerate(tokens)]
+    got = {d for d, r in run(spark, docs).items() if "random" in r.spans}
+    assert len(got ^ want) <= 3, got ^ want  # the tail's approximation may move a run by a step
+    false = sum(i >= 150 for i in got)
+    assert false <= 0.02 * len(got) + 1 and len(got) >= 120
