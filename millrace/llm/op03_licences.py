@@ -1,18 +1,21 @@
 """Licence scan by Dice coefficients over word bigrams, DataFrame functions only.
 
-Every line of a text, and the whole text, is lower-cased, cut into words of
-a-z and 0-9, and compared with each template as a set of word bigrams. With m
-and n bigrams the coefficient is at most 2 min(m, n) / (m + n), so a template
-is compared only if its size lies within the bounds that ``LEAST`` sets for the
+The units of a text are its lines, its sentences, its paragraphs and each two or
+three consecutive ones, its comment blocks (consecutive lines that begin with a
+comment mark), and the whole. Each is lower-cased, cut into words of a-z and
+0-9, and compared with the templates as a set of word bigrams. With m and n
+bigrams the coefficient is at most 2 min(m, n) / (m + n), so a template is
+compared only if its size lies within the bounds that ``LEAST`` sets for the
 unit's size, and only if the whole text has as many of its bigrams as a match
-needs. All is done within a row: nothing is exploded or shuffled.
-
-Returned per document: n_notices (units that match some template; the whole
-text counts if it has more than one line), licences (the best template's
-licence of each such unit, distinct, sorted, comma-joined; ties go to the
-smaller name) and best_score. Defined results: null and empty texts have no
-notices and a score of 0; one word has no bigram and never matches; repeated
-rows are judged each.
+needs. A match has so many bigrams of its template that it holds one of the few
+words in ``anchors``, so texts without any of them are not cut up at all. All
+is done within a row: nothing is exploded or shuffled.
+
+Returned per document: n_notices (distinct units, as word sequences, that match
+some template), licences (the best template's licence of each such unit,
+distinct, sorted, comma-joined; ties go to the smaller name) and best_score.
+Defined results: null and empty texts have no notices and a score of 0; one word
+has no bigram and never matches; repeated rows are judged each.
 """
 
 from __future__ import annotations
@@ -85,6 +88,64 @@ def bounds(size: int, least: float = LEAST) -> tuple[float, float]:
     return size * least / (2 - least), size * (2 - least) / least
 
 
+#: Words that texts of every kind hold, which prune nothing.
+EVERYDAY = frozenset("the of is by to in and or a this that it be for with any at as not you on from under work may use all an are can if see other no but including which has have was 0 1 2 3 4".split())
+
+
+def anchors(least: float = LEAST) -> list[str]:
+    """Words of which every match holds one: a match lacks at most
+    1 - least / (2 - least) of a template's bigrams, so words that stand in more
+    of them than that are enough. Chosen greedily over all templates."""
+    spare = {i: len(b) - len(b) * least / (2 - least) for i, (_, b) in enumerate(templates())}
+    left = {i: list(b) for i, (_, b) in enumerate(templates())}
+    met = dict.fromkeys(left, 0)
+    chosen: list[str] = []
+    while any(met[i] <= spare[i] for i in left):
+        gain: dict[str, float] = {}
+        for i, pairs in left.items():
+            lack = spare[i] - met[i]
+            if lack >= 0:
+                for word in {w for pair in pairs for w in pair.split()} - EVERYDAY:
+                    # How much of what the template still lacks the word brings.
+                    gain[word] = gain.get(word, 0) + min(1.0, sum(word in p.split() for p in pairs) / (lack + 1))
+        word = max(sorted(gain), key=gain.get)
+        chosen.append(word)
+        for i, pairs in left.items():
+            rest = [p for p in pairs if word not in p.split()]
+            met[i], left[i] = met[i] + len(pairs) - len(rest), rest
+    return sorted(chosen)
+
+
+#: What begins a comment line; what ends a sentence; lines without letters or digits.
+_COMMENT, _SENTENCE, _GAP = r"^[ \t]*(//|#|\*|/\*|--|;|%|<!--)", r"[.!?]+[ \t\r\n]+", r"\n([^A-Za-z0-9\n]*\n)+"
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def units(text: Column) -> Column:
+    """Texts of all units of a text."""
+
+    def bound(value: Column, use) -> Column:
+        return F.flatten(F.transform(F.array(value), use))
+
+    def several(parts: Column) -> Column:
+        n = F.size(parts)
+
+        def runs(k: int) -> Column:
+            joined = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(parts, i, k), "\n"))
+            return F.when(n >= k, joined).otherwise(F.array().cast("array<string>"))
+
+        return F.concat(parts, runs(2), runs(3))
+
+    lines = F.split(text, "\n", -1)
+    marked = bound(lines, lambda ls: F.split(F.array_join(F.transform(ls, lambda l: F.when(l.rlike(_COMMENT), l).otherwise("\x01")), "\n"), "(\n?\x01)+\n?", -1))
+    return F.concat(lines, F.split(text, _SENTENCE, -1), bound(F.split(text, _GAP, -1), several), marked, F.array(text))
+
+
+def unit_words(unit: Column) -> Column:
+    # Only ASCII letters change case.
+    return F.filter(F.split(F.regexp_replace(F.translate(unit, _LETTERS, _LETTERS.lower()), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
+
 def _bigrams(words: Column) -> Column:
     n = F.size(words)
     pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
@@ -97,19 +158,17 @@ def scan(docs: DataFrame, keep: list[str], least: float = LEAST) -> DataFrame:
     low, high = min(bounds(len(b), least)[0] for _, b in known), max(bounds(len(b), least)[1] for _, b in known)
     table = F.array(*[F.struct(F.lit(k).alias("licence"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("bigrams")) for k, b in known])
     every = F.array(*map(F.lit, sorted({x for _, b in known for x in b})))
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    # Only ASCII letters change case, so offsets and other scripts stay as they are.
-    lines = F.split(F.regexp_replace(F.translate(F.coalesce(F.col("text"), F.lit("")), letters, letters.lower()), "[^a-z0-9\n]+", " "), "\n")
-    cut = F.transform(lines, lambda l: F.filter(F.split(l, " "), lambda w: w != ""))
-    rows = docs.select(*keep, cut.alias("_lines"))
-    rows = rows.select(*keep, "_lines", F.array_intersect(_bigrams(F.flatten("_lines")), every).alias("_shared"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    likely = text.rlike(f"(?i)(?<![A-Za-z0-9])(?:{'|'.join(anchors(least))})(?![A-Za-z0-9])")
+    rows = docs.select(*keep, F.when(likely, text).otherwise("").alias("_text"))
+    rows = rows.select(*keep, "_text", F.array_intersect(_bigrams(unit_words(F.col("_text"))), every).alias("_shared"))
     # A unit that matches has n * least / (2 - least) bigrams of the template at least, and so has the text.
     may = F.filter(table, lambda t: F.size(F.array_intersect(t["bigrams"], F.col("_shared"))) * (2 - least) >= t["n"] * least)
-    rows = rows.select(*keep, "_lines", F.when(F.size("_shared") >= low, may).otherwise(F.slice(table, 1, 0)).alias("_known"))
-    whole = F.when(F.size("_lines") > 1, F.array(F.flatten("_lines"))).otherwise(F.array().cast("array<array<string>>"))
+    rows = rows.select(*keep, "_text", F.when(F.size("_shared") >= low, may).otherwise(F.slice(table, 1, 0)).alias("_known"))
+    cut = F.when(F.size("_known") > 0, F.array_distinct(F.transform(units(F.col("_text")), unit_words))).otherwise(F.array().cast("array<array<string>>"))
+    rows = rows.select(*keep, "_known", cut.alias("_units"))
     # A unit of w words has at most w - 1 bigrams, and no fewer than those of one template must be distinct.
-    fits = F.filter(F.when(F.size("_known") > 0, F.concat("_lines", whole)).otherwise(F.array().cast("array<array<string>>")), lambda u: F.size(u) > low)
-    sets = F.filter(F.transform(fits, _bigrams), lambda b: (F.size(b) >= low) & (F.size(b) <= high))
+    sets = F.filter(F.transform(F.filter("_units", lambda u: F.size(u) > low), _bigrams), lambda b: (F.size(b) >= low) & (F.size(b) <= high))
     rows = rows.select(*keep, "_known", sets.alias("_sets"))
 
     def best(unit: Column) -> Column:
@@ -136,17 +195,18 @@ def oracle() -> str:
     values = ",\n".join(f"('{k}', [{', '.join(repr(x) for x in b)}])" for k, b in templates())
     return f"""
 WITH template(licence, bigrams) AS (VALUES {values}),
-line AS (
-  SELECT rid, doc_id, list_filter(string_split_regex(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '') AS words
-  FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents), unnest(string_split(coalesce(text, ''), chr(10))) AS u(l)
-),
-whole AS (
-  SELECT rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '') AS words
-  FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents) WHERE contains(text, chr(10))
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+paragraphs AS (SELECT rid, string_split_regex(text, '{_GAP}') AS p FROM d),
+unit_text AS (
+  SELECT rid, unnest(string_split(text, chr(10))) AS u FROM d
+  UNION ALL SELECT rid, unnest(string_split_regex(text, '{_SENTENCE}')) FROM d
+  UNION ALL SELECT rid, array_to_string(p[i + 1 : i + k], chr(10)) FROM paragraphs, (VALUES (1), (2), (3)) AS size(k), unnest(range(len(p) - k + 1)) AS r(i)
+  UNION ALL SELECT rid, unnest(string_split_regex(array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN regexp_matches(l, '{_COMMENT}') THEN l ELSE chr(1) END), chr(10)), '(\\n?\\x01)+\\n?')) FROM d
+  UNION ALL SELECT rid, text FROM d
 ),
 unit AS (
-  SELECT row_number() OVER () AS uid, rid, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS bigrams
-  FROM (SELECT rid, words FROM line UNION ALL SELECT rid, words FROM whole) WHERE len(words) > 1 AND len(words) < 2000
+  SELECT row_number() OVER () AS uid, rid, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS bigrams FROM (
+    SELECT DISTINCT rid, list_filter(string_split_regex(translate(u, '{_LETTERS}', '{_LETTERS.lower()}'), '[^a-z0-9]+'), lambda w: w <> '') AS words FROM unit_text) WHERE len(words) > 1
 ),
 scored AS (
   SELECT uid, rid, licence, 2.0 * len(list_intersect(template.bigrams, unit.bigrams)) / (len(template.bigrams) + len(unit.bigrams)) AS dice
@@ -154,5 +214,5 @@ scored AS (
 ),
 best AS (SELECT rid, licence, dice FROM scored WHERE dice >= {LEAST} QUALIFY row_number() OVER (PARTITION BY uid ORDER BY dice DESC, licence) = 1)
 SELECT d.doc_id, count(b.rid) AS n_notices, coalesce(string_agg(DISTINCT b.licence, ',' ORDER BY b.licence), '') AS licences, coalesce(max(b.dice), 0.0)::DOUBLE AS best_score
-FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) d LEFT JOIN best b USING (rid) GROUP BY d.rid, d.doc_id
+FROM d LEFT JOIN best b USING (rid) GROUP BY d.rid, d.doc_id
 """
