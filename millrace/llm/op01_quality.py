@@ -2,8 +2,9 @@
 
 Statistics of every whole text are counted in one vectorised pass and stored
 (a few dozen numbers a document). The trees are fitted in the driver on at most
-``TRAIN_ROWS`` labelled rows, those of low hashes of doc_id among the rows that
-are not held out; this bound is the only sample taken. All trees are
+``TRAIN_ROWS`` distinct labelled rows, those of low hashes of doc_id and
+statistics among the rows that are not held out; this bound is the only sample
+taken. All trees are
 complete, so they flatten into three arrays that numpy walks level by level
 for a whole batch.
 
@@ -22,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import at_most, documents, small_batches, stored
+from .common import at_most, boxed, documents, small_batches, stored, unboxed
 from .textvec import BLANK, ranges, slices, sums, words
 
 TRAIN_ROWS = 20_000
@@ -203,8 +205,10 @@ def held_out():
 def train(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     """Fit on at most ``rows`` labelled documents outside the held-out fifth."""
     marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    labelled = stats.where(~held_out()).join(marked, "doc_id").select("doc_id", "stats", (F.col("quality") >= 1).cast("double").alias("y"))
-    sample = at_most(labelled, rows, labelled.count(), "doc_id").toPandas()
+    # Repeated rows are one, so that what is collected keeps the bound.
+    known = stats.where(~held_out()).join(marked, "doc_id").select("doc_id", "stats", (F.col("quality") >= 1).cast("double").alias("y")).distinct()
+    labelled = stored(stats.sparkSession, known)
+    sample = at_most(labelled, rows, labelled.count(), "doc_id", "stats").toPandas()
     # The fit depends on the rows alone, not on the order in which they arrive.
     sample = sample.iloc[np.lexsort((sample["stats"].map(sum), sample["doc_id"]))] if len(sample) else sample
     x = np.stack(sample["stats"].to_numpy()) if len(sample) else np.zeros((0, len(NAMES)))
@@ -229,15 +233,19 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pipeline stage: documents that the classifier accepts, unchanged."""
+    """Pipeline stage: documents that the classifier accepts, unchanged.
+
+    Statistics are counted once and stored beside the rows; the second pass
+    scores them. Null and empty texts are scored like any other, repeated rows
+    each; other columns may have any name and type."""
     small_batches(spark)
-    model = train(stored(spark, measured(docs, ["doc_id"])), labels)
-    names = docs.columns
+    box = boxed(docs, doc_id=F.col("doc_id"), _text=F.col("text"))
+    full = stored(spark, box.mapInArrow(_measure(["row", "doc_id"]), StructType([box.schema["row"], box.schema["doc_id"], StructField("stats", ArrayType(DoubleType()))])))
+    model = train(full.select("doc_id", "stats"), labels)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [statistics(data, ends) for _, data, ends in slices(batch.column("text"))]
-            x = np.concatenate(found) if found else np.zeros((0, len(NAMES)))
-            yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array(model.score(x) >= CUT))
+            x = batch.column("stats").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
+            yield batch.select(["row"]).filter(pa.array(model.score(x) >= CUT))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return unboxed(full.select("row", "stats").mapInArrow(keep, StructType([box.schema["row"]])))
