@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import at_most, boxed, documents, small_batches, stored, unboxed
+from .common import at_most, boxed, documents, lean, small_batches, stored, unboxed
 from .textvec import BLANK, ranges, slices, sums, words
 
 TRAIN_ROWS = 20_000
@@ -195,7 +195,7 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns in ``keep`` and the statistics of the text."""
     source = docs.select(*keep, F.col("text").alias("_text"))
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + ", stats array<double>"
-    return source.mapInArrow(_measure(keep), schema)
+    return source.mapInArrow(lean(_measure(keep)), schema)
 
 
 def held_out():
@@ -240,7 +240,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> D
     each; other columns may have any name and type."""
     small_batches(spark)
     box = boxed(docs, doc_id=F.col("doc_id"), _text=F.col("text"))
-    full = stored(spark, box.mapInArrow(_measure(["row", "doc_id"]), StructType([box.schema["row"], box.schema["doc_id"], StructField("stats", ArrayType(DoubleType()))])))
+    full = stored(spark, box.mapInArrow(lean(_measure(["row", "doc_id"])), StructType([box.schema["row"], box.schema["doc_id"], StructField("stats", ArrayType(DoubleType()))])))
     model = train(full.select("doc_id", "stats"), labels)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import boxed, discard, documents, small_batches, stored, unboxed
+from .common import boxed, discard, documents, lean, small_batches, stored, unboxed
 from .graph import components
 from .superkmers import LAST, keyed
 from .textvec import LOWER, mix, ranges, runs, slices, sums, words
@@ -145,7 +145,7 @@ def frequency_classes(sets: DataFrame) -> np.ndarray:
     """For each cell of the sketch an order from rare (0) to frequent; 128 and
     more: frequent. Fixed size; counts cover all documents."""
     counts = np.zeros((_PARTS, (1 << _SKETCH_BITS) // _PARTS), np.int64)
-    parts = sets.where("part is not null").select("part", "counts").repartition(_PARTS, "part").mapInArrow(_add_parts, "part int, counts binary")
+    parts = sets.where("part is not null").select("part", "counts").repartition(_PARTS, "part").mapInArrow(lean(_add_parts), "part int, counts binary")
     for row in parts.collect():  # at most _PARTS rows, 8 MB in all
         counts[row.part] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row.counts)), "<i8")
     counts = counts.ravel()
@@ -254,12 +254,12 @@ def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: Data
     needed = members.unionByName(pivots).join(nodes.select("node", "_doc", "_key"), "node")
     # A node of very many groups is dealt out, so that no list of uses grows with them.
     per = stored(spark, needed.groupBy("_doc", "_key", "node", F.pmod(F.xxhash64("g", "salt"), F.lit(64)).alias("deal")).agg(F.collect_list(F.struct("g", "salt", "is_pivot")).alias("uses")).drop("deal"))
-    wanted = keyed(docs).select("_doc", "_key", "_text").mapInArrow(_picked(_filter(per.select(F.col("_key").alias("key")))), "_doc long, _key long, _text string")
+    wanted = keyed(docs).select("_doc", "_key", "_text").mapInArrow(lean(_picked(_filter(per.select(F.col("_key").alias("key"))))), "_doc long, _key long, _text string")
     texts = wanted.join(per, ["_doc", "_key"])
     shared = texts.select("node", "_text", F.explode("uses").alias("use")).select("use.g", "use.salt", "use.is_pivot", "node", "_text")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     dealt = shared.repartition(n, "g", "salt").sortWithinPartitions("g", "salt", F.desc("is_pivot"))
-    return stored(spark, dealt.mapInArrow(_compare(size, least), "a long, b long").distinct())
+    return stored(spark, dealt.mapInArrow(lean(_compare(size, least)), "a long, b long").distinct())
 
 
 def _pairs(part: np.ndarray, side: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, beside: np.ndarray, parity: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
@@ -377,14 +377,14 @@ def _links_across(spark: SparkSession, docs: DataFrame, nodes: DataFrame, index:
     discard(spark, index)
     shared = tagged.select("comp", F.explode("keys").alias("key")).groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("holders")).where("low < high")
     shared = stored(spark, shared.select("key", F.ceil(F.col("holders") / BLOCK).cast("int").alias("blocks")))
-    rows = tagged.mapInArrow(_spread(_filter(shared)), "key long, node long, comp long, n long, parity binary, beside long").join(shared, "key")
+    rows = tagged.mapInArrow(lean(_spread(_filter(shared))), "key long, node long, comp long, n long, parity binary, beside long").join(shared, "key")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     met = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long")
     dealt = met.select(part.alias("part"), side.alias("side"), "node", "comp", "n", "parity", "beside").repartition(n, "part").sortWithinPartitions("part")
-    found = dealt.mapInArrow(_across(least), "a long, b long").distinct()
+    found = dealt.mapInArrow(lean(_across(least)), "a long, b long").distinct()
     pairs = stored(spark, found)
     discard(spark, tagged)
     discard(spark, shared)
@@ -395,11 +395,11 @@ def grouped(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, least: in
     """(_doc, _null, _key, n, component, unknown): component is the smallest
     doc_id of the group; where _null (unknown) holds, it is null."""
     small_batches(spark)
-    sets = stored(spark, keyed(docs).mapInArrow(_describe(size, least), _SETS))
+    sets = stored(spark, keyed(docs).mapInArrow(lean(_describe(size, least)), _SETS))
     rows = sets.where("_doc is not null").select("_doc", "_null", "_key", "n", "node", "bands")
     low = rows.where("n > 0").groupBy("node", "n").agg(F.min(F.struct("_doc", "_null", "_key", "bands")).alias("low"))
     nodes = stored(spark, low.select("node", "n", "low.*"))
-    indexed = keyed(docs).mapInArrow(_index(frequency_classes(sets), size, least), "_doc long, _key long, central double, parity binary, keys array<long>, beside array<int>").where("size(keys) > 0")
+    indexed = keyed(docs).mapInArrow(lean(_index(frequency_classes(sets), size, least)), "_doc long, _key long, central double, parity binary, keys array<long>, beside array<int>").where("size(keys) > 0")
     index = stored(spark, indexed.join(nodes.select("_doc", "_key", "node", "n"), ["_doc", "_key"]).dropDuplicates(["_doc", "_key"]).select("node", "n", "central", "parity", "keys", "beside"))
     bands = stored(spark, nodes.select("node", "n", F.explode("bands").alias("band")).join(index.select("node", "central"), "node"))
     pivots = stored(spark, bands.groupBy("band").agg(F.min(F.struct(-F.col("central"), "node", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", F.col("p.node").alias("a"), F.col("p.n").alias("m")))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import boxed, documents, small_batches, stored, unboxed
+from .common import boxed, documents, lean, small_batches, stored, unboxed
 from .textvec import LOWER
 
 WINDOW = 8
@@ -141,7 +141,7 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFram
     found = docs.select("row", "text")
     while True:
         keep = ["row"] if following is None else ["row", "text"]
-        found = found.mapInArrow(_scan(group, keep), StructType([*[docs.schema[c] for c in keep], *_FOUND]))
+        found = found.mapInArrow(lean(_scan(group, keep)), StructType([*[docs.schema[c] for c in keep], *_FOUND]))
         if following is None:
             return found
         found = stored(spark, found)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, stored
+from .common import documents, lean, small_batches, stored
 
 CAPACITY = 1024
 END = 2
@@ -285,7 +285,7 @@ def _place(where: dict[int, tuple[np.ndarray, ...]]):
 def pack(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Pieces of all documents with their sequence and place in it."""
     small_batches(spark)
-    cut = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(vocabulary), _PIECES)
+    cut = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_cut(vocabulary)), _PIECES)
     pieces = stored(spark, cut)
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most CAPACITY rows
     salts = max(8, sum(histogram.values()) // 20_000)
@@ -298,7 +298,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None) ->
     )
     order = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")
     ranked = salted.withColumn("nth", F.row_number().over(order)).join(before, ["length", "salt"]).withColumn("rank", F.col("nth") - 1 + F.col("before"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(places(complete(histogram))), _PIECES + ", sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(lean(_place(places(complete(histogram)))), _PIECES + ", sequence_id long, offset long")
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

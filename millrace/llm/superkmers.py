@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import stored
+from .common import lean, stored
 from .textvec import BLANK, mix, ranges, runs, slices, sums, words
 
 LAST = (1 << 63) - 1
@@ -328,8 +328,8 @@ def spans(spark: SparkSession, docs: DataFrame, cut: Callable, window: int, gram
     of_words = cut is cut_words
     counts = sketch.counted(source.select("_text"), _sample(word_grams if of_words else byte_grams, gram, SHARE_WORDS if of_words else SHARE_BYTES))
     hot = zstandard.ZstdCompressor().compress(np.packbits(sketch.frequent(counts)).tobytes())
-    packed = source.mapInArrow(_pack(cut, window, gram, buckets, hot), "bucket long, block binary")
-    judged = stored(spark, packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_unpack(judge, buckets), _JUDGED))
+    packed = source.mapInArrow(lean(_pack(cut, window, gram, buckets, hot)), "bucket long, block binary")
+    judged = stored(spark, packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_unpack(judge, buckets)), _JUDGED))
     places = judged.where("place is not null").select("bucket", "hash", "_doc", "_key", "place")
     verdicts = judged.where("runs is not null").select("bucket", "hash", "runs")
     gone = F.filter("runs", lambda r: r["low"].isNull() | (r["low"] < F.col("_doc")))
