@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -37,3 +39,43 @@ def fast_tokenizer(path: str) -> Callable[[Column], Column]:
         return lambda texts: [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
 
     return encoder(load)
+
+
+def offset_encoder(load: Callable[[], Callable[[list[str]], list[list[tuple[int, int, int]]]]]) -> Callable[[Column], Column]:
+    """The same with the characters of each token: (id, start, stop)."""
+
+    @F.pandas_udf("array<struct<id:bigint,start:int,stop:int>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = load()
+        for texts in batches:
+            found = iter(encode([t for t in texts if t is not None]))
+            yield pd.Series([[dict(zip(("id", "start", "stop"), t, strict=True)) for t in next(found)] if text is not None else None for text in texts], index=texts.index, dtype=object)
+
+    return run
+
+
+def fast_tokenizer_offsets(path: str) -> Callable[[Column], Column]:
+    """A tokenizer file of the ``tokenizers`` library, whose added tokens (the
+    marks of a template) are taken as such."""
+
+    def load() -> Callable[[list[str]], list[list[tuple[int, int, int]]]]:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(path)
+        return lambda texts: [[(i, *o) for i, o in zip(e.ids, e.offsets, strict=True)] for e in model.encode_batch(texts, add_special_tokens=False)]
+
+    return offset_encoder(load)
+
+
+def word_offsets() -> Callable[[Column], Column]:
+    """The ids of ``text.word_ids`` with the characters of the words."""
+
+    def load() -> Callable[[list[str]], list[list[tuple[int, int, int]]]]:
+        word = re.compile("[^ \\t\\n\\r\\x0b\\x0c]+")
+        number = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 10000 + 10
+        return lambda texts: [[(number(m.group()), m.start(), m.end()) for m in word.finditer(t)] for t in texts]
+
+    return offset_encoder(load)

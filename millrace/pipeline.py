@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import chat, text, training
+from .functions import chat, templates, text, training
 from .operators import lanes
 from .plans import mixture
 from .schema import token_field
@@ -153,6 +153,9 @@ class Pipeline:
     def tokenize_chat(self, field: str = "messages", **options: Any) -> Pipeline:
         return self._with("tokenize_chat", chat.tokenize_chat(self.df, field, **options), options)
 
+    def tokenize_chat_template(self, encode: Callable[[Column], Column], field: str = "messages", **options: Any) -> Pipeline:
+        return self._with("tokenize_chat_template", templates.tokenize_chat_template(self.df, encode, field, **options), options)
+
     def prefetch(self, **_: Any) -> Pipeline:
         """Spark reads ahead on its own; kept so that pipelines carry over."""
         return self

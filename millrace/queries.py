@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions import chat, text, training
+from .functions import chat, encoders, templates, text, training
 from .operators import kernels, lanes
 from .plans import mixture
 from .schema import stable_hash
@@ -416,6 +416,33 @@ QUERIES["loss_scope_last_span"], ORACLES["loss_scope_last_span"] = _scoped("last
 QUERIES["loss_scope_after_last_user"], ORACLES["loss_scope_after_last_user"] = _scoped("after_last_user"), _scope_sql("turn > coalesce(last_user, -1)")
 
 
+def _templated(**options) -> Query:
+    def run(spark, sf_dir):
+        out = templates.tokenize_chat_template(chat.conversations(table(spark, sf_dir, "conversations")), encoders.word_offsets(), **options)
+        return out.select("conv_id", F.size("input_ids").cast("long").alias("n_tokens"), digest(F.col("input_ids")).alias("digest"), digest(F.col("loss_mask")).alias("mask"))
+
+    return run
+
+
+def _template_sql(selected: str, head: str, first: str, last: str) -> str:
+    """``head``: whether a reply's opening word counts; ``first`` and ``last``: ids around the text."""
+    return f"""WITH m AS (SELECT conv_id, turn, role, list_transform(list_filter(string_split_regex('<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>', '[ \\t\\n\\r\\x0b\\x0c]+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 10000 + 10) AS part,
+  max(turn) FILTER (role = 'user') OVER w AS last_user, max(turn) FILTER (role = 'assistant') OVER w AS last_reply FROM conversations WINDOW w AS (PARTITION BY conv_id)),
+run AS (SELECT *, max(turn) FILTER (role <> 'assistant' AND turn < last_reply) OVER (PARTITION BY conv_id) AS before FROM m),
+s AS (SELECT *, (role = 'assistant' AND {selected})::INT AS chosen FROM run),
+j AS (SELECT conv_id, flatten(list(part ORDER BY turn)) AS core, flatten(list(list_transform(part, lambda x, i: CASE WHEN i = 1 THEN chosen * {head} ELSE chosen END) ORDER BY turn)) AS core_mask FROM s GROUP BY conv_id),
+f AS (SELECT conv_id, list_concat({first}::BIGINT[], core, {last}::BIGINT[]) AS ids, list_concat(list_transform({first}::BIGINT[], lambda x: 0), core_mask, list_transform({last}::BIGINT[], lambda x: core_mask[-1])) AS mask FROM j)
+SELECT conv_id, len(ids)::BIGINT AS n_tokens, {joined('ids')} AS digest, {joined('mask')} AS mask FROM f WHERE list_contains(mask, 1)"""
+
+
+QUERIES["chat_template"], ORACLES["chat_template"] = _templated(), _template_sql("true", "0", "[]", "[2]")
+QUERIES["chat_template_after_last_user"], ORACLES["chat_template_after_last_user"] = _templated(scope="after_last_user", special_tokens="none"), _template_sql("turn > coalesce(last_user, -1)", "0", "[]", "[]")
+QUERIES["chat_template_prefix_diff"], ORACLES["chat_template_prefix_diff"] = (
+    _templated(span_source="prefix_diff", supervise_header=True, scope="last_span", special_tokens="bos_eos"),
+    _template_sql("turn <= last_reply AND turn > coalesce(before, -1)", "1", "[1]", "[2]"),
+)
+
+
 @query("""SELECT conv_id, sum(len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda w: w <> '')) + (role = 'assistant')::INT)::BIGINT AS n_valid FROM conversations GROUP BY conv_id HAVING n_valid > 0""")
 def loss_scope_all_tokens(spark, sf_dir):
     out = chat.tokenize_chat(chat.conversations(table(spark, sf_dir, "conversations")), scope="all_tokens", special_tokens="bos")
