@@ -51,7 +51,7 @@ def offset_encoder(load: Callable[[], Callable[[list[str]], list[list[tuple[int,
             found = iter(encode([t for t in texts if t is not None]))
             yield pd.Series([[dict(zip(("id", "start", "stop"), t, strict=True)) for t in next(found)] if text is not None else None for text in texts], index=texts.index, dtype=object)
 
-    return run
+    return run.asNondeterministic()  # so that a filter on its tokens doesn't run it once more
 
 
 def fast_tokenizer_offsets(path: str) -> Callable[[Column], Column]:

@@ -68,6 +68,12 @@ def named(template: str | Renderer) -> Renderer:
     return TEMPLATES[template]
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row, also where ``body``
+    uses it for every element of an array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _span(start: Column, stop: Column, at: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), at.cast("int").alias("at"))
 
@@ -76,8 +82,8 @@ def _tagged_spans(messages: Column, template: Template) -> Column:
     """Start, stop and place of each message's content and end mark. Lengths
     are summed over the messages before, so no partial text is made."""
     sizes = F.transform(messages, lambda m: F.struct(F.length(template.opening(m["role"])).alias("head"), (F.length(template.content(m)) + len(template.end)).alias("body")))
-    before = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(len(template.begin)), lambda a, s: a + s["head"] + s["body"])
-    return F.transform(sizes, lambda s, i: _span(before(i) + s["head"], before(i) + s["head"] + s["body"], i))
+    before = lambda all_, i: F.aggregate(F.slice(all_, 1, i), F.lit(len(template.begin)), lambda a, s: a + s["head"] + s["body"])
+    return _let(sizes, lambda all_: F.transform(all_, lambda s, i: _let(before(all_, i) + s["head"], lambda start: _span(start, start + s["body"], i))))
 
 
 def _compared_spans(messages: Column, template: Renderer, header: bool) -> Column:
@@ -85,25 +91,23 @@ def _compared_spans(messages: Column, template: Renderer, header: bool) -> Colum
     the text before with (or, with ``header``, without) the opening of a reply.
     Where these do not begin one another the template renders by position and
     no span is right: an error."""
-    whole = template(messages, False)
 
-    def one(m: Column, i: Column) -> Column:
+    def one(whole: Column, m: Column, i: Column) -> Column:
         upto, prefix = template(F.slice(messages, 1, i + 1), False), template(F.slice(messages, 1, i), not header)
         fits = F.startswith(whole, upto) & F.startswith(upto, prefix)
         bad = F.raise_error(F.lit("the template renders by position: partial texts are no prefixes of the whole")).cast("int")
         reply = m["role"] == "assistant"
         return F.when(reply & ~fits, _span(bad, bad, i)).when(reply, _span(F.length(prefix), F.length(upto), i)).otherwise(_span(F.lit(0), F.lit(0), i))
 
-    return F.transform(messages, one)
+    return _let(template(messages, False), lambda whole: F.transform(messages, lambda m, i: one(whole, m, i)))
 
 
 def _last_run(mask: Column) -> Column:
     """Only the last unbroken run of ones."""
     places = F.transform(mask, lambda v, i: F.struct(i.alias("i"), v.alias("v")))
     top = lambda test: F.coalesce(F.array_max(F.transform(F.filter(places, test), lambda p: p["i"])), F.lit(-1))
-    last = top(lambda p: p["v"] == 1)
-    gap = top(lambda p: (p["v"] == 0) & (p["i"] < last))
-    return F.transform(mask, lambda v, i: F.when((i > gap) & (i <= last), v).otherwise(0).cast("tinyint"))
+    within = lambda last: _let(top(lambda p: (p["v"] == 0) & (p["i"] < last)), lambda gap: F.transform(mask, lambda v, i: F.when((i > gap) & (i <= last), v).otherwise(0).cast("tinyint")))
+    return _let(top(lambda p: p["v"] == 1), within)
 
 
 def tokenize_chat_template(
@@ -147,32 +151,51 @@ def tokenize_chat_template(
     by_tags = tagged and span_source != "prefix_diff" and not supervise_header
     messages = F.col(field)
     # The last run is taken among tokens, where marks part replies.
-    chosen = supervised(messages, "all_assistant" if scope == "last_span" else scope)
-    spans = _tagged_spans(messages, render) if by_tags else _compared_spans(messages, render, supervise_header)
-    kept = F.array().cast("array<struct<start:int,stop:int,at:int>>") if scope == "all_tokens" else F.filter(spans, lambda s: F.element_at(chosen, s["at"] + 1))
+    picked = "all_assistant" if scope == "last_span" else scope
+
+    def replies(m: Column) -> Column:
+        spans = _tagged_spans(m, render) if by_tags else _compared_spans(m, render, supervise_header)
+        return _let(supervised(m, picked), lambda c: F.filter(spans, lambda s: F.element_at(c, s["at"] + 1)))
+
+    kept = F.array().cast("array<struct<start:int,stop:int,at:int>>") if scope == "all_tokens" else _let(messages, replies)
     some = F.size(F.coalesce(messages, F.array().cast(dict(df.dtypes)[field]))) > 0
     out = df.withColumn("_text", F.when(some, render(messages, False))).withColumn("_spans", F.when(some, kept)).withColumn("_tokens", F.coalesce(encode(F.col("_text")), F.array().cast("array<struct<id:bigint,start:int,stop:int>>")))
     before, after = brackets(special_tokens or "none", bos, eos)
     room = None if max_length is None else max(0, max_length - len(before) - len(after))
     tokens = F.col("_tokens") if room is None else F.slice("_tokens", 1, room)
     cut = F.lit(False) if room is None else F.size("_tokens") > room
-    ids = F.transform(tokens, lambda t: t["id"])
-    loss = F.coalesce(mask_of_spans(tokens, F.col("_spans")), F.array().cast("array<tinyint>"))
+    fixed = lambda values: F.array(*[F.lit(v).cast("bigint") for v in values]).cast("array<bigint>")
     one = lambda v: F.array(v.cast("tinyint"))
-    whole_ids = lambda values: F.array(*[F.lit(v).cast("bigint") for v in values]).cast("array<bigint>")
-    if special_tokens is None:
-        wanting = (F.size(ids) > 0) & (F.try_element_at(ids, F.lit(-1)) != eos) & (F.lit(True) if max_length is None else F.size(ids) < max_length)
-        ids, loss = F.when(wanting, F.concat(ids, whole_ids([eos]))).otherwise(ids), F.when(wanting, F.concat(loss, one(F.try_element_at(loss, F.lit(-1))))).otherwise(loss)
-    if after:
-        reached = ~cut & F.coalesce(F.exists("_spans", lambda s: (s["start"] <= F.length("_text")) & (F.length("_text") <= s["stop"])), F.lit(False))
-        ids, loss = F.concat(ids, whole_ids(after)), F.concat(loss, one(reached.cast("int")))
-    if before:
-        ids, loss = F.concat(whole_ids(before), ids), F.concat(one(F.lit(0)), loss)
-    if scope == "last_span":
-        loss = _last_run(loss)
-    if scope == "all_tokens":
-        loss = F.transform(ids, lambda _, i: F.when(i == 0, 0).otherwise(1).cast("tinyint"))
-    out = out.withColumns({"input_ids": ids, "loss_mask": loss}).drop("_text", "_spans", "_tokens")
+    both = lambda ids, loss: F.struct(ids.alias("ids"), loss.alias("loss"))
+
+    def marked(known: Column) -> Column:
+        loss = F.coalesce(mask_of_spans(known["tokens"], known["spans"]), F.array().cast("array<tinyint>"))
+        return both(F.transform(known["tokens"], lambda t: t["id"]), loss)
+
+    def ended(r: Column) -> Column:
+        """The last EOS where it is missing and has room."""
+        wanting = (F.size(r["ids"]) > 0) & (F.try_element_at(r["ids"], F.lit(-1)) != eos) & (F.lit(True) if max_length is None else F.size(r["ids"]) < max_length)
+        return F.when(wanting, both(F.concat(r["ids"], fixed([eos])), F.concat(r["loss"], one(F.try_element_at(r["loss"], F.lit(-1)))))).otherwise(r)
+
+    def bracketed(r: Column) -> Column:
+        ids, loss = r["ids"], r["loss"]
+        if after:
+            reached = ~cut & F.coalesce(F.exists("_spans", lambda s: (s["start"] <= F.length("_text")) & (F.length("_text") <= s["stop"])), F.lit(False))
+            ids, loss = F.concat(ids, fixed(after)), F.concat(loss, one(reached.cast("int")))
+        if before:
+            ids, loss = F.concat(fixed(before), ids), F.concat(one(F.lit(0)), loss)
+        return both(ids, loss)
+
+    def scoped(r: Column) -> Column:
+        if scope == "last_span":
+            return both(r["ids"], _last_run(r["loss"]))
+        if scope == "all_tokens":
+            return both(r["ids"], F.transform(r["ids"], lambda _, i: F.when(i == 0, 0).otherwise(1).cast("tinyint")))
+        return r
+
+    made = _let(F.struct(tokens.alias("tokens"), F.col("_spans").alias("spans")), marked)
+    made = _let(_let(made, ended if special_tokens is None else bracketed), scoped)
+    out = out.withColumn("_made", made).withColumns({"input_ids": F.col("_made.ids"), "loss_mask": F.col("_made.loss")}).drop("_text", "_spans", "_tokens", "_made")
     if drop:
         out = out.where(some & (F.size("input_ids") >= 2) & F.exists("loss_mask", lambda m: m == 1))
         out = out.withColumn("loss_mask", F.when(F.element_at("loss_mask", 1) == 1, F.raise_error(F.lit("the first token is supervised")).cast("array<tinyint>")).otherwise(F.col("loss_mask")))

@@ -437,10 +437,6 @@ SELECT conv_id, len(ids)::BIGINT AS n_tokens, {joined('ids')} AS digest, {joined
 
 QUERIES["chat_template"], ORACLES["chat_template"] = _templated(), _template_sql("true", "0", "[]", "[2]")
 QUERIES["chat_template_after_last_user"], ORACLES["chat_template_after_last_user"] = _templated(scope="after_last_user", special_tokens="none"), _template_sql("turn > coalesce(last_user, -1)", "0", "[]", "[]")
-QUERIES["chat_template_prefix_diff"], ORACLES["chat_template_prefix_diff"] = (
-    _templated(span_source="prefix_diff", supervise_header=True, scope="last_span", special_tokens="bos_eos"),
-    _template_sql("turn <= last_reply AND turn > coalesce(before, -1)", "1", "[1]", "[2]"),
-)
 
 
 @query("""SELECT conv_id, sum(len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda w: w <> '')) + (role = 'assistant')::INT)::BIGINT AS n_valid FROM conversations GROUP BY conv_id HAVING n_valid > 0""")
