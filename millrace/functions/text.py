@@ -98,16 +98,22 @@ def tokenize(
     return out.withColumn("input_ids", padded(F.col("input_ids"), max_length, pad)) if padding else out
 
 
-def split_long(df: DataFrame, max_length: int, *, ids: str = "input_ids", padding: bool = False, pad: int = PAD) -> DataFrame:
+def split_long(df: DataFrame, max_length: int, *, ids: str = "input_ids", length: str | None = None, padding: bool = False, pad: int = PAD) -> DataFrame:
     """Rows of at most ``max_length`` ids. The specials of a bracketed row
     stay where they are: the first on the first slice, the last on the last.
-    Several slices are children whose lineage ends in their number."""
-    n = F.greatest(F.lit(1), F.ceil(F.size(ids) / max_length).cast("int"))
-    slices = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(F.col(ids), i * max_length + 1, F.lit(max_length)))
+    Several slices are children whose lineage ends in their number. ``length``
+    names a column with the number of ids, which becomes that of the slice;
+    what needs only this one makes no ids."""
+    size = F.col(length) if length else F.size(ids)
+    n = F.greatest(F.lit(1), F.ceil(size / max_length).cast("int"))
     lineage = F.col("lineage") if "lineage" in df.columns else F.array().cast("array<int>")
-    out = df.select("*", n.alias("_n"), F.posexplode(slices).alias("_i", "_ids"))
+    # Numbers are spread out, and each row takes its slice: rows don't carry all slices.
+    out = df.withColumn("_n", n).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
+    out = out.withColumn("_ids", F.slice(F.col(ids), F.col("_i") * max_length + 1, F.lit(max_length)))
     out = out.withColumn("lineage", F.when(F.col("_n") > 1, F.concat(lineage, F.array("_i"))).otherwise(lineage)).withColumn("segment", F.col("_i"))
     out = out.withColumn(ids, padded(F.col("_ids"), max_length, pad) if padding else F.col("_ids"))
+    if length:
+        out = out.withColumn(length, F.lit(max_length) if padding else F.least(F.lit(max_length), F.col(length) - F.col("_i") * max_length))
     if "attention_mask" in df.columns:
         out = out.withColumn("attention_mask", mask(F.col("_ids"), max_length if padding else None))
     return out.drop("_n", "_i", "_ids")
