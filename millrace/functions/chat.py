@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .text import BOS, EOS, word_ids
 
+#: Spans of a part.
+_PART = 32
 SCOPES = ("all_assistant", "last_span", "after_last_user", "all_tokens")
 
 
@@ -46,23 +50,28 @@ def expand_turns(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     return per.where("answered = 1").select(key, "ordinal", (F.col("last") + 1).alias("stop"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row, also where ``body``
+    uses it for every element of an array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def supervised(messages: Column, scope: str) -> Column:
     """For each message whether the scope selects it."""
     if scope not in SCOPES:
         raise ValueError(f"loss scope is one of {SCOPES}, not {scope!r}")
-    roles = F.transform(messages, lambda m: m["role"])
-    is_assistant = lambda i: F.element_at(roles, i + 1) == "assistant"
-    numbers = F.transform(messages, lambda m, i: i)
     if scope in ("all_assistant", "all_tokens"):
-        return F.transform(roles, lambda r: r == "assistant")
-    last_of = lambda test: F.array_max(F.concat(F.array(F.lit(-1)), F.filter(numbers, test)))
-    last_user = last_of(lambda i: F.element_at(roles, i + 1) == "user")
+        return F.transform(messages, lambda m: m["role"] == "assistant")
+    # Places of roles, found once for all messages.
+    last_of = lambda roles, test: F.coalesce(F.array_max(F.transform(roles, lambda r, i: F.when(test(r, i), i))), F.lit(-1))
+    within = lambda roles, after: F.transform(roles, lambda r, i: (r == "assistant") & (i > after))
+    every = F.transform(messages, lambda m: F.coalesce(m["role"], F.lit("")))
     if scope == "after_last_user":
-        return F.transform(numbers, lambda i: is_assistant(i) & (i > last_user))
-    last = last_of(is_assistant)
+        return let(every, lambda roles: let(last_of(roles, lambda r, _: r == "user"), lambda user: within(roles, user)))
+    last = lambda roles: last_of(roles, lambda r, _: r == "assistant")
     # The last message before it that is not of the assistant begins no part of the final run.
-    begin = F.array_max(F.concat(F.array(F.lit(-1)), F.filter(numbers, lambda i: ~is_assistant(i) & (i < last))))
-    return F.transform(numbers, lambda i: is_assistant(i) & (i > begin) & (i <= last))
+    begin = lambda roles, end: last_of(roles, lambda r, i: (r != "assistant") & (i < end))
+    return let(every, lambda roles: let(last(roles), lambda end: let(begin(roles, end), lambda after: within(roles, after))))
 
 
 def tokenize_chat(df: DataFrame, field: str = "messages", *, scope: str = "all_assistant", special_tokens: str = "none", assistant_eos: bool = True, bos: int = BOS, eos: int = EOS, drop: bool = True) -> DataFrame:
@@ -112,5 +121,11 @@ def render_chat(df: DataFrame, field: str = "messages", begin: str = "<|{role}|>
 
 
 def mask_of_spans(offsets: Column, spans: Column) -> Column:
-    """A token counts if its characters overlap a span."""
-    return F.transform(offsets, lambda o: F.when(F.exists(spans, lambda s: (o["start"] < s["stop"]) & (o["stop"] > s["start"])), 1).otherwise(0).cast("tinyint"))
+    """A token counts if its characters overlap a span. Spans are looked
+    through in parts, most of which a token passes over at once."""
+    meets = lambda o, s: (o["start"] < s["stop"]) & (o["stop"] > s["start"])
+    part = lambda these: F.struct(these.alias("these"), F.array_min(these["start"]).alias("start"), F.array_max(these["stop"]).alias("stop"))
+    firsts = F.when(F.size(spans) > 0, F.sequence(F.lit(1), F.size(spans), F.lit(_PART))).otherwise(F.array().cast("array<int>"))
+    parts = F.transform(firsts, lambda i: let(F.slice(spans, i, F.lit(_PART)), part))
+    found = lambda all_: F.transform(offsets, lambda o: F.when(F.exists(all_, lambda p: meets(o, p) & F.exists(p["these"], lambda s: meets(o, s))), 1).otherwise(0).cast("tinyint"))
+    return let(parts, found)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chat import SCOPES, mask_of_spans, supervised
+from .chat import SCOPES, let, mask_of_spans, supervised
 from .text import BOS, EOS, brackets
 
 Renderer = Callable[[Column, bool], Column]
@@ -68,12 +68,6 @@ def named(template: str | Renderer) -> Renderer:
     return TEMPLATES[template]
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once a row, also where ``body``
-    uses it for every element of an array."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _span(start: Column, stop: Column, at: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), at.cast("int").alias("at"))
 
@@ -83,7 +77,7 @@ def _tagged_spans(messages: Column, template: Template) -> Column:
     are summed over the messages before, so no partial text is made."""
     sizes = F.transform(messages, lambda m: F.struct(F.length(template.opening(m["role"])).alias("head"), (F.length(template.content(m)) + len(template.end)).alias("body")))
     before = lambda all_, i: F.aggregate(F.slice(all_, 1, i), F.lit(len(template.begin)), lambda a, s: a + s["head"] + s["body"])
-    return _let(sizes, lambda all_: F.transform(all_, lambda s, i: _let(before(all_, i) + s["head"], lambda start: _span(start, start + s["body"], i))))
+    return let(sizes, lambda all_: F.transform(all_, lambda s, i: let(before(all_, i) + s["head"], lambda start: _span(start, start + s["body"], i))))
 
 
 def _compared_spans(messages: Column, template: Renderer, header: bool) -> Column:
@@ -99,15 +93,15 @@ def _compared_spans(messages: Column, template: Renderer, header: bool) -> Colum
         reply = m["role"] == "assistant"
         return F.when(reply & ~fits, _span(bad, bad, i)).when(reply, _span(F.length(prefix), F.length(upto), i)).otherwise(_span(F.lit(0), F.lit(0), i))
 
-    return _let(template(messages, False), lambda whole: F.transform(messages, lambda m, i: one(whole, m, i)))
+    return let(template(messages, False), lambda whole: F.transform(messages, lambda m, i: one(whole, m, i)))
 
 
 def _last_run(mask: Column) -> Column:
     """Only the last unbroken run of ones."""
     places = F.transform(mask, lambda v, i: F.struct(i.alias("i"), v.alias("v")))
     top = lambda test: F.coalesce(F.array_max(F.transform(F.filter(places, test), lambda p: p["i"])), F.lit(-1))
-    within = lambda last: _let(top(lambda p: (p["v"] == 0) & (p["i"] < last)), lambda gap: F.transform(mask, lambda v, i: F.when((i > gap) & (i <= last), v).otherwise(0).cast("tinyint")))
-    return _let(top(lambda p: p["v"] == 1), within)
+    within = lambda last: let(top(lambda p: (p["v"] == 0) & (p["i"] < last)), lambda gap: F.transform(mask, lambda v, i: F.when((i > gap) & (i <= last), v).otherwise(0).cast("tinyint")))
+    return let(top(lambda p: p["v"] == 1), within)
 
 
 def tokenize_chat_template(
@@ -155,9 +149,9 @@ def tokenize_chat_template(
 
     def replies(m: Column) -> Column:
         spans = _tagged_spans(m, render) if by_tags else _compared_spans(m, render, supervise_header)
-        return _let(supervised(m, picked), lambda c: F.filter(spans, lambda s: F.element_at(c, s["at"] + 1)))
+        return let(supervised(m, picked), lambda c: F.filter(spans, lambda s: F.element_at(c, s["at"] + 1)))
 
-    kept = F.array().cast("array<struct<start:int,stop:int,at:int>>") if scope == "all_tokens" else _let(messages, replies)
+    kept = F.array().cast("array<struct<start:int,stop:int,at:int>>") if scope == "all_tokens" else let(messages, replies)
     some = F.size(F.coalesce(messages, F.array().cast(dict(df.dtypes)[field]))) > 0
     out = df.withColumn("_text", F.when(some, render(messages, False))).withColumn("_spans", F.when(some, kept)).withColumn("_tokens", F.coalesce(encode(F.col("_text")), F.array().cast("array<struct<id:bigint,start:int,stop:int>>")))
     before, after = brackets(special_tokens or "none", bos, eos)
@@ -193,8 +187,8 @@ def tokenize_chat_template(
             return both(r["ids"], F.transform(r["ids"], lambda _, i: F.when(i == 0, 0).otherwise(1).cast("tinyint")))
         return r
 
-    made = _let(F.struct(tokens.alias("tokens"), F.col("_spans").alias("spans")), marked)
-    made = _let(_let(made, ended if special_tokens is None else bracketed), scoped)
+    made = let(F.struct(tokens.alias("tokens"), F.col("_spans").alias("spans")), marked)
+    made = let(let(made, ended if special_tokens is None else bracketed), scoped)
     out = out.withColumn("_made", made).withColumns({"input_ids": F.col("_made.ids"), "loss_mask": F.col("_made.loss")}).drop("_text", "_spans", "_tokens", "_made")
     if drop:
         out = out.where(some & (F.size("input_ids") >= 2) & F.exists("loss_mask", lambda m: m == 1))
