@@ -199,7 +199,7 @@ def ranked(rows: DataFrame, *, seed: int = 0, shuffle_shards: bool = True, shuff
     turn = [stable_hash(seed, key, F.col("shard_id")), "shard_id"] if shuffle_shards else ["shard_id"]
     before = F.sum("num_rows").over(W.partitionBy("pass").orderBy(*turn).rowsBetween(W.unboundedPreceding, -1))
     order = order.select("_shard", "shard_id", "pass", F.coalesce(before, F.lit(0)).alias("first"))
-    out = rows.join(order, "_shard")
+    out = rows.join(F.broadcast(order), "_shard")  # a row for each shard and pass
     key = F.when(F.lit(reshuffle), F.col("pass")).otherwise(0)
     place = F.col("local_id")
     if shuffle_within_shard:

@@ -143,7 +143,8 @@ def samples(spark: SparkSession, datasets: Sequence[Dataset]) -> DataFrame:
     out = None
     for i, dataset in enumerate(datasets):
         rows = dataset.load(spark)
-        one = rows.join(shard_index(rows).select("_shard", "shard_id"), "_shard").drop("_shard").select(F.lit(i).alias("dataset_id"), "shard_id", "local_id", *[c for c in rows.columns if c not in ("_shard", "local_id")])
+        # A row for each shard goes to all tasks; joined as exchanges, the rows of a shard would meet in one.
+        one = rows.join(F.broadcast(shard_index(rows).select("_shard", "shard_id")), "_shard").drop("_shard").select(F.lit(i).alias("dataset_id"), "shard_id", "local_id", *[c for c in rows.columns if c not in ("_shard", "local_id")])
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     if out is None:
         raise ValueError("at least one dataset is needed")

@@ -50,3 +50,13 @@ def test_split_by_a_length(spark):
     got = text.split_long(rows, 4, length="n").collect()
     assert [(r.lineage, len(r.input_ids), r.n) for r in got] == [([0], 4, 4), ([1], 2, 2), ([], 2, 2), ([], 4, 4)]
     assert {r.n for r in text.split_long(rows, 4, length="n", padding=True).collect()} == {4}
+
+
+def test_rows_of_a_shard_dont_meet_in_a_task(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("parquet_ordinals", "block_order"):
+            plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
