@@ -143,20 +143,24 @@ def ramp(n: int, size: int, growth: float = 1.5) -> list[int]:
     return out
 
 
+#: What a bin holds: (record, start, stop).
+Parts = list[tuple[int, int, int]]
+
+
 @dataclass
 class Bin:
     left: int
-    parts: list[tuple[int, int, int]] = field(default_factory=list)
+    parts: Parts = field(default_factory=list)
 
 
-def pack_fit(lengths: Sequence[int], capacity: int, *, best: bool = False, num_bins: int = 64, least: int = 1, most_parts: int | None = None, evict: str = "fifo") -> list[list[tuple[int, int, int]]]:
-    """Bins of (record, start, stop) by first or best fit over open bins.
+def fit_bins(lengths: Iterable[int], capacity: int, *, best: bool = False, num_bins: int = 64, least: int = 1, most_parts: int | None = None, evict: str = "fifo") -> Iterator[Parts]:
+    """Bins of (record, start, stop) by first or best fit over open bins, each
+    given out when it is closed.
 
     A bin is emitted when less than ``least`` is left or it has
     ``most_parts``; a new one beyond ``num_bins`` evicts the oldest or the
     fullest. Records longer than the capacity are left out."""
     open_: list[Bin] = []
-    out = []
     full = lambda b: b.left < least or (most_parts is not None and len(b.parts) >= most_parts)
     for number, n in enumerate(lengths):
         if n > capacity or n <= 0:
@@ -167,25 +171,26 @@ def pack_fit(lengths: Sequence[int], capacity: int, *, best: bool = False, num_b
             chosen.parts.append((number, 0, n))
             chosen.left -= n
             if full(chosen):
-                out.append(chosen.parts)
+                yield chosen.parts
                 open_ = [b for b in open_ if b is not chosen]
             continue
         new = Bin(capacity - n, [(number, 0, n)])
         if full(new):
-            out.append(new.parts)
+            yield new.parts
             continue
         while len(open_) >= num_bins:
             gone = open_[0] if evict == "fifo" else min(open_, key=lambda b: b.left)
-            out.append(gone.parts)
+            yield gone.parts
             open_ = [b for b in open_ if b is not gone]
         open_.append(new)
-    return out + [b.parts for b in open_]
+    for b in open_:
+        yield b.parts
 
 
-def pack_wrap(lengths: Sequence[int], capacity: int, most_parts: int | None = None) -> list[list[tuple[int, int, int]]]:
+def wrap_bins(lengths: Iterable[int], capacity: int, most_parts: int | None = None) -> Iterator[Parts]:
     """One stream cut at every ``capacity``. Without a cap on parts the tail
     that fills no bin is dropped; with one, it is emitted."""
-    out, now, left = [], [], capacity
+    now, left = [], capacity
     for number, n in enumerate(lengths):
         at = 0
         while at < n:
@@ -193,25 +198,23 @@ def pack_wrap(lengths: Sequence[int], capacity: int, most_parts: int | None = No
             now.append((number, at, at + take))
             at, left = at + take, left - take
             if not left or (most_parts is not None and len(now) >= most_parts):
-                out.append(now)
+                yield now
                 now, left = [], capacity
     if now and most_parts is not None:
-        out.append(now)
-    return out
+        yield now
 
 
-def pack_best_fit_wrap(lengths: Sequence[int], capacity: int, *, pool: int = 64, most_age: int | None = None, most_parts: int | None = None) -> list[list[tuple[int, int, int]]]:
+def best_fit_wrap_bins(lengths: Iterable[int], capacity: int, *, pool: int = 64, most_age: int | None = None, most_parts: int | None = None) -> Iterator[Parts]:
     """Full windows are cut off; tails wait in a pool from which bins are
     filled: aged tails first, then the largest that fits, last one split of the
     smallest."""
-    out: list[list[tuple[int, int, int]]] = []
     waiting: list[list[int]] = []  # record, start, stop, arrival
     arrived = 0
 
     def total() -> int:
         return sum(w[2] - w[1] for w in waiting)
 
-    def build() -> None:
+    def build() -> Parts:
         gap, parts = capacity, []
         while gap and waiting and (most_parts is None or len(parts) < most_parts):
             oldest = min(waiting, key=lambda w: w[3])
@@ -235,23 +238,34 @@ def pack_best_fit_wrap(lengths: Sequence[int], capacity: int, *, pool: int = 64,
                 parts.append((part[0], part[1], part[1] + gap))
                 part[1] += gap
             gap = 0
-        out.append(parts)
+        return parts
 
     for number, n in enumerate(lengths):
         at = 0
         while n - at >= capacity:
-            out.append([(number, at, at + capacity)])
+            yield [(number, at, at + capacity)]
             at += capacity
         if at < n:
             waiting.append([number, at, n, arrived])
             arrived += 1
         while len(waiting) >= pool and (total() >= capacity or (most_parts is not None and len(waiting) >= most_parts)):
-            build()
+            yield build()
     while waiting and (total() >= capacity or (most_parts is not None and len(waiting) > most_parts)):
-        build()
+        yield build()
     if waiting:
-        out.append([(w[0], w[1], w[2]) for w in sorted(waiting, key=lambda w: w[3])])
-    return out
+        yield [(w[0], w[1], w[2]) for w in sorted(waiting, key=lambda w: w[3])]
+
+
+def pack_fit(lengths: Sequence[int], capacity: int, **options) -> list[Parts]:
+    return list(fit_bins(lengths, capacity, **options))
+
+
+def pack_wrap(lengths: Sequence[int], capacity: int, most_parts: int | None = None) -> list[Parts]:
+    return list(wrap_bins(lengths, capacity, most_parts))
+
+
+def pack_best_fit_wrap(lengths: Sequence[int], capacity: int, **options) -> list[Parts]:
+    return list(best_fit_wrap_bins(lengths, capacity, **options))
 
 
 @dataclass(frozen=True)

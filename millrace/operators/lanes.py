@@ -10,10 +10,13 @@ own group: no window over records spans a lane.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import partial
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -327,21 +330,53 @@ def pack(
     if algorithm == "wrap" and max_sequences_per_bin is None:
         return _wrap(rows, max_length, group)
     names = [c for c in rows.columns if c not in ("_size", "_turn")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = in_order(pdf, ["_turn"])
-        sizes = pdf["_size"].tolist()
-        if algorithm == "wrap":
-            bins = kernels.pack_wrap(sizes, max_length, max_sequences_per_bin)
-        elif algorithm == "best_fit_wrap":
-            bins = kernels.pack_best_fit_wrap(sizes, max_length, pool=candidate_pool_size, most_age=max_candidate_age, most_parts=max_sequences_per_bin)
-        else:
-            bins = kernels.pack_fit(sizes, max_length, best=algorithm == "best_fit", num_bins=num_bins, least=min_sequence_length, most_parts=max_sequences_per_bin, evict=flush_strategy)
-        flat = [(b, s, i, a, z) for b, parts in enumerate(bins) for s, (i, a, z) in enumerate(parts)]
-        out = pdf.iloc[[f[2] for f in flat]][names]
-        return out.assign(bin=[f[0] for f in flat], seg=[f[1] for f in flat], start=[f[3] for f in flat], stop=[f[4] for f in flat])
-
-    return rows.withColumn(LINE, line()).groupBy(*group).applyInPandas(run, _ddl(rows, names) + ", bin long, seg int, start long, stop long")
+    where = [names.index(c) for c in group]
+    if algorithm == "wrap":
+        bins = partial(kernels.wrap_bins, capacity=max_length, most_parts=max_sequences_per_bin)
+    elif algorithm == "best_fit_wrap":
+        bins = partial(kernels.best_fit_wrap_bins, capacity=max_length, pool=candidate_pool_size, most_age=max_candidate_age, most_parts=max_sequences_per_bin)
+    else:
+        rows = rows.where(F.col("_size") <= max_length)
+        bins = partial(kernels.fit_bins, capacity=max_length, best=algorithm == "best_fit", num_bins=num_bins, least=min_sequence_length, most_parts=max_sequences_per_bin, evict=flush_strategy)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups come one after the other; of a group only records are held
+        of which a part is in no closed bin yet."""
+        fields: list[pa.Field] = []
+
+        def records() -> Iterator[tuple]:
+            for batch in batches:
+                fields[:] = [batch.schema.field(n) for n in names]
+                yield from zip(*[batch.column(n).to_pylist() for n in (*names, "_size")], strict=True)
+
+        def made(rows_: list[tuple]) -> pa.RecordBatch:
+            own = [pa.field("bin", pa.int64()), pa.field("seg", pa.int32()), pa.field("start", pa.int64()), pa.field("stop", pa.int64())]
+            schema = pa.schema([*fields, *own])
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows_, strict=True), schema, strict=True)], schema=schema)
+
+        def sizes(group_: Iterator[tuple], held: dict[int, list]) -> Iterator[int]:
+            for number, record in enumerate(group_):
+                held[number] = [record[:-1], record[-1]]
+                yield record[-1]
+
+        out: list[tuple] = []
+        for _, group_ in groupby(records(), key=lambda r: [v if v == v else "nan" for v in (r[i] for i in where)]):
+            held: dict[int, list] = {}
+            for b, parts in enumerate(bins(sizes(group_, held))):
+                for seg, (number, start, stop) in enumerate(parts):
+                    record = held[number]
+                    record[1] -= stop - start
+                    if not record[1]:
+                        del held[number]
+                    out.append((*record[0], b, seg, start, stop))
+                if len(out) >= 8192:
+                    yield made(out)
+                    out = []
+        if out:
+            yield made(out)
+
+    dealt = rows.repartition(*group).sortWithinPartitions(*group, "_turn", *cursor())
+    return dealt.drop("_turn").mapInArrow(run, _ddl(rows, names) + ", bin long, seg int, start long, stop long")
 
 
 def _wrap(rows: DataFrame, max_length: int, group: list[str]) -> DataFrame:
